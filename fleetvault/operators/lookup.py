@@ -1,0 +1,30 @@
+"""Lookups whose fact side may carry hot keys."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SALT = "_salt"
+WAYS = 32
+
+
+def spread_lookup(
+    facts: DataFrame,
+    lookup: DataFrame,
+    on: Sequence[str],
+    spread_by: Sequence[str],
+    ways: int = WAYS,
+) -> DataFrame:
+    """Left join of ``facts`` to ``lookup`` (unique on ``on``) with every key split ``ways`` ways.
+
+    Facts are salted by ``spread_by``. The lookup is repeated only for the (key, salt) pairs
+    that occur, so a key used by few facts is copied few times, and the pairs are made
+    distinct on the map side before they move.
+    """
+    salted = facts.withColumn(SALT, F.pmod(F.xxhash64(*spread_by), F.lit(ways)))
+    pairs = salted.select(*on, SALT).distinct()
+    found = pairs.join(lookup, list(on), "inner")
+    return salted.join(found, [*on, SALT], "left").drop(SALT)

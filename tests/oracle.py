@@ -1,0 +1,75 @@
+"""Run registered queries beside their SQL and compare whole results.
+
+Also a command: ``python -m tests.oracle [sf_dir] [slug ...]``.
+"""
+
+from __future__ import annotations
+
+import sys
+import time
+from collections import Counter
+
+import duckdb
+
+from workload.views import TABLES
+
+
+def database(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for table in TABLES:
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    return con
+
+
+def difference(spark_df, con, sql: str) -> str | None:
+    """None when equal, else what differs."""
+    result = con.execute(sql)
+    names = [d[0] for d in result.description]
+    if sorted(names) != sorted(spark_df.columns):
+        return f"columns {sorted(spark_df.columns)} != {sorted(names)}"
+    order = sorted(names)
+    theirs = Counter(
+        tuple(row[names.index(n)] for n in order) for row in result.fetchall()
+    )
+    ours = Counter(tuple(row) for row in spark_df.select(*[f"`{n}`" for n in order]).collect())
+    if ours == theirs:
+        kinds = {n: {type(r[i]).__name__ for r in ours} for i, n in enumerate(order)}
+        other = {n: {type(r[i]).__name__ for r in theirs} for i, n in enumerate(order)}
+        return None if kinds == other else f"types {kinds} != {other}"
+    extra = list((ours - theirs).items())[:3]
+    lacking = list((theirs - ours).items())[:3]
+    return (
+        f"{sum(ours.values())} rows against {sum(theirs.values())} {order}\n"
+        f"  only Spark: {extra}\n  only SQL:   {lacking}"
+    )
+
+
+def main() -> int:
+    import __spark_entry__ as entry
+    from fleetvault.session import local_session
+
+    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
+    wanted = sys.argv[2:]
+    spark = local_session(8)
+    spark.sparkContext.setLogLevel("ERROR")
+    con = database(sf_dir)
+    bad = 0
+    for slug, make in entry.queries().items():
+        if wanted and slug not in wanted:
+            continue
+        began = time.time()
+        try:
+            df = make(spark, sf_dir)
+            sql = entry.oracle_sql().get(slug)
+            found = difference(df, con, sql) if sql else f"no SQL, {df.count()} rows"
+        except Exception as error:  # report every query, then fail
+            found = f"{type(error).__name__}: {str(error)[:1500]}"
+        bad += found is not None
+        print(f"{slug:24} {time.time() - began:6.2f}s {'ok' if found is None else found}", flush=True)
+    print("differences:", bad)
+    return bool(bad)
+
+
+if __name__ == "__main__":
+    sys.exit(main())
