@@ -53,9 +53,13 @@ def release_column(release: str | Column) -> Column:
     return parse_release(F.lit(release) if isinstance(release, str) else release)
 
 
-def _keyspace_in_name(release: str | Column) -> Column:
+def _by_layout(release: str | Column, nested, flat):
+    """``nested`` for releases with the keyspace in the file name, else ``flat``."""
+    if isinstance(release, str):
+        number = tuple(int(part) for part in release.split(".")[:3])
+        return nested if number >= KEYSPACE_IN_NAME_SINCE else flat
     since = F.array(*[F.lit(part) for part in KEYSPACE_IN_NAME_SINCE])
-    return release_column(release) >= since
+    return F.when(release_column(release) >= since, nested).otherwise(flat)
 
 
 def format_release(version: Column) -> Column:
@@ -76,45 +80,56 @@ def is_snapshot(path: Column) -> Column:
     return path.rlike(f"(^|/){SNAPSHOT_DIR}/")
 
 
+def _name_patterns(leading: int) -> tuple[str, str]:
+    """Patterns of a data file name and of one whose version token is wrong.
+
+    ``leading`` tokens come before the version; a temporary marker in between always counts
+    as the marker (possessive group). Tokens after the component are ignored.
+    """
+    head = "^" + "-".join(["[^-]*"] * leading) + f"(?:-{TEMPORARY_MARKER}(?=-|$))?+-"
+    return head + r"[a-z][^-]*-\s*\+?[0-9]{1,18}\s*-[^-]*", head + "(?![a-z])"
+
+
 def with_component(
     df: DataFrame, path: str = "path", release: str | Column = DEFAULT_RELEASE
 ) -> DataFrame:
     """Add keyspace, cf, version, generation, component, temporary and parse_error.
 
     ``parse_error`` is null, ``not_data_file`` or ``invalid_version``; the other columns are
-    null for a path that cannot be parsed. The steps are separate projections so that the
-    name is split once per row.
+    null for a path that cannot be parsed. Every column is a short expression of the path
+    with the same match and split inside, so they are shared within one projection and a
+    filter on any of them stays small when it is pushed below.
     """
-    in_name = _keyspace_in_name(release)
-    parent = F.regexp_extract(F.col(path), r"([^/]*)/+[^/]*$", 1)
-    tokens = df.withColumn("_tok", F.split(base_name(F.col(path)), "-")).withColumn(
-        "_cf_at", F.when(in_name, 1).otherwise(0)
-    )
-    marker = F.get("_tok", F.col("_cf_at") + 1)
-    marked = tokens.withColumn("_tmp", F.coalesce(marker == TEMPORARY_MARKER, F.lit(False)))
-    marked = marked.withColumn("_ver_at", F.col("_cf_at") + F.when(F.col("_tmp"), 2).otherwise(1))
-
-    version = F.get("_tok", F.col("_ver_at"))
-    number = F.get("_tok", F.col("_ver_at") + 1)
-    generation = F.when(number.rlike(r"^\s*\+?[0-9]+\s*$"), F.trim(number).try_cast("bigint"))
-    component = F.get("_tok", F.col("_ver_at") + 2)
-    no_directory = (F.col("_cf_at") == 0) & ~F.col(path).contains("/")
-    error = (
-        F.when(version.isNull() | no_directory, "not_data_file")
-        .when(~version.rlike("^[a-z]+"), "invalid_version")
-        .when(generation.isNull() | component.isNull(), "not_data_file")
-    )
-    read = marked.withColumn("parse_error", error)
-    ok = F.col("parse_error").isNull()
-    keyspace = F.when(F.col("_cf_at") == 1, F.get("_tok", F.lit(0))).otherwise(parent)
-    return (
-        read.withColumn("keyspace", F.when(ok, keyspace))
-        .withColumn("cf", F.when(ok, F.get("_tok", F.col("_cf_at"))))
-        .withColumn("version", F.when(ok, version))
-        .withColumn("generation", F.when(ok, generation))
-        .withColumn("component", F.when(ok, component))
-        .withColumn("temporary", F.when(ok, F.col("_tmp")))
-        .drop("_tok", "_cf_at", "_tmp", "_ver_at")
+    source = F.col(path)
+    name = base_name(source)
+
+    def match(pattern: str) -> Column:
+        return F.nullif(F.regexp_extract(name, pattern, 0), F.lit(""))
+
+    (good2, bad2), (good1, bad1) = _name_patterns(2), _name_patterns(1)
+    # A flat name takes its keyspace from the folder, so it needs one.
+    flat = F.when(source.contains("/"), match(good1))
+    matched = _by_layout(release, match(good2), flat)
+    wrong_version = _by_layout(release, name.rlike(bad2), name.rlike(bad1))
+    tokens = F.split(matched, "-")
+    cf_at = _by_layout(release, F.lit(1), F.lit(0))
+    temporary = F.get(tokens, cf_at + 1) == TEMPORARY_MARKER
+    version_at = cf_at + 1 + temporary.cast("int")
+    folder = F.regexp_extract(source, r"([^/]*)/+[^/]*$", 1)
+    return df.withColumns(
+        {
+            "keyspace": _by_layout(
+                release, F.get(tokens, F.lit(0)), F.when(matched.isNotNull(), folder)
+            ),
+            "cf": F.get(tokens, cf_at),
+            "version": F.get(tokens, version_at),
+            "generation": F.trim(F.get(tokens, version_at + 1)).try_cast("bigint"),
+            "component": F.get(tokens, version_at + 2),
+            "temporary": temporary,
+            "parse_error": F.when(
+                matched.isNull(), F.when(wrong_version, "invalid_version").otherwise("not_data_file")
+            ),
+        }
     )
 
 
@@ -129,7 +144,7 @@ def backup_file_name() -> Column:
 def file_name(release: str | Column = DEFAULT_RELEASE) -> Column:
     """File name under the target release; older ones leave the keyspace out."""
     short = F.concat_ws("-", "cf", "version", "generation", "component")
-    return F.when(_keyspace_in_name(release), backup_file_name()).otherwise(short)
+    return _by_layout(release, backup_file_name(), short)
 
 
 def backup_path() -> Column:
@@ -140,7 +155,7 @@ def restore_path(release: str | Column = DEFAULT_RELEASE) -> Column:
     """Path below the data directory; older releases have no column-family directory."""
     nested = F.concat_ws("/", "keyspace", "cf", file_name(release))
     flat = F.concat_ws("/", "keyspace", file_name(release))
-    return F.when(_keyspace_in_name(release), nested).otherwise(flat)
+    return _by_layout(release, nested, flat)
 
 
 def quarantine_path(data_dir: str, quarantine: str, name: Column) -> Column:

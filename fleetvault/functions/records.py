@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetvault.functions.times import iso_text, parse_iso
 from fleetvault.schemas import stored_form
 
 # Fixed values of the stored format.
@@ -16,8 +17,7 @@ NULLABLE_TEXT = ("user", "group")
 
 
 def _fields(col: Column, dtype: T.StructType, convert) -> Column:
-    made = F.struct(*[convert(col[f.name], f.dataType, f.name).alias(f.name) for f in dtype.fields])
-    return F.when(col.isNotNull(), made)
+    return F.struct(*[convert(col[f.name], f.dataType, f.name).alias(f.name) for f in dtype.fields])
 
 
 def to_stored(col: Column, dtype: T.DataType, name: str = "") -> Column:
@@ -34,8 +34,6 @@ def to_stored(col: Column, dtype: T.DataType, name: str = "") -> Column:
     if name in NULLABLE_TEXT:
         return F.coalesce(col, F.lit(NO_VALUE))
     if isinstance(dtype, T.TimestampNTZType):
-        from fleetvault.functions.times import iso_text
-
         return iso_text(col)
     return col.cast("string")
 
@@ -51,8 +49,6 @@ def from_stored(col: Column, dtype: T.DataType, name: str = "") -> Column:
     if isinstance(dtype, T.BooleanType):
         return F.lower(col) == "true"
     if isinstance(dtype, T.TimestampNTZType):
-        from fleetvault.functions.times import parse_iso
-
         return parse_iso(col)
     if name in NULLABLE_TEXT:
         return F.nullif(col, F.lit(NO_VALUE))

@@ -64,9 +64,9 @@ def numbered(lines: DataFrame, file: str = "file") -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Log files as ``file`` (name), ``seq`` (line number within it) and ``line``."""
+    """Log files as ``file`` (path), ``seq`` (line number within it) and ``line``."""
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
         F.col("value").alias("line"),

@@ -764,7 +764,7 @@ RESTORE = f"""_plan AS (SELECT f.host, f.keyspace, f.path AS source_path, f.md5,
     FROM {{backup_file}} f LEFT JOIN {{target_file}} t ON t.host = f.host AND
          t.restore_path = '/var/lib/data/' || f.keyspace || '/' || f.cf || '/' || regexp_extract(f.path, '[^/]*$')),
     _outcome AS (SELECT p.*, restore_reason <> 'Existing file (Checksummed)' AS should_restore,
-        CASE WHEN restore_reason = 'Existing file corrupt' THEN '/var/lib/data/../corrupt/' || keyspace || '/' || name ELSE '' END AS corrupt_path,
+        CASE WHEN restore_reason = 'Existing file corrupt' THEN '/var/lib/data/../corrupt/' || p.keyspace || '/' || p.name ELSE '' END AS corrupt_path,
         CASE WHEN restore_reason = 'Existing file (Checksummed)' THEN '' WHEN s.path IS NULL THEN 'Source file missing'
              WHEN s.md5 <> p.md5 THEN 'Restored File corrupt' ELSE '' END AS failed_reason
     FROM _plan p LEFT JOIN {{stored_file}} s ON s.path = p.source_path)"""
@@ -1148,10 +1148,10 @@ def _(c):
 
 @query(
     "stream_hourly",
-    f"""SELECT host, date_trunc('hour', ts)::TIMESTAMP AS hour, count(*) AS lines, sum({CHANGE})::BIGINT AS net,
+    f"""WITH _line AS (SELECT *, date_trunc('hour', ts)::TIMESTAMP AS hour FROM {{transfer_log}})
+        SELECT host, hour, count(*) AS lines, sum({CHANGE})::BIGINT AS net,
         sum(CASE WHEN op = 'stored' THEN bytes ELSE 0 END)::BIGINT AS trans_in, sum(CASE WHEN op = 'restored' THEN bytes ELSE 0 END)::BIGINT AS trans_out
-        FROM {{transfer_log}} GROUP BY ALL
-        HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM {{transfer_log}})""",
+        FROM _line GROUP BY host, hour HAVING hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM {{transfer_log}})""",
 )
 def _(c):
     """Closed hours only: the last two stay open until later lines arrive."""
