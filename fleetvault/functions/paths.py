@@ -96,9 +96,9 @@ def with_component(
     """Add keyspace, cf, version, generation, component, temporary and parse_error.
 
     ``parse_error`` is null, ``not_data_file`` or ``invalid_version``; the other columns are
-    null for a path that cannot be parsed. Every column is a short expression of the path
-    with the same match and split inside, so they are shared within one projection and a
-    filter on any of them stays small when it is pushed below.
+    null for a path that cannot be parsed. The name is matched and split once per row: the
+    columns come out of a one-row generator, so that filters on them are not rewritten into
+    further matches of the path.
     """
     source = F.col(path)
     name = base_name(source)
@@ -109,28 +109,29 @@ def with_component(
     (good2, bad2), (good1, bad1) = _name_patterns(2), _name_patterns(1)
     # A flat name takes its keyspace from the folder, so it needs one.
     flat = F.when(source.contains("/"), match(good1))
-    matched = _by_layout(release, match(good2), flat)
+    read = df.withColumn("_tok", F.split(_by_layout(release, match(good2), flat), "-"))
     wrong_version = _by_layout(release, name.rlike(bad2), name.rlike(bad1))
-    tokens = F.split(matched, "-")
+    tokens = F.col("_tok")
     cf_at = _by_layout(release, F.lit(1), F.lit(0))
     temporary = F.get(tokens, cf_at + 1) == TEMPORARY_MARKER
     version_at = cf_at + 1 + temporary.cast("int")
     folder = F.regexp_extract(source, r"([^/]*)/+[^/]*$", 1)
-    return df.withColumns(
-        {
-            "keyspace": _by_layout(
-                release, F.get(tokens, F.lit(0)), F.when(matched.isNotNull(), folder)
-            ),
-            "cf": F.get(tokens, cf_at),
-            "version": F.get(tokens, version_at),
-            "generation": F.trim(F.get(tokens, version_at + 1)).try_cast("bigint"),
-            "component": F.get(tokens, version_at + 2),
-            "temporary": temporary,
-            "parse_error": F.when(
-                matched.isNull(), F.when(wrong_version, "invalid_version").otherwise("not_data_file")
-            ),
-        }
+    error = F.when(wrong_version, "invalid_version").otherwise("not_data_file")
+    parsed = F.struct(
+        _by_layout(release, F.get(tokens, F.lit(0)), F.when(tokens.isNotNull(), folder)).alias("keyspace"),
+        F.get(tokens, cf_at).alias("cf"),
+        F.get(tokens, version_at).alias("version"),
+        F.trim(F.get(tokens, version_at + 1)).try_cast("bigint").alias("generation"),
+        F.get(tokens, version_at + 2).alias("component"),
+        temporary.alias("temporary"),
+        F.when(tokens.isNull(), error).alias("parse_error"),
     )
+    kept = [c for c in df.columns if c not in parsed_columns()]
+    return read.select(*kept, F.inline(F.array(parsed)))
+
+
+def parsed_columns() -> tuple[str, ...]:
+    return (*SSTABLE, "component", "temporary", "parse_error")
 
 
 # -- names and paths -----------------------------------------------------------------------

@@ -29,20 +29,29 @@ def _merge(kind: str, local: Column, carried: Column) -> Column:
     return (F.greatest if kind == "max" else F.least)(local, carried)
 
 
-def _fold(df, by, order, folds, block_rows, local_frame, block_frame) -> DataFrame:
+def _fold(df, by, order, folds, block_rows, last, descending=False) -> DataFrame:
+    def sequence(name: str) -> Column:
+        return F.col(name).desc() if descending else F.col(name).asc()
+
     inputs = {f"_in_{out}": value for out, (value, _) in folds.items()}
     keyed = df.withColumns({BLOCK: block_of(order, block_rows), **inputs})
 
     totals = keyed.groupBy(*by, BLOCK).agg(
         *[_FOLDS[kind](f"_in_{out}").alias(f"_in_{out}") for out, (_, kind) in folds.items()]
     )
-    across = Window.partitionBy(*by).orderBy(BLOCK).rowsBetween(*block_frame)
+    across = (
+        Window.partitionBy(*by).orderBy(sequence(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
+    )
     carried = totals.select(
         *by,
         BLOCK,
         *[_FOLDS[kind](f"_in_{out}").over(across).alias(f"_far_{out}") for out, (_, kind) in folds.items()],
     )
-    within = Window.partitionBy(*by, BLOCK).orderBy(order).rowsBetween(*local_frame)
+    within = (
+        Window.partitionBy(*by, BLOCK)
+        .orderBy(sequence(order))
+        .rowsBetween(Window.unboundedPreceding, last)
+    )
     local = keyed.withColumns(
         {f"_near_{out}": _FOLDS[kind](f"_in_{out}").over(within) for out, (_, kind) in folds.items()}
     )
@@ -66,11 +75,7 @@ def running(
 
     ``folds`` maps an output name to (value, ``sum`` | ``max`` | ``min``).
     """
-    last = -1 if before_only else 0
-    return _fold(
-        df, by, order, folds, block_rows,
-        (Window.unboundedPreceding, last), (Window.unboundedPreceding, -1),
-    )
+    return _fold(df, by, order, folds, block_rows, -1 if before_only else 0)
 
 
 def following(
@@ -80,8 +85,9 @@ def following(
     folds: Mapping[str, tuple[Column, str]],
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Fold over the rows of the key after this one."""
-    return _fold(
-        df, by, order, folds, block_rows,
-        (1, Window.unboundedFollowing), (1, Window.unboundedFollowing),
-    )
+    """Fold over the rows of the key after this one.
+
+    The order is reversed: a frame that ends at the last row would be folded anew for every
+    row, one that starts at the first row is folded once.
+    """
+    return _fold(df, by, order, folds, block_rows, -1, descending=True)

@@ -22,14 +22,9 @@ TABLE_KEY = ("host", *SSTABLE)
 def with_removal(
     changes: DataFrame, key: Sequence[str] = TABLE_KEY, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Add ``removed_seq`` / ``removed_ts``: the next deletion of the row's SSTable."""
-    deletion = F.when(F.col("kind") == "deleted", F.struct("seq", "ts"))
-    found = following(changes, key, "seq", {"_gone": (deletion, "min")}, block_rows)
-    return (
-        found.withColumn("removed_seq", F.col("_gone.seq"))
-        .withColumn("removed_ts", F.col("_gone.ts"))
-        .drop("_gone")
-    )
+    """Add ``removed_seq``: the next deletion of the row's SSTable."""
+    deletion = F.when(F.col("kind") == "deleted", F.col("seq"))
+    return following(changes, key, "seq", {"removed_seq": (deletion, "min")}, block_rows)
 
 
 def lifetimes(
@@ -41,7 +36,7 @@ def lifetimes(
     """
     added = with_removal(changes, key, block_rows).filter(F.col("kind") != "deleted")
     return added.withColumnsRenamed({"seq": "added_seq", "ts": "added_ts"}).select(
-        *key, "component", "size", "added_seq", "added_ts", "removed_seq", "removed_ts"
+        *key, "component", "size", "added_seq", "added_ts", "removed_seq"
     )
 
 

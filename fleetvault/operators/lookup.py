@@ -1,4 +1,4 @@
-"""Lookups whose fact side may carry hot keys."""
+"""Hot keys: finding them, and lookups whose fact side carries them."""
 
 from __future__ import annotations
 
@@ -6,9 +6,44 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SALT = "_salt"
-WAYS = 32
+WAYS = "_ways"
+ROWS_PER_TASK = 1_000_000
+# At most this many keys are treated as hot. Any other key then holds less than one
+# ten-thousandth of the rows, and the list stays small enough to broadcast whatever the data.
+MOST_HOT_KEYS = 10_000
+
+
+def hot_keys(
+    facts: DataFrame,
+    on: Sequence[str],
+    rows_per_task: int = ROWS_PER_TASK,
+    fraction: float = 0.01,
+) -> DataFrame | None:
+    """Keys with more rows than one task should hold, and into how many ways to split them.
+
+    Runs one job over the key columns alone. With a fraction below one the counts are
+    estimated from a sample; a wrong estimate costs balance, never rows. None when no key is
+    hot.
+    """
+    keys = facts.select(*on)
+    seen = keys if fraction >= 1 else keys.sample(fraction, seed=11)
+    counted = seen.groupBy(*on).agg(F.count("*").alias("_n"))
+    ways = F.ceil(F.col("_n") / (rows_per_task * min(fraction, 1.0))).cast("int")
+    heavy = counted.withColumn(WAYS, ways).filter(F.col(WAYS) > 1)
+    found = heavy.orderBy(F.desc("_n")).limit(MOST_HOT_KEYS).select(*on, WAYS).collect()
+    if not found:
+        return None
+    schema = T.StructType([*keys.schema.fields, T.StructField(WAYS, T.IntegerType())])
+    return facts.sparkSession.createDataFrame([tuple(row) for row in found], schema)
+
+
+def with_ways(df: DataFrame, hot: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Add how many ways the row's key is split; one for a key that is not hot."""
+    marked = df.join(F.broadcast(hot), list(on), "left")
+    return marked.withColumn(WAYS, F.coalesce(WAYS, F.lit(1)))
 
 
 def spread_lookup(
@@ -16,15 +51,22 @@ def spread_lookup(
     lookup: DataFrame,
     on: Sequence[str],
     spread_by: Sequence[str],
-    ways: int = WAYS,
+    rows_per_task: int = ROWS_PER_TASK,
+    fraction: float = 0.01,
 ) -> DataFrame:
-    """Left join of ``facts`` to ``lookup`` (unique on ``on``) with every key split ``ways`` ways.
+    """Left join of ``facts`` to ``lookup`` (unique on ``on``) that splits hot keys.
 
-    Facts are salted by ``spread_by``. The lookup is repeated only for the (key, salt) pairs
-    that occur, so a key used by few facts is copied few times, and the pairs are made
-    distinct on the map side before they move.
+    Facts of a hot key are dealt out by a hash of ``spread_by`` and its lookup row is copied
+    once per way. All other keys join as they are.
     """
-    salted = facts.withColumn(SALT, F.pmod(F.xxhash64(*spread_by), F.lit(ways)))
-    pairs = salted.select(*on, SALT).distinct()
-    found = pairs.join(lookup, list(on), "inner")
-    return salted.join(found, [*on, SALT], "left").drop(SALT)
+    hot = hot_keys(facts, on, rows_per_task, fraction)
+    if hot is None:
+        return facts.join(lookup, list(on), "left")
+    dealt = with_ways(facts, hot, on).withColumn(
+        SALT, F.pmod(F.xxhash64(*spread_by), F.col(WAYS)).cast("int")
+    )
+    copies = with_ways(lookup, hot, on).withColumn(
+        SALT, F.explode(F.sequence(F.lit(0), F.col(WAYS) - 1))
+    )
+    joined = dealt.drop(WAYS).join(copies.drop(WAYS), [*on, SALT], "left")
+    return joined.drop(SALT)

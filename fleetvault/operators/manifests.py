@@ -16,8 +16,7 @@ from fleetvault.functions.paths import (
     parse_backup_name,
 )
 from fleetvault.functions.sizes import human_bytes
-from fleetvault.functions.times import trunc_day
-from fleetvault.operators.lookup import spread_lookup
+from fleetvault.operators.lookup import WAYS, hot_keys, with_ways
 
 KEY = ("host", "keyspace", "ts")
 PART_FILES = 100_000
@@ -33,15 +32,17 @@ def build(
 
     A manifest with more than ``part_files`` files becomes several rows numbered by ``part``
     (of ``parts``), so that no single row has to hold an unbounded list; ``explode`` does not
-    care. Files are told apart by their body, so equal rows share a part.
+    care. The rows move once: both groupings share the partitioning by (key, part).
     """
-    counts = components.groupBy(*key).agg(F.ceil(F.count("*") / part_files).cast("int").alias("parts"))
-    spread = ["cf", *body]
-    sized = spread_lookup(components, counts, key, spread)
-    # The seed differs from the one that spreads the lookup, or parts and salts would coincide.
-    part = F.pmod(F.xxhash64(F.lit("part"), *spread), F.col("parts")).cast("int")
+    large = hot_keys(components, key, part_files, fraction=1.0)
+    if large is None:
+        sized = components.withColumn(WAYS, F.lit(1))
+    else:
+        sized = with_ways(components, large, key)
+    part = F.pmod(F.xxhash64("cf", *body), F.col(WAYS)).cast("int")
+    placed = sized.withColumn("part", part).withColumnRenamed(WAYS, "parts")
     lists = (
-        sized.withColumn("part", part)
+        placed.repartition(*key, "parts", "part")
         .groupBy(*key, "parts", "part", "cf")
         .agg(F.collect_list(F.struct(*body)).alias("files"))
     )
@@ -130,7 +131,3 @@ def one_by_name(manifests: DataFrame, name: str) -> DataFrame:
         & (F.col("host") == wanted["host"])
         & (F.col("ts") == wanted["ts"])
     )
-
-
-def day_start(ts: str = "ts") -> Column:
-    return trunc_day(F.col(ts))

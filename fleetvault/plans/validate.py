@@ -20,7 +20,9 @@ def with_path(components: DataFrame) -> DataFrame:
     return components.withColumn("path", backup_path())
 
 
-def component_meta(components: DataFrame, meta: DataFrame, spread_by: Sequence[str] = BACKUP) -> DataFrame:
+def component_meta(
+    components: DataFrame, meta: DataFrame, spread_by: Sequence[str] = BACKUP
+) -> DataFrame:
     """Components with the recorded metadata of their file (null when there is none).
 
     Many backups name the same file, so the file key can be hot on the component side.

@@ -64,8 +64,8 @@ def start(
 def read(spark: SparkSession, store: str) -> DataFrame:
     """Lifetimes as of the last batch: per added file the newest statement wins."""
     told = spark.read.parquet(_lives(store))
-    newest = F.max_by(F.struct("size", "added_ts", "removed_seq", "removed_ts"), "batch")
+    newest = F.max_by(F.struct("size", "added_ts", "removed_seq"), "batch")
     key = (*TABLE_KEY, "component", "added_seq")
     return told.groupBy(*key).agg(newest.alias("_v")).select(
-        *TABLE_KEY, "component", "_v.size", "added_seq", "_v.added_ts", "_v.removed_seq", "_v.removed_ts"
+        *TABLE_KEY, "component", "_v.size", "added_seq", "_v.added_ts", "_v.removed_seq"
     )

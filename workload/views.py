@@ -40,22 +40,23 @@ VIEWS: dict[str, str] = {
                'node-' || CAST(o_custkey % 3 AS STRING) || '.dc-1.example' AS host,
                o_orderdate + (o_orderkey % 86400) * INTERVAL '1' SECOND AS ts
         FROM {orders}""",
-    # Manifest bodies, one row per component.
+    # Manifest bodies, one row per component; lines repeat, so the keys are made distinct.
     "manifest_component": """
-        SELECT DISTINCT m.manifest_id, m.keyspace, m.host, m.ts,
+        SELECT m.manifest_id, m.keyspace, m.host, m.ts,
                'cf' || CAST(l_partkey % 4 AS STRING) AS cf,
                CASE l_partkey % 6 WHEN 0 THEN 'g' WHEN 1 THEN 'h' WHEN 2 THEN 'hc' WHEN 3 THEN 'hd' WHEN 4 THEN 'ia' ELSE 'ib' END AS version,
                l_partkey AS generation,
                CASE l_linenumber WHEN 1 THEN 'Data.db' WHEN 2 THEN 'Index.db' WHEN 3 THEN 'Filter.db' WHEN 4 THEN 'CompressionInfo.db'
                     WHEN 5 THEN 'Statistics.db' WHEN 6 THEN 'Summary.db' ELSE 'TOC.txt' END AS component,
                (l_partkey * 7919 + l_linenumber * 104729) * 1021 % 7000000000 AS size
-        FROM {manifest} m JOIN {lineitem} l ON l_orderkey = m.manifest_id""",
-    # Recorded metadata with checksum.
+        FROM {manifest} m JOIN (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM {lineitem}) l
+             ON l_orderkey = m.manifest_id""",
+    # Recorded metadata with checksum, one row per file.
     "backup_file": f"""
-        SELECT DISTINCT host, keyspace, cf, version, generation, component, size,
+        SELECT host, keyspace, cf, version, generation, component, size,
                'hosts/' || host || '/' || keyspace || '/' || cf || '/' || {_NAME} AS path,
                md5(host || '/' || keyspace || '/' || cf || '/' || CAST(generation AS STRING) || '/' || component) AS md5
-        FROM {{manifest_component}}""",
+        FROM (SELECT DISTINCT host, keyspace, cf, version, generation, component, size FROM {{manifest_component}}) q""",
     # What is really in the store: some files renamed (missing, and orphans), some altered.
     "stored_file": """
         SELECT host, keyspace, cf, version, generation, size,
