@@ -34,14 +34,20 @@ def directories(paths: DataFrame, path: str = "path") -> DataFrame:
     return parents.select(F.explode(ancestors).alias("directory")).filter("directory != ''").distinct()
 
 
+def _entry(name: Column, is_dir: bool) -> list[Column]:
+    return [name.alias("entry"), F.lit(is_dir).alias("is_dir")]
+
+
 def tree(paths: DataFrame, path: str = "path") -> DataFrame:
-    """Every directory entry of the whole store: parent, name, is_dir; sidecars hidden."""
-    shown = paths.filter(~is_sidecar(F.col(path)))
-    files = shown.select(
+    """Every directory entry of the whole store: parent, name, is_dir; sidecars hidden.
+
+    Paths are unique, so only the directories are made distinct.
+    """
+    files = paths.filter(~is_sidecar(F.col(path))).select(
         _parent(F.col(path)).alias("parent"),
         F.substring_index(F.col(path), "/", -1).alias("name"),
         F.lit(False).alias("is_dir"),
-    ).distinct()
+    )
     dirs = directories(paths, path).select(
         _parent(F.col("directory")).alias("parent"),
         F.substring_index("directory", "/", -1).alias("name"),
@@ -58,30 +64,27 @@ def list_dir(
     recursive: bool = False,
     path: str = "path",
 ) -> DataFrame:
-    """Entries under a prefix: names of one level, or paths of the whole subtree."""
+    """Entries under a prefix: names of one level, or paths of the whole subtree.
+
+    The prefix test reaches the scan as a pushed filter. Listing files alone moves no rows.
+    """
     root = prefix.rstrip("/") + "/"
     below = paths.filter(F.col(path).startswith(root))
-    empty = below.select(F.col(path).alias("entry"), F.lit(False).alias("is_dir")).limit(0)
-    found = empty
-    if recursive:
-        if include_files:
-            found = below.filter(~is_sidecar(F.col(path))).select(
-                F.col(path).alias("entry"), F.lit(False).alias("is_dir")
-            )
-        if include_dirs:
-            inner = directories(below, path).filter(F.col("directory").startswith(root))
-            found = found.unionByName(inner.select(F.col("directory").alias("entry"), F.lit(True).alias("is_dir")))
-        return found
+    visible = below.filter(~is_sidecar(F.col(path)))
     rest = F.substring(F.col(path), len(root) + 1, 2**31 - 1)
-    level = below.select(
-        F.substring_index(rest, "/", 1).alias("entry"), rest.contains("/").alias("is_dir")
-    )
-    wanted = F.lit(False)
-    if include_files:
-        wanted = wanted | (~F.col("is_dir") & ~is_sidecar(F.col("entry")))
-    if include_dirs:
-        wanted = wanted | F.col("is_dir")
-    return level.filter(wanted).distinct()
+    if recursive:
+        files = visible.select(_entry(F.col(path), False))
+        inner = directories(below, path).filter(F.col("directory").startswith(root))
+        dirs = inner.select(_entry(F.col("directory"), True))
+    else:
+        files = visible.filter(~rest.contains("/")).select(_entry(rest, False))
+        first = F.substring_index(rest, "/", 1)
+        dirs = below.filter(rest.contains("/")).select(_entry(first, True)).distinct()
+    if include_files and include_dirs:
+        return files.unionByName(dirs)
+    if not include_files and not include_dirs:
+        return files.limit(0)
+    return files if include_files else dirs
 
 
 def existing(paths: DataFrame, stored: DataFrame, on: str = "path") -> DataFrame:

@@ -16,9 +16,10 @@ from fleetvault.functions.paths import (
     parse_backup_name,
 )
 from fleetvault.functions.sizes import human_bytes
-from fleetvault.operators.lookup import WAYS, hot_keys, with_ways
+from fleetvault.operators.lookup import WAYS, hot_keys, spread_lookup, with_ways
 
 KEY = ("host", "keyspace", "ts")
+DAY = ("keyspace", "host", "day")
 PART_FILES = 100_000
 
 
@@ -83,7 +84,7 @@ def named(manifests: DataFrame) -> DataFrame:
     )
 
 
-def latest(manifests: DataFrame, by: Sequence[str] = ("keyspace", "host", "day")) -> DataFrame:
+def latest(manifests: DataFrame, by: Sequence[str] = DAY) -> DataFrame:
     """The most recent backup per group; an aggregate, so it combines before it moves."""
     newest = named(manifests).groupBy(*by).agg(F.max(F.struct("ts", "name")).alias("_last"))
     return newest.select(*by, "_last.ts", "_last.name")
@@ -109,8 +110,13 @@ def listed(
 
 
 def for_days(manifests: DataFrame, requests: DataFrame) -> DataFrame:
-    """All backups of the requested (keyspace, host, day) rows."""
-    return named(manifests).join(requests, ["keyspace", "host", "day"], "left_semi")
+    """All backups of the requested (keyspace, host, day) rows.
+
+    One day of one host may hold a large part of all backups, so its rows are spread.
+    """
+    wanted = requests.select(*DAY).distinct().withColumn("_wanted", F.lit(True))
+    found = spread_lookup(named(manifests), wanted, DAY, ["ts"])
+    return found.filter("_wanted").drop("_wanted")
 
 
 def by_name(manifests: DataFrame, names: DataFrame, name: str = "name") -> DataFrame:

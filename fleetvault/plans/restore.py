@@ -51,10 +51,12 @@ def restore_plan(
         why = why.otherwise(NOT_CHECKED)
     name = paths.base_name(F.col("restore_path"))
     moved = paths.quarantine_path(data_dir, quarantine, name)
+    # Without recorded metadata nothing will be restored, so the target stays where it is.
+    replaced = (F.col("restore_reason") == EXISTING_CORRUPT) & F.col("md5").isNotNull()
     return (
         joined.withColumn("restore_reason", why)
         .withColumn("should_restore", F.col("restore_reason") != CHECKED)
-        .withColumn("corrupt_path", F.when(F.col("restore_reason") == EXISTING_CORRUPT, moved))
+        .withColumn("corrupt_path", F.when(replaced, moved))
         .drop("_target", "_exists")
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,16 +18,7 @@ CORRUPT = "_corrupt_record"
 FOLDERS = ("in_keyspace", "year", "month", "day", "on_host")
 
 _STORED = T.StructType([*stored_form(MANIFEST).fields, T.StructField(CORRUPT, T.StringType())])
-_TABLE = T.StructType(
-    [
-        *_STORED.fields,
-        T.StructField("in_keyspace", T.StringType()),
-        T.StructField("year", T.IntegerType()),
-        T.StructField("month", T.IntegerType()),
-        T.StructField("day", T.IntegerType()),
-        T.StructField("on_host", T.StringType()),
-    ]
-)
+_FOLDER_TYPES = {"year": "integer", "month": "integer", "day": "integer"}
 
 
 def _typed(raw: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -66,10 +58,15 @@ def read_tree(
     return _typed(raw)
 
 
-def read_table(spark: SparkSession, root: str) -> DataFrame:
+def read_table(
+    spark: SparkSession, root: str, folders: Sequence[str] = FOLDERS
+) -> DataFrame:
     """Manifests written by ``write_table``; filters on the folder columns skip folders."""
-    raw = spark.read.schema(_TABLE).option("columnNameOfCorruptRecord", CORRUPT).json(root)
-    return _typed(raw, FOLDERS)
+    schema = T.StructType(list(_STORED.fields))
+    for name in folders:
+        schema = schema.add(name, _FOLDER_TYPES.get(name, "string"))
+    raw = spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).json(root)
+    return _typed(raw, tuple(folders))
 
 
 def documents(manifests: DataFrame) -> DataFrame:
@@ -89,13 +86,17 @@ def documents(manifests: DataFrame) -> DataFrame:
     )
 
 
-def write_table(manifests: DataFrame, root: str, mode: str = "append") -> None:
+def write_table(
+    manifests: DataFrame, root: str, mode: str = "append", folders: Sequence[str] = FOLDERS
+) -> None:
     """One JSON document per line, in keyspace / year / month / day / host folders.
 
-    The rebalance hint gathers the rows of a folder and lets Spark split a large one.
+    Fewer folders suit small fleets. The rebalance hint gathers the rows of a folder and lets
+    Spark split a large one.
     """
-    docs = documents(manifests).hint("rebalance", *FOLDERS)
-    docs.write.mode(mode).partitionBy(*FOLDERS).json(root)
+    docs = documents(manifests)
+    unused = [name for name in FOLDERS if name not in folders]
+    docs.drop(*unused).hint("rebalance", *folders).write.mode(mode).partitionBy(*folders).json(root)
 
 
 def component_struct() -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fleetvault.operators.blocked import BLOCK_ROWS
 from fleetvault.operators.gates import accepted_changes
 from fleetvault.operators.history import TABLE_KEY, lifetimes
+from fleetvault.operators.lookup import spread_lookup
 
 EVENT_COLUMNS = (*TABLE_KEY, "component", "seq", "ts", "kind", "size")
 
@@ -34,9 +35,9 @@ def apply_batch(batch: DataFrame, batch_id: int, store: str, block_rows: int, **
 
     fresh = spark.read.parquet(own)
     seen = spark.read.parquet(_events(store)).filter(F.col("batch") <= batch_id).drop("batch")
-    touched = fresh.select(*TABLE_KEY).distinct()
-    affected = seen.join(touched, list(TABLE_KEY), "left_semi")
-    current = lifetimes(affected, block_rows=block_rows)
+    touched = fresh.select(*TABLE_KEY).distinct().withColumn("_touched", F.lit(True))
+    affected = spread_lookup(seen, touched, TABLE_KEY, ["seq"]).filter("_touched")
+    current = lifetimes(affected.drop("_touched"), block_rows=block_rows)
     current.write.mode("overwrite").parquet(f"{_lives(store)}/batch={batch_id}")
 
 

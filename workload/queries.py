@@ -1223,15 +1223,38 @@ def exploded_documents(read: DataFrame) -> DataFrame:
     )
 
 
-@query("write_manifests", DOCUMENTS)
+@query("scan_manifests", DOCUMENTS)
 def _(c):
+    """Write the documents plainly and read them back as a tree."""
     root = run_dir(c.spark, "manifests")
-    # One folder per keyspace and host would hold a day each; the test folders are coarser.
     docs = manifest_source.documents(manifest_documents(c))
-    docs.drop("in_keyspace", "year", "month", "day", "on_host").write.json(f"{root}/cluster")
+    docs.drop(*manifest_source.FOLDERS).write.json(f"{root}/cluster")
     return exploded_documents(manifest_source.read_tree(c.spark, root))
 
 
+@query("write_manifests", DOCUMENTS)
+def _(c):
+    root = run_dir(c.spark, "manifests")
+    folders = ("in_keyspace", "year")
+    manifest_source.write_table(manifest_documents(c), root, folders=folders)
+    return exploded_documents(manifest_source.read_table(c.spark, root, folders))
+
+
+@query(
+    "scan_file_meta",
+    f"WITH _m AS ({META_SQL}) SELECT host, keyspace, count(*) AS files, sum(size)::BIGINT AS size, 0::BIGINT AS bad FROM _m GROUP BY ALL",
+)
+def _(c):
+    root = run_dir(c.spark, "meta")
+    file_meta.write(meta_rows(c), root)
+    read = file_meta.read(c.spark, root, "*.json")
+    return read.groupBy("host", F.col("component.keyspace").alias("keyspace")).agg(
+        F.count("*").alias("files"),
+        F.sum("component.stat.size").alias("size"),
+        F.count(file_meta.CORRUPT).alias("bad"),
+    )
+
+
 @query("write_file_meta", META_SQL)
 def _(c):
     root = run_dir(c.spark, "meta")
