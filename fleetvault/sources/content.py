@@ -14,7 +14,7 @@ def with_checksum(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def read(spark: SparkSession, root: str) -> DataFrame:
-    """Path, body, size and checksum of every file below ``root``."""
+    """Path, body, size and checksum of every file below ``root`` that is not empty."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace("path", "^file:(//)?", "").alias("path")
     return with_checksum(files.select(path, "content"))

@@ -18,7 +18,8 @@ STAT_DDL = (
 def scan(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
     """Every file under ``root`` with size and time; file contents are not read.
 
-    Ownership is unknown to the scan and comes as null columns.
+    Ownership is unknown to the scan and comes as null columns. Spark's file sources leave
+    out empty files; ``walk`` lists them.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
