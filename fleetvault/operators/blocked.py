@@ -2,8 +2,8 @@
 
 A plain window over a key puts the whole key into one task. Here the order column, a unique
 bigint such as a line number, is cut into blocks of consecutive values; a block can hold no
-more rows than it has values. The fold runs inside each (key, block), one row per block goes
-through a second, small window, and its result is added back. Keys must not be null.
+more rows than it has values. One row per block goes through a small window over the key,
+and what it finds opens the window over each (key, block). There is no join.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 1_000_000
+from fleetvault.operators.lookup import WAYS, hot_keys, with_ways
+
+BLOCK_ROWS = 200_000
 BLOCK = "_block"
 
 _FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -23,44 +25,43 @@ def block_of(order: str, rows: int = BLOCK_ROWS) -> Column:
     return F.expr(f"`{order}` div {int(rows)}L")
 
 
-def _merge(kind: str, local: Column, carried: Column) -> Column:
-    if kind == "sum":
-        return F.coalesce(local, F.lit(0)) + F.coalesce(carried, F.lit(0))
-    return (F.greatest if kind == "max" else F.least)(local, carried)
-
-
-def _fold(df, by, order, folds, block_rows, last, descending=False) -> DataFrame:
+def _fold(df, by, order, folds, block_rows, last, descending=False, shared=False) -> DataFrame:
     def sequence(name: str) -> Column:
         return F.col(name).desc() if descending else F.col(name).asc()
 
-    inputs = {f"_in_{out}": value for out, (value, _) in folds.items()}
-    keyed = df.withColumns({BLOCK: block_of(order, block_rows), **inputs})
+    passed = [c for c in df.columns if c not in {*by, order}] if shared else []
+    values = {f"_in_{out}": value for out, (value, _) in folds.items()}
+    kinds = {f"_in_{out}": _FOLDS[kind] for out, (_, kind) in folds.items()}
+    rows = df.withColumns({BLOCK: block_of(order, block_rows), **values})
 
-    totals = keyed.groupBy(*by, BLOCK).agg(
-        *[_FOLDS[kind](f"_in_{out}").alias(f"_in_{out}") for out, (_, kind) in folds.items()]
+    totals = rows.groupBy(*by, BLOCK).agg(
+        *[fold(name).alias(name) for name, fold in kinds.items()],
+        *[F.count(c).alias(f"_has_{c}") for c in passed],
     )
+    if shared:
+        # The counts are not needed, but reading the columns they count is what makes both
+        # uses of the input identical; the filter keeps them from being pruned.
+        totals = totals.filter(F.greatest(F.lit(0), *[F.col(f"_has_{c}") for c in passed]) >= 0)
     across = (
         Window.partitionBy(*by).orderBy(sequence(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = totals.select(
-        *by,
-        BLOCK,
-        *[_FOLDS[kind](f"_in_{out}").over(across).alias(f"_far_{out}") for out, (_, kind) in folds.items()],
+        *by, BLOCK, *[fold(name).over(across).alias(name) for name, fold in kinds.items()]
+    )
+    # What earlier blocks add up to comes in as a row ahead of the block's own rows.
+    both = rows.withColumn("_own", F.lit(1)).unionByName(
+        carried.withColumn("_own", F.lit(0)), allowMissingColumns=True
     )
     within = (
         Window.partitionBy(*by, BLOCK)
-        .orderBy(sequence(order))
+        .orderBy("_own", sequence(order))
         .rowsBetween(Window.unboundedPreceding, last)
     )
-    local = keyed.withColumns(
-        {f"_near_{out}": _FOLDS[kind](f"_in_{out}").over(within) for out, (_, kind) in folds.items()}
-    )
-    merged = {
-        out: _merge(kind, F.col(f"_near_{out}"), F.col(f"_far_{out}"))
-        for out, (_, kind) in folds.items()
-    }
-    helpers = [f"_{part}_{out}" for out in folds for part in ("in", "near", "far")]
-    return local.join(carried, [*by, BLOCK], "left").withColumns(merged).drop(BLOCK, *helpers)
+    results = {}
+    for out, (_, kind) in folds.items():
+        folded = _FOLDS[kind](f"_in_{out}").over(within)
+        results[out] = F.coalesce(folded, F.lit(0)) if kind == "sum" else folded
+    return both.withColumns(results).filter("_own = 1").drop(BLOCK, "_own", *values)
 
 
 def running(
@@ -70,12 +71,15 @@ def running(
     folds: Mapping[str, tuple[Column, str]],
     block_rows: int = BLOCK_ROWS,
     before_only: bool = False,
+    shared: bool = False,
 ) -> DataFrame:
     """Fold from the first row of the key to this one (or the one before it).
 
-    ``folds`` maps an output name to (value, ``sum`` | ``max`` | ``min``).
+    ``folds`` maps an output name to (value, ``sum`` | ``max`` | ``min``). The input is used
+    twice. A stored table is cheap to read twice, with few columns the second time; for an
+    input that comes out of a shuffle say ``shared``, and Spark runs that shuffle once.
     """
-    return _fold(df, by, order, folds, block_rows, -1 if before_only else 0)
+    return _fold(df, by, order, folds, block_rows, -1 if before_only else 0, shared=shared)
 
 
 def following(
@@ -91,3 +95,33 @@ def following(
     row, one that starts at the first row is folded once.
     """
     return _fold(df, by, order, folds, block_rows, -1, descending=True)
+
+
+def following_where_hot(
+    df: DataFrame,
+    by: Sequence[str],
+    order: str,
+    folds: Mapping[str, tuple[Column, str]],
+    block_rows: int = BLOCK_ROWS,
+    fraction: float = 0.01,
+) -> DataFrame:
+    """``following`` for many keys of which few, if any, are larger than a block.
+
+    Those few are found first; all others take one plain window, without blocks or a join.
+    """
+
+    def plain(rows: DataFrame) -> DataFrame:
+        after = (
+            Window.partitionBy(*by)
+            .orderBy(F.col(order).desc())
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        return rows.withColumns({out: _FOLDS[kind](v).over(after) for out, (v, kind) in folds.items()})
+
+    hot = hot_keys(df, by, block_rows, fraction)
+    if hot is None:
+        return plain(df)
+    marked = with_ways(df, hot, by)
+    small = plain(marked.filter(F.col(WAYS) == 1))
+    large = following(marked.filter(F.col(WAYS) > 1), by, order, folds, block_rows)
+    return small.unionByName(large).drop(WAYS)

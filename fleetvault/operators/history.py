@@ -13,28 +13,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetvault.functions.paths import SSTABLE, backup_name
-from fleetvault.operators.blocked import BLOCK_ROWS, following, running
+from fleetvault.operators.blocked import BLOCK_ROWS, following_where_hot, running
 
 OWNER = ("host", "keyspace")
 TABLE_KEY = ("host", *SSTABLE)
 
 
 def with_removal(
-    changes: DataFrame, key: Sequence[str] = TABLE_KEY, block_rows: int = BLOCK_ROWS
+    changes: DataFrame,
+    key: Sequence[str] = TABLE_KEY,
+    block_rows: int = BLOCK_ROWS,
+    fraction: float = 0.01,
 ) -> DataFrame:
-    """Add ``removed_seq``: the next deletion of the row's SSTable."""
+    """Add ``removed_seq``: the next deletion of the row's SSTable.
+
+    ``fraction`` is the share of events looked at to find SSTables with very many of them.
+    """
     deletion = F.when(F.col("kind") == "deleted", F.col("seq"))
-    return following(changes, key, "seq", {"removed_seq": (deletion, "min")}, block_rows)
+    folds = {"removed_seq": (deletion, "min")}
+    return following_where_hot(changes, key, "seq", folds, block_rows, fraction)
 
 
 def lifetimes(
-    changes: DataFrame, key: Sequence[str] = TABLE_KEY, block_rows: int = BLOCK_ROWS
+    changes: DataFrame,
+    key: Sequence[str] = TABLE_KEY,
+    block_rows: int = BLOCK_ROWS,
+    fraction: float = 0.01,
 ) -> DataFrame:
     """One row per add (or move) with the event that ended it, null while live.
 
     A file added twice has two rows, as it has two entries in the manifest.
     """
-    added = with_removal(changes, key, block_rows).filter(F.col("kind") != "deleted")
+    added = with_removal(changes, key, block_rows, fraction).filter(F.col("kind") != "deleted")
     return added.withColumnsRenamed({"seq": "added_seq", "ts": "added_ts"}).select(
         *key, "component", "size", "added_seq", "added_ts", "removed_seq"
     )
@@ -57,13 +67,14 @@ def versions(
     owner: Sequence[str] = OWNER,
     key: Sequence[str] = TABLE_KEY,
     block_rows: int = BLOCK_ROWS,
+    fraction: float = 0.01,
 ) -> DataFrame:
     """One row per manifest version: number, event, name, live files and bytes after it.
 
     An event adds its file where it happens and takes it away where its SSTable goes; both
     contributions are summed per event before the running totals.
     """
-    events = with_removal(changes, key, block_rows)
+    events = with_removal(changes, key, block_rows, fraction)
     adds = F.col("kind") != "deleted"
     zero = F.lit(0).cast("bigint")
 
@@ -93,7 +104,7 @@ def versions(
         "live_files": (F.col("_files"), "sum"),
         "live_bytes": (F.col("_bytes"), "sum"),
     }
-    numbered = running(per_event, owner, "seq", totals, block_rows)
+    numbered = running(per_event, owner, "seq", totals, block_rows, shared=True)
     return numbered.withColumn("name", backup_name(F.col("ts"))).drop("_files", "_bytes")
 
 

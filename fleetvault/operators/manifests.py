@@ -33,7 +33,7 @@ def build(
 
     A manifest with more than ``part_files`` files becomes several rows numbered by ``part``
     (of ``parts``), so that no single row has to hold an unbounded list; ``explode`` does not
-    care. The rows move once: both groupings share the partitioning by (key, part).
+    care. The rows move once, to (key, part); the map is made within the row.
     """
     large = hot_keys(components, key, part_files, fraction=1.0)
     if large is None:
@@ -42,15 +42,19 @@ def build(
         sized = with_ways(components, large, key)
     part = F.pmod(F.xxhash64("cf", *body), F.col(WAYS)).cast("int")
     placed = sized.withColumn("part", part).withColumnRenamed(WAYS, "parts")
-    lists = (
-        placed.repartition(*key, "parts", "part")
-        .groupBy(*key, "parts", "part", "cf")
-        .agg(F.collect_list(F.struct(*body)).alias("files"))
-    )
-    return lists.groupBy(*key, "parts", "part").agg(
-        F.map_from_entries(F.collect_list(F.struct("cf", "files"))).alias("components")
+    grouped = (
+        placed.groupBy(*key, "parts", "part")
+        .agg(F.collect_list(F.struct("cf", *body)).alias("_files"))
+        .withColumn("_cfs", F.array_distinct("_files.cf"))
     )
 
+    def files_of(cf: Column) -> Column:
+        own = F.filter("_files", lambda f: f["cf"] == cf)
+        return F.transform(own, lambda f: F.struct(*[f[name].alias(name) for name in body]))
+
+    components_map = F.map_from_arrays("_cfs", F.transform("_cfs", files_of))
+    return grouped.withColumn("components", components_map).drop("_files", "_cfs")
+
 
 def explode(manifests: DataFrame, keep: Sequence[str] = KEY) -> DataFrame:
     """Nested manifests -> one row per component."""

@@ -151,9 +151,9 @@ def test_history_equals_a_walk(spark, block_rows):
     rows = change_rows(140, block_rows)
     df = spark.createDataFrame(rows, CHANGES).repartition(4)
     live, lives, versions = fold_changes(rows)
-    lifetimes = history.lifetimes(df, block_rows=block_rows)
+    lifetimes = history.lifetimes(df, block_rows=block_rows, fraction=1.0)
     assert {r.added_seq: r.removed_seq for r in lifetimes.collect()} == lives
-    found = {(r.keyspace, r.seq, r.version, r.live_files, r.live_bytes) for r in history.versions(df, block_rows=block_rows).collect()}
+    found = {(r.keyspace, r.seq, r.version, r.live_files, r.live_bytes) for r in history.versions(df, block_rows=block_rows, fraction=1.0).collect()}
     assert found == set(versions)
     now = {r.added_seq for r in history.live_now(lifetimes).collect()}
     assert now == {f[2] for files in live.values() for f in files}
@@ -164,9 +164,19 @@ def test_history_equals_a_walk(spark, block_rows):
 
 
 def test_following_is_linear_frame(spark):
+    """Spark folds a frame that ends at the last row anew for every row."""
     df = spark.createDataFrame([(1, "a", 5)], "seq bigint, k string, v bigint")
-    plan = blocked.following(df, ["k"], "seq", {"m": (F.col("v"), "min")})._jdf.queryExecution().toString()
-    assert "unboundedfollowing" not in plan.lower()
+    for fold in (blocked.following, blocked.following_where_hot):
+        plan = fold(df, ["k"], "seq", {"m": (F.col("v"), "min")})._jdf.queryExecution().toString()
+        assert "unboundedfollowing" not in plan.lower()
+
+
+def test_versions_shuffle_their_events_once(spark):
+    df = spark.createDataFrame(change_rows(40, 1), CHANGES)
+    versions = history.versions(df)
+    versions.collect()
+    plan = versions._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
 
 
 def test_spread_lookup_is_exact_with_hot_keys(spark):
