@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import grp
 import os
+import pwd
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,42 +39,43 @@ def scan(spark: SparkSession, root: str, pattern: str | None = None) -> DataFram
     )
 
 
-def _account(lookup, key: int) -> str:
-    try:
-        return lookup(key)[0]
-    except KeyError:
-        return ""
+def _lister():
+    """The listing function for tasks.
 
+    It is made inside a function so that it travels to the executors whole; they need not
+    have this package installed.
+    """
 
-def _entries(folder: str) -> Iterator[tuple]:
-    import grp
-    import pwd
+    def account(lookup, key: int) -> str:
+        try:
+            return lookup(key)[0]
+        except KeyError:
+            return ""
 
-    try:
-        listed = list(os.scandir(folder))
-    except FileNotFoundError:
-        return
-    for entry in listed:
-        if entry.is_dir(follow_symlinks=False):
-            yield entry.path, None, None, None, None, None, None, True
-            continue
+    def entries(folder: str) -> Iterator[tuple]:
         try:
-            stat = entry.stat()
+            listed = list(os.scandir(folder))
         except FileNotFoundError:
-            continue
-        yield (
-            entry.path, stat.st_uid, stat.st_gid, stat.st_mode, stat.st_size,
-            _account(pwd.getpwuid, stat.st_uid), _account(grp.getgrgid, stat.st_gid), False,
-        )
-
-
-def _list_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["path", "uid", "gid", "mode", "size", "user", "group", "is_dir"]
-    for batch in batches:
-        for folder in batch["path"]:
-            found = pd.DataFrame(_entries(folder), columns=columns)
-            numbers = {c: "Int32" for c in ("uid", "gid", "mode")} | {"size": "Int64"}
-            yield found.astype(numbers)
+            return
+        for entry in listed:
+            if entry.is_dir(follow_symlinks=False):
+                yield entry.path, None, None, None, None, None, None, True
+                continue
+            try:
+                stat = entry.stat()
+            except FileNotFoundError:
+                continue
+            user, group = account(pwd.getpwuid, stat.st_uid), account(grp.getgrgid, stat.st_gid)
+            yield entry.path, stat.st_uid, stat.st_gid, stat.st_mode, stat.st_size, user, group, False
+
+    def list_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["path", "uid", "gid", "mode", "size", "user", "group", "is_dir"]
+        numbers = {"uid": "Int32", "gid": "Int32", "mode": "Int32", "size": "Int64"}
+        for batch in batches:
+            for folder in batch["path"]:
+                yield pd.DataFrame(entries(folder), columns=columns).astype(numbers)
+
+    return list_batches
 
 
 def walk(folders: DataFrame, table_root: str, depth: int = 64) -> DataFrame:
@@ -87,7 +90,7 @@ def walk(folders: DataFrame, table_root: str, depth: int = 64) -> DataFrame:
     tables: list[str] = []
     for number in range(depth):
         table = f"{table_root}/level={number}"
-        listed = level.repartition(F.col("path")).mapInPandas(_list_batches, STAT_DDL)
+        listed = level.repartition(F.col("path")).mapInPandas(_lister(), STAT_DDL)
         listed.write.mode("overwrite").parquet(table)
         tables.append(table)
         level = spark.read.parquet(table).filter("is_dir").select("path")
