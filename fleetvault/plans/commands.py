@@ -8,13 +8,14 @@ restore_path, md5).
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date, datetime
+from datetime import date, datetime, timezone
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetvault.functions.paths import DEFAULT_RELEASE, backup_path
-from fleetvault.functions.times import utc_now
+from fleetvault.functions.times import parse_input_value, utc_now
 from fleetvault.operators import gates, manifests as listing, usage
 from fleetvault.plans import restore as restoring
 from fleetvault.plans import retention, upload
@@ -26,6 +27,10 @@ def _components(manifests: DataFrame, name: str | None) -> DataFrame:
     return listing.explode(chosen)
 
 
+def _sized(rows: DataFrame) -> DataFrame:
+    return rows if "size" in rows.columns else rows.withColumn("size", F.col("stat.size"))
+
+
 def backup(
     files: DataFrame,
     stored: DataFrame,
@@ -46,17 +51,33 @@ def backup(
 
 
 def list_backups(
-    manifests: DataFrame, keyspace: str, host: str, day: date, list_all: bool = False
+    manifests: DataFrame,
+    keyspace: str,
+    host: str,
+    day: str | date | None = None,
+    list_all: bool = False,
+    zone: str = "UTC",
 ) -> DataFrame:
-    """Backups of a day, by default only the most recent one."""
+    """Backups of a UTC day, by default today's most recent one.
+
+    A text is read as a local time in ``zone``, which may fall on another UTC day.
+    """
+    if day is None:
+        day = utc_now().date()
+    elif isinstance(day, str):
+        local = parse_input_value(day).replace(tzinfo=ZoneInfo(zone))
+        day = local.astimezone(timezone.utc).date()
     return listing.listed(manifests, keyspace, host, day, list_all)
 
 
+def size(manifests: DataFrame, name: str) -> DataFrame:
+    """Files and bytes of a backup."""
+    return listing.sizes(_sized(_components(manifests, name)))
+
+
 def show(manifests: DataFrame, name: str, release: str | Column = DEFAULT_RELEASE) -> DataFrame:
     """Files of a backup by column family, with sizes."""
-    rows = _components(manifests, name)
-    sized = rows if "size" in rows.columns else rows.withColumn("size", F.col("stat.size"))
-    return listing.contents(sized, release)
+    return listing.contents(_sized(_components(manifests, name)), release)
 
 
 def validate(

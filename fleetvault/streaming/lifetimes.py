@@ -1,44 +1,109 @@
 """Component lifetimes kept up to date by a stream of change events.
 
-Every micro-batch appends its accepted events and works out the lifetimes of the SSTables it
-touched again, from all their events. The result does not depend on how events fall into
-batches, late ones included, and equals the batch operator. Each batch writes its own folder
-in overwrite mode, so a repeated batch replaces itself.
+A batch needs the files that were live before it and its own events: a file that is gone
+cannot change any more. So every micro-batch reads the last snapshot of live files and what
+the few batches since then said, never the whole history. When a batch holds an event older
+than one already seen from its host, the SSTables it touches are worked out again from all
+their events instead. Either way the result equals the batch operator.
+
+Each batch writes its own folders in overwrite mode, so a repeated batch replaces itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetvault.operators.blocked import BLOCK_ROWS
 from fleetvault.operators.gates import accepted_changes
-from fleetvault.operators.history import TABLE_KEY, lifetimes
+from fleetvault.operators.history import TABLE_KEY, lifetimes, live_now
 from fleetvault.operators.lookup import spread_lookup
 
 EVENT_COLUMNS = (*TABLE_KEY, "component", "seq", "ts", "kind", "size")
+SNAPSHOT_EVERY = 50
 
 
-def _events(store: str) -> str:
-    return f"{store}/events"
+def _folder(store: str, table: str, batch_id: int) -> str:
+    return f"{store}/{table}/batch={batch_id}"
 
 
-def _lives(store: str) -> str:
-    return f"{store}/lifetimes"
+def _read(spark: SparkSession, store: str, table: str, batches: Sequence[int]) -> DataFrame:
+    """The given batches of a table, with their number; other folders are not even listed."""
+    reader = spark.read.option("basePath", f"{store}/{table}")
+    return reader.parquet(*[_folder(store, table, n) for n in batches])
 
 
-def apply_batch(batch: DataFrame, batch_id: int, store: str, block_rows: int, **gate) -> None:
-    spark = batch.sparkSession
-    own = f"{_events(store)}/batch={batch_id}"
-    accepted_changes(batch, **gate).select(*EVENT_COLUMNS).write.mode("overwrite").parquet(own)
+def _write(df: DataFrame, store: str, table: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(_folder(store, table, batch_id))
+
+
+def _newest(told: DataFrame) -> DataFrame:
+    """Of several statements about the same added file the newest wins."""
+    value = F.max_by(F.struct("size", "added_ts", "removed_seq"), "batch").alias("_v")
+    return told.groupBy(*TABLE_KEY, "component", "added_seq").agg(value).select(
+        *TABLE_KEY, "component", "_v.size", "added_seq", "_v.added_ts", "_v.removed_seq"
+    )
+
+
+def _live_after(spark: SparkSession, store: str, batch_id: int, every: int) -> DataFrame | None:
+    """Files live after a batch: the snapshot before it and the statements since."""
+    if batch_id < 0:
+        return None
+    base = batch_id // every * every
+    since = range(base + 1, batch_id + 1)
+    told = _read(spark, store, "live", [base])
+    if since:
+        told = told.unionByName(_read(spark, store, "lifetimes", since))
+    return live_now(_newest(told))
+
 
-    fresh = spark.read.parquet(own)
-    seen = spark.read.parquet(_events(store)).filter(F.col("batch") <= batch_id).drop("batch")
-    touched = fresh.select(*TABLE_KEY).distinct().withColumn("_touched", F.lit(True))
-    affected = spread_lookup(seen, touched, TABLE_KEY, ["seq"]).filter("_touched")
-    current = lifetimes(affected.drop("_touched"), block_rows=block_rows)
-    current.write.mode("overwrite").parquet(f"{_lives(store)}/batch={batch_id}")
+def _touched(rows: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Rows of the SSTables the batch has events for; one of them may be very large."""
+    keys = fresh.select(*TABLE_KEY).distinct().withColumn("_touched", F.lit(True))
+    spread_by = "seq" if "seq" in rows.columns else "added_seq"
+    return spread_lookup(rows, keys, TABLE_KEY, [spread_by]).filter("_touched").drop("_touched")
+
+
+def apply_batch(
+    batch: DataFrame,
+    batch_id: int,
+    store: str,
+    block_rows: int = BLOCK_ROWS,
+    snapshot_every: int = SNAPSHOT_EVERY,
+    **gate,
+) -> None:
+    spark = batch.sparkSession
+    _write(accepted_changes(batch, **gate).select(*EVENT_COLUMNS), store, "events", batch_id)
+    fresh = _read(spark, store, "events", [batch_id]).drop("batch")
+
+    reached = fresh.groupBy("host").agg(F.max("seq").alias("reached"))
+    late = False
+    if batch_id > 0:
+        before = _read(spark, store, "reached", [batch_id - 1]).drop("batch")
+        late = not fresh.join(before, "host").filter("seq < reached").isEmpty()
+        reached = before.unionByName(reached).groupBy("host").agg(F.max("reached").alias("reached"))
+    _write(reached, store, "reached", batch_id)
+
+    if late:
+        rows = _touched(_read(spark, store, "events", range(batch_id + 1)).drop("batch"), fresh)
+    else:
+        rows = fresh
+        live = _live_after(spark, store, batch_id - 1, snapshot_every)
+        if live is not None:
+            earlier = _touched(live, fresh).withColumnsRenamed({"added_seq": "seq", "added_ts": "ts"})
+            earlier = earlier.withColumn("kind", F.lit("created")).select(*EVENT_COLUMNS)
+            rows = rows.unionByName(earlier)
+    _write(lifetimes(rows, block_rows=block_rows), store, "lifetimes", batch_id)
+
+    if batch_id % snapshot_every == 0:
+        told = _read(spark, store, "lifetimes", [batch_id])
+        live = _live_after(spark, store, batch_id - 1, snapshot_every)
+        if live is not None:
+            told = told.unionByName(live.withColumn("batch", F.lit(batch_id - 1)))
+        _write(live_now(_newest(told)), store, "live", batch_id)
 
 
 def start(
@@ -46,13 +111,17 @@ def start(
     store: str,
     checkpoint: str,
     block_rows: int = BLOCK_ROWS,
+    snapshot_every: int = SNAPSHOT_EVERY,
     trigger: dict | None = None,
     **gate,
 ) -> StreamingQuery:
-    """Keep the lifetimes below ``store``; ``gate`` goes to the eligibility rules."""
+    """Keep the lifetimes below ``store``; ``gate`` goes to the eligibility rules.
+
+    A store keeps the ``snapshot_every`` it was started with.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(batch, batch_id, store, block_rows, **gate)
+        apply_batch(batch, batch_id, store, block_rows, snapshot_every, **gate)
 
     return (
         events.writeStream.foreachBatch(step)
@@ -63,10 +132,5 @@ def start(
 
 
 def read(spark: SparkSession, store: str) -> DataFrame:
-    """Lifetimes as of the last batch: per added file the newest statement wins."""
-    told = spark.read.parquet(_lives(store))
-    newest = F.max_by(F.struct("size", "added_ts", "removed_seq"), "batch")
-    key = (*TABLE_KEY, "component", "added_seq")
-    return told.groupBy(*key).agg(newest.alias("_v")).select(
-        *TABLE_KEY, "component", "_v.size", "added_seq", "_v.added_ts", "_v.removed_seq"
-    )
+    """All lifetimes as of the last batch."""
+    return _newest(spark.read.parquet(f"{store}/lifetimes"))

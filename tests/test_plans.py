@@ -196,8 +196,13 @@ def test_commands_on_a_named_backup(spark):
     meta = stored.select("path", "md5")
     listed = commands.list_backups(nested, "k", "n-1", DAY.date()).collect()
     name = listed[0].name
+    evening = commands.list_backups(nested, "k", "n-1", "2024-05-09T20:00", zone="America/New_York")
+    assert evening.collect() == listed
+    assert commands.list_backups(nested, "k", "n-1").count() == 0
     mine = [c for c in body if c[:3] == ("n-1", "k", DAY)]
     shown = commands.show(nested, name).collect()
+    total = commands.size(nested, name).first()
+    assert (total.files, total.total_size, total.human_size) == (len(mine), 10 * len(mine), f"{10 * len(mine)}B")
     assert [r.generation for r in shown] == [c[5] for c in sorted(mine, key=lambda c: f"k-c-hd-{c[5]}-Data.db")]
     checked = commands.validate(nested, meta, stored, name, checksum=True)
     assert [r.status for r in checked.collect()] == ["present"] * len(mine)

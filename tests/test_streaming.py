@@ -1,5 +1,6 @@
 """Streams give the same answer as the batch operators, however events are batched."""
 
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -35,13 +36,13 @@ def write_files(spark, rows, folder, files, shuffle):
         spark.createDataFrame(part, CHANGE_EVENT).coalesce(1).write.mode("append").parquet(folder)
 
 
-@pytest.mark.parametrize("files,shuffle", [(1, False), (4, False), (4, True)])
-def test_lifetimes(spark, tmp_path, files, shuffle):
+@pytest.mark.parametrize("files,shuffle,every", [(1, False, 50), (6, False, 2), (6, True, 2), (3, True, 50)])
+def test_lifetimes(spark, tmp_path, files, shuffle, every):
     rows = change_rows(80, files)
     folder, store = str(tmp_path / "events"), str(tmp_path / "store")
     write_files(spark, rows, folder, files, shuffle)
     stream = events.read(spark, folder, files_per_batch=1)
-    query = lifetimes.start(stream, store, str(tmp_path / "cp"), block_rows=7)
+    query = lifetimes.start(stream, store, str(tmp_path / "cp"), block_rows=7, snapshot_every=every)
     query.awaitTermination()
     batch = history.lifetimes(gates.accepted_changes(spark.createDataFrame(rows, CHANGE_EVENT)))
     columns = batch.columns
@@ -56,12 +57,24 @@ def test_lifetimes_go_on_after_a_restart_and_a_repeated_batch(spark, tmp_path):
         spark.createDataFrame(part, CHANGE_EVENT).coalesce(1).write.mode("append").parquet(folder)
         lifetimes.start(events.read(spark, folder), store, str(tmp_path / "cp")).awaitTermination()
     again = spark.createDataFrame(rows[30:], CHANGE_EVENT)
-    lifetimes.apply_batch(again, 1, store, 1000)
+    lifetimes.apply_batch(again, 1, store)
     batch = history.lifetimes(gates.accepted_changes(spark.createDataFrame(rows, CHANGE_EVENT)))
     found = lifetimes.read(spark, store).select(batch.columns)
     assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, batch.collect()), key=str)
 
 
+def test_a_batch_in_order_does_not_read_old_events(spark, tmp_path):
+    rows, store = change_rows(90, 3), str(tmp_path / "store")
+    for n in range(3):
+        lifetimes.apply_batch(spark.createDataFrame(rows[n * 30 : n * 30 + 30], CHANGE_EVENT), n, store, snapshot_every=1)
+        os.rename(f"{store}/events/batch={n}", f"{tmp_path}/moved-{n}")
+        os.rename(f"{store}/lifetimes/batch={n}", f"{tmp_path}/told-{n}")
+    live = spark.read.parquet(f"{store}/live/batch=2")
+    batch = history.lifetimes(gates.accepted_changes(spark.createDataFrame(rows, CHANGE_EVENT)))
+    expected = {r.added_seq for r in history.live_now(batch).collect()}
+    assert {r.added_seq for r in live.collect()} == expected
+
+
 def test_initial_scan_precedes_the_watch(spark, tmp_path):
     inventory = spark.createDataFrame([("/d/k/c/k-c-hd-1-Data.db", 5), ("/d/k/c/k-c-hd-2-Data.db", 6)], "path string, size bigint")
     folder = str(tmp_path / "events")
