@@ -78,4 +78,4 @@ def trunc_day(ts: Column) -> Column:
 
 
 def trunc_hour(ts: Column) -> Column:
-    return trunc_day(ts) + F.make_dt_interval(F.lit(0), F.hour(ts))
+    return trunc_day(ts) + F.hour(ts) * F.expr("INTERVAL '1' HOUR")

@@ -149,6 +149,10 @@ def test_log_line_numbers_across_splits(spark, tmp_path):
         lines = transfer_log.read(spark, str(tmp_path))
         assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
         found = [(r.file.rsplit("/", 1)[1], r.seq, r.line) for r in lines.collect()]
+        position = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block")]
+        raw = spark.read.text(str(tmp_path)).select(*position, F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
+        joined = [(r.file.rsplit("/", 1)[1], r.seq, r.line) for r in transfer_log.numbered(raw).collect()]
+        assert sorted(joined) == sorted(found)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
