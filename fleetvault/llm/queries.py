@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetvault.llm import substring_dedup
+from fleetvault.llm import decontaminate, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op4(spark, sf_dir):
     cleaned = substring_dedup.dedup(table(spark, sf_dir, "documents"), window=13)
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(
+    "op7_benchmark_decontamination",
+    r"""
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+    b AS (
+        SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+    iw AS (
+        SELECT DISTINCT item_id, w, array_to_string(ws[p:p + w - 1], ' ') AS key
+        FROM (SELECT item_id, ws, least(len(ws), 10) AS w, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS p
+              FROM b WHERE len(ws) > 0)),
+    dw AS (
+        SELECT doc_id, w, p, array_to_string(ws[p:p + w - 1], ' ') AS key
+        FROM (SELECT doc_id, ws, w, unnest(range(1, len(ws) - w + 2)) AS p
+              FROM d, (SELECT DISTINCT w FROM iw) WHERE len(ws) >= w)),
+    hit AS (SELECT doc_id, w, p, item_id FROM dw JOIN iw USING (w, key)),
+    words AS (
+        SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(p, p + w)) AS i FROM hit) GROUP BY 1),
+    items AS (
+        SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY 1)
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit,
+           CAST(coalesce(items.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+           coalesce(words.n, 0) > 0 AS contaminated
+    FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+)
+def op7(spark, sf_dir):
+    docs, tests = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decontaminate.find(docs.select("doc_id", "text"), tests, window=10)
+    ids = F.array_sort(F.array_distinct(F.transform("items", lambda i: i.cast("string"))))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size(ids).cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
