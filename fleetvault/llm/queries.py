@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetvault.llm import decontaminate, substring_dedup
+from fleetvault.llm import decontaminate, packing, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,15 @@ def op7(spark, sf_dir):
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def vocabulary() -> str:
+    """The vocabulary file that the packing query is defined with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op6_packing")
+def op6(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), length=2048)
