@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetvault.llm import decontaminate, packing, substring_dedup
+from fleetvault.llm import decontaminate, packing, substring_dedup, warc
+from fleetvault.storage import run_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +106,34 @@ def vocabulary() -> str:
 @query("op6_packing")
 def op6(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), length=2048)
+
+
+@query(
+    "op3_warc",
+    """
+    WITH p AS (
+        SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+               sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    f AS (SELECT payload_digest, min(page_id) AS response FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN response <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN response <> page_id THEN response END AS refers_to
+    FROM p LEFT JOIN f USING (payload_digest)""",
+)
+def op3(spark, sf_dir):
+    warc.register(spark)
+    archive = run_dir(spark, "warc")
+    made = warc.page_records(table(spark, sf_dir, "pages"))
+    made.write.format("warc").option("path", archive).mode("append").save()
+    read = spark.read.format("warc").option("path", archive).load()
+    response = F.col("record_type") == "response"
+    # Responses are measured on the payload that came back, revisits by their headers.
+    return read.select(
+        warc.page_of("record_id").alias("page_id"),
+        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(response, F.sha2("payload", 256)).otherwise(F.substring_index("payload_digest", ":", -1)).alias(
+            "payload_digest"
+        ),
+        "record_type",
+        warc.page_of("refers_to").alias("refers_to"),
+    )

@@ -1,0 +1,117 @@
+"""Archives: exact round trips, pushed filters, skipped payloads, repeated and lost attempts."""
+
+import io
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from fleetvault.llm import warc
+from fleetvault.llm.queries import QUERIES
+from tests.oracle import difference
+
+LONG = "<p>é\r\n</p>" * 50_000
+ROWS = [
+    (5, "http://a/5", "x" * 100, 1),
+    (3, "http://a/3", "x" * 100, 1),
+    (9, None, "x" * 100, None),
+    (4, "http://a/4", "x" * 99, 1),
+    (6, "http://a/6", "x" * 99, 1),
+    (7, "http://a/7\r\nWARC-Type: fake", None, 1),
+    (8, "http://a/8", "", 1),
+    (None, "http://a/n", "x" * 100, 1),
+    (10, "http://a/é", LONG, 1),
+    (11, "u", "WARC/1.1\r\n\r\n" * 40, 1),
+]
+COLUMNS = "page_id long, url string, html string, digest long"
+
+
+@pytest.fixture()
+def archive(spark, tmp_path):
+    warc.register(spark)
+    path = f"file://{tmp_path}/archive"
+    df = spark.createDataFrame(ROWS, COLUMNS).repartition(3)
+    warc.page_records(df).write.format("warc").option("path", path).mode("append").save()
+    return path
+
+
+def load(spark, path, **options):
+    return spark.read.format("warc").option("path", path).options(**options).load()
+
+
+def test_round_trip(spark, archive):
+    found = {r.record_id: r for r in load(spark, archive).collect()}
+    assert len(found) == len(ROWS)
+    for page_id, url, html, _ in ROWS:
+        r = found[f"<urn:page:{page_id}>" if page_id is not None else None]
+        same = [i for i, _, h, _ in ROWS if h == html and i is not None]
+        first = min(same) if len((html or "").encode()) >= 100 else page_id
+        assert r.record_type == ("response" if page_id == first else "revisit")
+        assert r.refers_to == (None if page_id == first else f"<urn:page:{first}>")
+        assert bytes(r.payload) == (b"" if page_id != first else (html or "").encode())
+        assert r.payload_length == len((html or "").encode())
+        assert r.target_uri == (" ".join(url.splitlines()) if url else None)
+
+
+def test_filters_are_pushed(spark, archive):
+    both = load(spark, archive).filter("record_type = 'revisit' and target_uri is not null and payload_length > 5")
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert {r.record_id for r in both.collect()} == {"<urn:page:5>", None}
+    condition = [line for line in plan.splitlines() if "Filter" in line]
+    assert all("record_type" not in line for line in condition) and any("payload_length" in line for line in condition)
+
+
+def test_only_wanted_payloads_are_decoded():
+    data = b"".join(warc.encode({"record_type": t, "payload": b"p" * 3_000_000}) for t in ("a", "b", "a"))
+    source = io.BufferedReader(warc._Inflated(io.BytesIO(data)), 1 << 16)
+    taken = []
+    read = source.read
+
+    class Watched:
+        readline = source.readline
+
+        @staticmethod
+        def read(size):
+            piece = read(size)
+            taken.append(len(piece))
+            return piece
+
+    test = warc._Test("record_type", "in", ("b",))
+    assert [len(r["payload"]) for r in warc.records(Watched, [test], True)] == [3_000_000]
+    assert taken.count(3_000_000) == 1
+    source = io.BufferedReader(warc._Inflated(io.BytesIO(data)), 1 << 16)
+    assert [r["payload"] for r in warc.records(source, [], False)] == [None] * 3
+
+
+def test_without_payload(spark, archive):
+    assert load(spark, archive, payload="false").filter(F.col("payload").isNotNull()).count() == 0
+
+
+def test_files_of_lost_attempts_are_not_read(spark, archive):
+    folder = archive.removeprefix("file://")
+    with open(f"{folder}/stray.warc.gz", "wb") as f:
+        f.write(warc.encode({"record_type": "response", "payload": b"x"}))
+    assert load(spark, archive).count() == len(ROWS)
+
+
+def test_truncated_archive_raises(spark, archive):
+    folder = archive.removeprefix("file://")
+    for name in json.load(open(f"{folder}/{warc.MANIFEST}")):
+        with open(f"{folder}/{name}", "r+b") as f:
+            f.truncate(os.path.getsize(f"{folder}/{name}") - 5)
+    with pytest.raises(Exception, match="ends within"):
+        load(spark, archive).collect()
+
+
+def test_empty_table(spark, tmp_path):
+    warc.register(spark)
+    path = f"file://{tmp_path}/none"
+    warc.page_records(spark.createDataFrame([], COLUMNS)).write.format("warc").option("path", path).mode("append").save()
+    assert load(spark, path).collect() == []
+
+
+def test_query(spark, sf_dir, con):
+    from fleetvault.llm.queries import ORACLES
+
+    assert difference(QUERIES["op3_warc"](spark, sf_dir), con, ORACLES["op3_warc"]) is None
