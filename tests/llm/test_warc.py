@@ -58,7 +58,7 @@ def test_filters_are_pushed(spark, archive):
     both = load(spark, archive).filter("record_type = 'revisit' and target_uri is not null and payload_length > 5")
     plan = both._jdf.queryExecution().executedPlan().toString()
     assert {r.record_id for r in both.collect()} == {"<urn:page:5>", None}
-    condition = [line for line in plan.splitlines() if "Filter" in line]
+    condition = [line for line in plan.splitlines() if " Filter (" in line]
     assert all("record_type" not in line for line in condition) and any("payload_length" in line for line in condition)
 
 
