@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetvault.llm import decontaminate, packing, substring_dedup, topk, warc
+from fleetvault.llm import decontaminate, packing, quality, substring_dedup, topk, warc
 from fleetvault.storage import run_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,6 +128,18 @@ def op6(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), length=2048)
 
 
+@query("op2_quality")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")))
+    return scored.select(
+        F.col("row.doc_id").alias("doc_id"),
+        quality.held_out("row.doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query(
     "op3_warc",
     """

@@ -1,0 +1,76 @@
+"""The classifier: gradients against differences, held-out accuracy, odd rows."""
+
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from fleetvault.llm import quality
+from fleetvault.llm.queries import QUERIES
+
+
+def test_gradients():
+    rng = np.random.default_rng(3)
+    first = np.array([0, 3, 4, 9])
+    x, labels = rng.normal(size=(9, quality.WIDTH)), np.array([1.0, 0.0, 1.0])
+    shapes = {"W": (quality.WIDTH, 4), "d": (4,), "V": (4, 3), "U": (4, 3), "w": (3,), "c": (4,), "b": (1,)}
+    p = {k: rng.normal(size=s) * 0.5 for k, s in shapes.items()}
+
+    def loss(q):
+        s = quality._sigmoid(quality._forward(q, x, first)["logit"])
+        return -(labels * np.log(s) + (1 - labels) * np.log(1 - s)).mean()
+
+    found = quality._gradients(p, quality._forward(p, x, first), first, labels)
+    for name in p:
+        at = tuple(rng.integers(0, n) for n in p[name].shape)
+        up, down = ({k: v.copy() for k, v in p.items()} for _ in range(2))
+        up[name][at] += 1e-5
+        down[name][at] -= 1e-5
+        assert found[name][at] == pytest.approx((loss(up) - loss(down)) / 2e-5, rel=1e-3, abs=1e-7)
+
+
+def test_every_passage_counts():
+    text = " ".join(["plain words here."] * 3000)
+    features, first = quality.describe(pa.array([text, None, "", text + " SHOUT!! " * 100]))
+    assert list(np.diff(first)) == [141, 1, 1, 143]
+    assert features.shape == (286, quality.WIDTH) and np.isfinite(features).all()
+    assert features[-1, 0] > 0.1 > features[0, 0]
+
+
+def test_attention_finds_the_bad_passage():
+    rng = np.random.default_rng(0)
+    bags, labels = [], []
+    for i in range(400):
+        bag = rng.normal(size=(int(rng.integers(1, 12)), quality.WIDTH)).astype(np.float32)
+        if i % 2:
+            bag[rng.integers(0, len(bag)), :8] += 4
+        bags.append(bag)
+        labels.append(1.0 - i % 2)
+    model = quality.fit(bags[:300], np.array(labels[:300]), rounds=30)
+    right = [(model.score(b, np.array([0, len(b)]))[0] >= 0.5) == t for b, t in zip(bags[300:], labels[300:])]
+    assert np.mean(right) > 0.9
+
+
+def test_odd_rows(spark):
+    docs = spark.createDataFrame(
+        [(1, None, 1.0), (2, "", 2.0), (None, "x", None), (3, "w " * 200_000, None), (3, "again", 0.0)],
+        "doc_id long, text string, score double",
+    )
+    labels = spark.createDataFrame([(1, 1), (2, None), (None, 0), (2, 0), (3, 7)], "doc_id long, quality int")
+    rows = quality.score(docs, quality.train(docs, labels)).collect()
+    assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
+    assert {r.row.score for r in rows} == {1.0, 2.0, None, 0.0}
+    assert quality.keep(docs, labels.limit(0)).columns == docs.columns
+    assert quality.score(docs.limit(0), quality.train(docs.limit(0), labels.limit(0))).collect() == []
+
+
+def test_held_out_accuracy(spark, sf_dir):
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    rows = QUERIES["op2_quality"](spark, big).collect()
+    docs = spark.read.parquet(f"{big}/documents.parquet")
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    marked = {r.doc_id: r.quality for r in spark.read.parquet(f"{big}/labels.parquet").collect()}
+    test = [(r.predicted, marked[r.doc_id]) for r in rows if r.held_out and r.doc_id in marked]
+    assert np.mean([p == q for p, q in test]) > 0.93
