@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetvault.llm import tokens
+from fleetvault.llm.state import checkpointed
 
 STATE = (
     "n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<long>, "
@@ -253,7 +254,7 @@ def find(
         block = spark.sparkContext.broadcast(Tests(own.toArrow(), window))
         current = current.mapInArrow(_pass(block, window, shard_bytes, number > 0), schema)
         if number + 1 < blocks:
-            current = current.checkpoint()
+            current = checkpointed(current)
             block.unpersist()
     return current
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetvault.llm import decontaminate, packing, quality, substring_dedup, topk, warc
+from fleetvault.llm import decontaminate, packing, pii, quality, substring_dedup, topk, warc
 from fleetvault.storage import run_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,18 @@ def op3(spark, sf_dir):
         "record_type",
         warc.page_of("refers_to").alias("refers_to"),
     )
+
+
+@query("op10_pii")
+def op10(spark, sf_dir):
+    found = pii.find(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s.kind)
+    counts = [
+        (F.size("base") - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(F.concat("base", "added")).alias("spans"),
+    )

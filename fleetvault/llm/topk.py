@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetvault.llm.state import checkpointed
+
 BLOCK_ROWS = 8192
 MOST = 1 << 27
 LAST_ID = np.iinfo(np.int64).max
@@ -227,7 +229,7 @@ def search(
     size = asked.agg(F.sum(F.coalesce(F.size("embedding"), F.lit(0)) * 8 + 64)).first()[0] or 0
     groups, result, number = size // group_bytes + 1, None, 0
     if groups > 1:
-        index = index.checkpoint()
+        index = checkpointed(index)
     for at in range(groups):
         own = asked.filter(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(groups)) == at).toArrow()
         by_dim: dict[int, list] = {}
