@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetvault.llm import decontaminate, packing, pii, quality, substring_dedup, topk, warc
+from fleetvault.llm import decontaminate, jaccard_join, packing, pii, quality, substring_dedup, topk, warc
 from fleetvault.storage import run_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +184,28 @@ def op10(spark, sf_dir):
         F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
         pii.listed(F.concat("base", "added")).alias("spans"),
     )
+
+
+@query(
+    "op9_jaccard_join",
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+    sh AS (
+        SELECT DISTINCT doc_id, array_to_string(ws[p:p + 2], ' ') AS s
+        FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS p FROM w WHERE len(ws) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b USING (s) GROUP BY 1, 2),
+    link AS (
+        SELECT x, y FROM shared JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+        WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
+    reach(x, y) AS (
+        SELECT x, y FROM link
+        UNION
+        SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x)
+    SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(r.least, doc_id) AS component_id
+    FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) AS least FROM reach GROUP BY x) r ON r.x = doc_id""",
+)
+def op9(spark, sf_dir):
+    return jaccard_join.components(table(spark, sf_dir, "documents"), width=3, percent=90)
