@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetvault.llm import decontaminate, jaccard_join, packing, pii, quality, substring_dedup, topk, warc
+from fleetvault.llm import decontaminate, html_text, jaccard_join, packing, pii, quality, substring_dedup, topk, warc
 from fleetvault.storage import run_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,6 +116,12 @@ def op7(spark, sf_dir):
     )
 
 
+@query("op5_html_text")
+def op5(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.train(pages))
+
+
 def vocabulary() -> str:
     """The vocabulary file that the packing query is defined with."""
     import public_tokenizers
