@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetvault.llm.state import checkpointed
+from fleetvault.llm.state import checkpointed, let
 
 KINDS = ("email", "ip", "card", "phone")
 # A run of characters is tried from its beginning only, or from the end of the last match; its
@@ -81,10 +81,14 @@ def _running(lengths: Column) -> Column:
     """Running sums of a non-empty array, in blocks so that a long array is not squared."""
     blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int"))
     sums = F.transform(blocks, lambda b: _sum(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
-    return F.transform(
-        lengths,
-        lambda _, i: _sum(F.slice(sums, F.lit(1), F.floor(i / BLOCK).cast("int")))
-        + _sum(F.slice(lengths, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK + 1)),
+    before = let(sums, lambda s: F.transform(s, lambda _, b: _sum(F.slice(s, F.lit(1), b))))
+    return let(
+        before,
+        lambda s: F.transform(
+            lengths,
+            lambda _, i: F.get(s, F.floor(i / BLOCK).cast("int"))
+            + _sum(F.slice(lengths, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK + 1)),
+        ),
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetvault.llm import decontaminate, html_text, jaccard_join, packing, pii, quality, substring_dedup, topk, warc
+from fleetvault.llm import decontaminate, html_text, jaccard_join, license_scan, packing, pii, quality, substring_dedup, topk, warc
 from fleetvault.storage import run_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,6 +192,52 @@ def op10(spark, sf_dir):
     )
 
 
+def _license_sql() -> str:
+    """Every unit against every notice, without pruning."""
+    rows = ", ".join(
+        f"({i}, '{name}', {found!r})"
+        for i, (name, found) in enumerate((n, license_scan.bigrams_of(t)) for n, t in license_scan.NOTICES)
+        if found
+    )
+    return rf"""
+    WITH notice(ord, license, grams) AS (VALUES {rows}),
+    unit AS (
+        SELECT doc_id, unnest(us) AS u, unnest(range(len(us))) AS line
+        FROM (SELECT doc_id, list_concat(
+                string_split(t, chr(10)),
+                list_filter(string_split_regex(t, '
+[ 	
+]*
+'), lambda p: contains(p, chr(10)))) AS us
+              FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))),
+    words AS (
+        SELECT doc_id, line, string_split(trim(regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ') AS ws FROM unit),
+    own AS (
+        SELECT doc_id, line, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS g
+        FROM words WHERE len(ws) > 1),
+    pair AS (
+        SELECT doc_id, line, ord, license,
+               2 * len(list_intersect(g, grams)) / CAST(len(g) + len(grams) AS DOUBLE) AS dice
+        FROM own, notice),
+    per_unit AS (
+        SELECT * FROM pair WHERE dice >= 0.8
+        QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, ord) = 1),
+    best AS (
+        SELECT doc_id, license, dice, count(*) OVER (PARTITION BY doc_id) AS n FROM per_unit
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, ord, line) = 1)
+    SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, license, coalesce(dice, 0.0::DOUBLE) AS dice
+    FROM documents LEFT JOIN best USING (doc_id)"""
+
+
+@query("op8_license_scan", _license_sql())
+def op8(spark, sf_dir):
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), F.size("matches").cast("long").alias("n_matches"), "license", "dice"
+    )
+
+
 @query(
     "op9_jaccard_join",
     r"""

@@ -1,8 +1,11 @@
-"""Where operators cut their lineage."""
+"""Where operators cut their lineage, and how a column expression names an intermediate value."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from fleetvault.storage import shared_root
 
@@ -13,3 +16,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint()
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, also where the body uses it in a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
