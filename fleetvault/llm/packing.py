@@ -7,8 +7,8 @@ A sequence from cut i to cut j costs its padding, plus a penalty by the kind of
     cost[j] = penalty[j] + length - at[j] + min(cost[i] + at[i] : at[j] - at[i] <= length)
 
 The minimum over the sliding window comes from a monotone queue, one push and pop per cut. A
-sequence of a power of two needs no padding, so its few possible beginnings are tried as well.
-The stream is solved in stretches of about ``STRETCH`` tokens. The last, open sequences of a
+sequence of a power of two needs no padding; its few possible beginnings are tried as well where
+the stream ends. The stream is solved in stretches of about ``STRETCH`` tokens. The last, open sequences of a
 stretch go on into the next, so that only a task's end can be short.
 
 Tokens never leave the task, and documents never move: the scan's splits are packed where they
@@ -39,18 +39,28 @@ SENTENCE_PENALTY = 8
 WORD_PENALTY = 24
 WORD_STEP = 64
 STRETCH = 1 << 20
-MOST_WORDS = 1 << 18
+MOST_WORDS = 1 << 19
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "padding long"
 )
-SENTENCE_ENDS = ".!?"
-WORD = re.compile(r"[^ \t\n\r]+")
+# How the vocabulary's tokenizer parts a text, for characters below U+0250 in lower case.
+LETTER = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+DIGIT = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+SPACE = r"\t-\r \x85\xa0"
+PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{SPACE}{LETTER}{DIGIT}]+")
+# What needs the tokenizer itself: other characters, and names of special tokens. U+0130 becomes two
+# characters in lower case.
+OTHER = re.compile("[\u0130\u0250-\U0010ffff]|<[|]")
 
 
 class Encoder:
-    """Ids of whole texts. White space always parts tokens of this vocabulary, so each distinct
-    word is encoded once and looked up afterwards; at most ``MOST_WORDS`` are remembered."""
+    """Ids of whole texts.
+
+    A text of Latin letters, digits and signs is parted as the vocabulary's tokenizer parts it, and
+    each distinct part is encoded once and looked up afterwards; at most ``MOST_WORDS`` are
+    remembered. Any other text goes to the tokenizer as it is.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,56 +68,92 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.missed = 0
+        self.stops = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.stops[number] = token.removesuffix("</w>").endswith((".", "!", "?"))
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return {w: np.array(code.ids, "<u4").tobytes() for w, code in zip(words, found)}
+
+    def _looked_up(self, words: list[str]) -> bytes:
+        new = [w for w in set(words) if w not in self.known]
+        if len(self.known) + len(new) > MOST_WORDS:
+            self.missed += len(new)
+            if self.missed <= MOST_WORDS:
+                rare, known = self._learn(new), self.known
+                return b"".join([known[w] if w in known else rare[w] for w in words])
+            self.known.clear()
+            self.missed, new = 0, list(set(words))
+        if new:
+            self.known |= self._learn(new)
+        return b"".join(map(self.known.__getitem__, words))
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and the places after which a sentence ends."""
-        words = WORD.findall(text)
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        new = sorted({w for w in set(words) if w not in self.known})
-        for word, code in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[word] = np.array(code.ids, "<u4").tobytes()
-        codes = list(map(self.known.__getitem__, words))
-        ends = np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes))) // 4
-        stops = np.fromiter((w[-1] in SENTENCE_ENDS for w in words), bool, len(words))
-        return np.frombuffer(b"".join(codes), "<u4"), ends[stops]
+        if OTHER.search(text):
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        else:
+            ids = np.frombuffer(self._looked_up(PART.findall(text.lower())), "<u4")
+        return ids, np.flatnonzero(self.stops[ids]) + 1
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This worker's encoder; it outlives a task, and so does what it has learned."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+PENALTIES = np.array([0, WORD_PENALTY, SENTENCE_PENALTY, 0])
 
 
 def cuts_of(tokens: int, sentences: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Possible cuts within and at the end of one document, and their penalties."""
-    steps = np.arange(WORD_STEP, tokens, WORD_STEP)
-    inner = sentences[(sentences > 0) & (sentences < tokens - 1)]
-    at = np.union1d(np.union1d(steps, inner), [tokens])
-    penalty = np.where(np.isin(at, inner), SENTENCE_PENALTY, WORD_PENALTY)
-    penalty[-1] = 0
-    return at, penalty
+    kind = np.zeros(tokens + 1, np.int8)
+    kind[WORD_STEP:tokens:WORD_STEP] = 1
+    kind[sentences[sentences < tokens - 1]] = 2
+    kind[tokens] = 3
+    at = np.flatnonzero(kind)
+    return at, PENALTIES[kind[at]]
 
 
-def best_cuts(at: np.ndarray, penalty: np.ndarray, length: int) -> np.ndarray:
+def best_cuts(at: np.ndarray, penalty: np.ndarray, length: int, ends: bool = True) -> np.ndarray:
     """Indices of the chosen cuts of a stream that begins at 0; the last is the stream's end.
 
-    Neighbouring cuts are at most ``length`` apart.
+    Neighbouring cuts are at most ``length`` apart. Where the stream ends, within its last
+    ``length`` tokens, a sequence may also be of a power of two, which has no padding.
     """
     place = [0, *at.tolist()]
     extra = [0, *penalty.tolist()]
-    cost, back = [0.0] * len(place), [0] * len(place)
-    index = {p: i for i, p in enumerate(place)}
+    cost, back = [0] * len(place), [0] * len(place)
+    close = place[-1] - length if ends else place[-1]
     powers = [1 << k for k in range(length.bit_length()) if 1 << k < length]
-    queue: deque[int] = deque([0])
+    index: dict[int, int] = {}
+    queue, keys = deque([0]), deque([0])  # cuts that may still open a sequence, and cost + place
     for j in range(1, len(place)):
         here = place[j]
         while place[queue[0]] < here - length:
             queue.popleft()
-        i = queue[0]
-        least, best = cost[i] + length - (here - place[i]), i
-        for power in powers:
-            k = index.get(here - power)
-            if k is not None and cost[k] < least:
-                least, best = cost[k], k
+            keys.popleft()
+        least, best = keys[0] + length - here, queue[0]
+        if here > close:
+            if not index:
+                index = {p: i for i, p in enumerate(place) if p > close - length}
+            for power in powers:
+                i = index.get(here - power)
+                if i is not None and cost[i] < least:
+                    least, best = cost[i], i
         cost[j], back[j] = least + extra[j], best
         value = cost[j] + here
-        while queue and cost[queue[-1]] + place[queue[-1]] >= value:
+        while keys and keys[-1] >= value:
+            keys.pop()
             queue.pop()
+        keys.append(value)
         queue.append(j)
     chosen, j = [], len(place) - 1
     while j:
@@ -135,7 +181,7 @@ class Stretch:
         base = np.cumsum([0, *(len(d[1]) - d[4] for d in self.docs)])
         at = np.concatenate([d[2][d[2] > d[4]] - d[4] + b for d, b in zip(self.docs, base)])
         penalty = np.concatenate([d[3][d[2] > d[4]] for d in self.docs])
-        edges = at[best_cuts(at, penalty, self.length)]
+        edges = at[best_cuts(at, penalty, self.length, last)]
         if not last:
             edges = edges[: max(len(edges) - 4, 0)]
         pieces, begin, number = [], 0, 0
@@ -163,7 +209,7 @@ class Stretch:
 
 def _packer(vocabulary: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(vocabulary)
+        encode = encoder(vocabulary)
         stretch = Stretch(length, TaskContext.get().partitionId() << 33)
         end = np.array([END_TOKEN], "<u4")
         for batch in batches:

@@ -18,6 +18,8 @@ ODD = [
     (None, "no id", "a"),
     (4, "word " * 30_000 + "Été ́combining ﬁ İ ΣΣ.", "a"),
     (5, "x" * 5000, "a"),
+    (6, "D'été l'œuvre \u0130x ²³½ a_b\xa0c\x85d\x0be\x1cf «Ça» ĳ ŉ ǆ ª.º µ ÿ Ÿ … — <|ENDOFTEXT|> don't I'LL 'SO", "a"),
+    (7, "D'ÉTÉ l'œuvre ²³½ a_b\xa0c\x85d\x0be\x1cf «Ça» ĳ ŉ ǆ ª.º µ ÿ Ÿ don't I'LL 'SO we've? x'd!", "a"),
 ]
 
 
@@ -111,7 +113,8 @@ def test_cuts_are_the_cheapest(seed):
             size = int(at[c]) - begin
             if size > 12:
                 return float("inf")
-            total += (0 if size & (size - 1) == 0 else 12 - size) + int(penalty[c])
+            free = size & (size - 1) == 0 and int(at[c]) > at[-1] - 12
+            total += (0 if free else 12 - size) + int(penalty[c])
             begin = int(at[c])
         return total
 
