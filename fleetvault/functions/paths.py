@@ -87,7 +87,7 @@ def _name_patterns(leading: int) -> tuple[str, str]:
     as the marker (possessive group). Tokens after the component are ignored.
     """
     head = "^" + "-".join(["[^-]*"] * leading) + f"(?:-{TEMPORARY_MARKER}(?=-|$))?+-"
-    return head + r"[a-z][^-]*-\s*\+?[0-9]{1,18}\s*-[^-]*", head + "(?![a-z])"
+    return head + r"[a-z][^-]*-\s*\+?[0-9]+\s*-[^-]*", head + "(?![a-z])"
 
 
 def with_component(
@@ -95,8 +95,9 @@ def with_component(
 ) -> DataFrame:
     """Add keyspace, cf, version, generation, component, temporary and parse_error.
 
-    ``parse_error`` is null, ``not_data_file`` or ``invalid_version``; the other columns are
-    null for a path that cannot be parsed. The name is matched and split once per row: the
+    ``parse_error`` is null, ``not_data_file``, ``invalid_version``, or ``generation_overflow`` for
+    a data file whose generation is no bigint. The other columns are null for a path that cannot
+    be parsed; an overflow lacks its generation only. The name is matched and split once per row: the
     columns come out of a one-row generator, so that filters on them are not rewritten into
     further matches of the path.
     """
@@ -117,14 +118,15 @@ def with_component(
     version_at = cf_at + 1 + temporary.cast("int")
     folder = F.regexp_extract(source, r"([^/]*)/+[^/]*$", 1)
     error = F.when(wrong_version, "invalid_version").otherwise("not_data_file")
+    generation = F.trim(F.get(tokens, version_at + 1)).try_cast("bigint")
     parsed = F.struct(
         _by_layout(release, F.get(tokens, F.lit(0)), F.when(tokens.isNotNull(), folder)).alias("keyspace"),
         F.get(tokens, cf_at).alias("cf"),
         F.get(tokens, version_at).alias("version"),
-        F.trim(F.get(tokens, version_at + 1)).try_cast("bigint").alias("generation"),
+        generation.alias("generation"),
         F.get(tokens, version_at + 2).alias("component"),
         temporary.alias("temporary"),
-        F.when(tokens.isNull(), error).alias("parse_error"),
+        F.when(tokens.isNull(), error).when(generation.isNull(), "generation_overflow").alias("parse_error"),
     )
     kept = [c for c in df.columns if c not in parsed_columns()]
     return read.select(*kept, F.inline(F.array(parsed)))

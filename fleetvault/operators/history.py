@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetvault.functions.paths import SSTABLE, backup_name
-from fleetvault.operators.blocked import BLOCK_ROWS, following_where_hot, running
+from fleetvault.operators.blocked import BLOCK_ROWS, following, running
+from fleetvault.operators.manifests import build
 
 OWNER = ("host", "keyspace")
 TABLE_KEY = ("host", *SSTABLE)
@@ -23,28 +24,23 @@ def with_removal(
     changes: DataFrame,
     key: Sequence[str] = TABLE_KEY,
     block_rows: int = BLOCK_ROWS,
-    fraction: float = 0.01,
 ) -> DataFrame:
-    """Add ``removed_seq``: the next deletion of the row's SSTable.
-
-    ``fraction`` is the share of events looked at to find SSTables with very many of them.
-    """
+    """Add ``removed_seq``: the next deletion of the row's SSTable."""
     deletion = F.when(F.col("kind") == "deleted", F.col("seq"))
     folds = {"removed_seq": (deletion, "min")}
-    return following_where_hot(changes, key, "seq", folds, block_rows, fraction)
+    return following(changes, key, "seq", folds, block_rows)
 
 
 def lifetimes(
     changes: DataFrame,
     key: Sequence[str] = TABLE_KEY,
     block_rows: int = BLOCK_ROWS,
-    fraction: float = 0.01,
 ) -> DataFrame:
     """One row per add (or move) with the event that ended it, null while live.
 
     A file added twice has two rows, as it has two entries in the manifest.
     """
-    added = with_removal(changes, key, block_rows, fraction).filter(F.col("kind") != "deleted")
+    added = with_removal(changes, key, block_rows).filter(F.col("kind") != "deleted")
     return added.withColumnsRenamed({"seq": "added_seq", "ts": "added_ts"}).select(
         *key, "component", "size", "added_seq", "added_ts", "removed_seq"
     )
@@ -58,6 +54,38 @@ def live_at(lives: DataFrame, seq: int) -> DataFrame:
     )
 
 
+def manifests_at(lives: DataFrame, requests: DataFrame, owner: Sequence[str] = OWNER) -> DataFrame:
+    """The files live right after each requested event (owner, seq), with its number as ``at_seq``.
+
+    Only the lifetimes of requested owners are looked at; the output is as large as the manifests
+    asked for.
+    """
+    asked = requests.select(*owner, F.col("seq").alias("at_seq")).distinct()
+    found = lives.join(asked, list(owner))
+    return found.filter(
+        (F.col("added_seq") <= F.col("at_seq"))
+        & (F.col("removed_seq").isNull() | (F.col("removed_seq") > F.col("at_seq")))
+    )
+
+
+def backup_manifests(
+    lives: DataFrame,
+    events: DataFrame,
+    body: Sequence[str] = ("version", "generation", "component", "size"),
+    owner: Sequence[str] = OWNER,
+) -> DataFrame:
+    """The manifest that each accepted upload or deletion (owner, seq, ts) writes, nested.
+
+    An event that leaves no file behind writes a manifest without components.
+    """
+    files = manifests_at(lives, events, owner).drop("added_ts")
+    told = events.select(*owner, F.col("seq").alias("at_seq"), "ts").distinct()
+    keys = [*owner, "at_seq", "ts"]
+    nested = build(files.join(told, [*owner, "at_seq"]), body, keys)
+    written = told.join(nested, keys, "left")
+    return written.withColumn("name", backup_name(F.col("ts")))
+
+
 def live_now(lives: DataFrame) -> DataFrame:
     return lives.filter(F.col("removed_seq").isNull())
 
@@ -67,14 +95,13 @@ def versions(
     owner: Sequence[str] = OWNER,
     key: Sequence[str] = TABLE_KEY,
     block_rows: int = BLOCK_ROWS,
-    fraction: float = 0.01,
 ) -> DataFrame:
     """One row per manifest version: number, event, name, live files and bytes after it.
 
     An event adds its file where it happens and takes it away where its SSTable goes; both
     contributions are summed per event before the running totals.
     """
-    events = with_removal(changes, key, block_rows, fraction)
+    events = with_removal(changes, key, block_rows)
     adds = F.col("kind") != "deleted"
     zero = F.lit(0).cast("bigint")
 

@@ -66,9 +66,10 @@ def list_dir(
 ) -> DataFrame:
     """Entries under a prefix: names of one level, or paths of the whole subtree.
 
-    The prefix test reaches the scan as a pushed filter. Listing files alone moves no rows.
+    An empty prefix is the root of a store of relative paths, ``/`` that of absolute ones. The
+    prefix test reaches the scan as a pushed filter. Listing files alone moves no rows.
     """
-    root = prefix.rstrip("/") + "/"
+    root = prefix.rstrip("/") + "/" if prefix else ""
     below = paths.filter(F.col(path).startswith(root))
     visible = below.filter(~is_sidecar(F.col(path)))
     rest = F.substring(F.col(path), len(root) + 1, 2**31 - 1)

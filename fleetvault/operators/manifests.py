@@ -16,7 +16,6 @@ from fleetvault.functions.paths import (
     parse_backup_name,
 )
 from fleetvault.functions.sizes import human_bytes
-from fleetvault.operators.lookup import WAYS, hot_keys, spread_lookup, with_ways
 
 KEY = ("host", "keyspace", "ts")
 DAY = ("keyspace", "host", "day")
@@ -32,16 +31,16 @@ def build(
     """Flat component rows -> one nested manifest per key: ``components`` maps cf to a list.
 
     A manifest with more than ``part_files`` files becomes several rows numbered by ``part``
-    (of ``parts``), so that no single row has to hold an unbounded list; ``explode`` does not
-    care. The rows move once, to (key, part); the map is made within the row.
+    (of ``parts``), so that no single row has to hold an unbounded list; ``explode`` and the
+    listings do not care. Files are counted within the query, for every key; the counts meet the
+    rows in a join, whose hot keys Spark splits, and the rows move to (key, part).
     """
-    large = hot_keys(components, key, part_files, fraction=1.0)
-    if large is None:
-        sized = components.withColumn(WAYS, F.lit(1))
-    else:
-        sized = with_ways(components, large, key)
-    part = F.pmod(F.xxhash64("cf", *body), F.col(WAYS)).cast("int")
-    placed = sized.withColumn("part", part).withColumnRenamed(WAYS, "parts")
+    parts = F.ceil(F.count("*") / part_files).cast("int").alias("parts")
+    sizes_ = components.groupBy(*key).agg(parts)
+    same = [components[k].eqNullSafe(sizes_[k]) for k in key]
+    sized = components.join(sizes_, same).select(components["*"], "parts")
+    part = F.pmod(F.xxhash64("cf", *body), F.col("parts")).cast("int")
+    placed = sized.withColumn("part", part).repartition(*key, "part")
     grouped = (
         placed.groupBy(*key, "parts", "part")
         .agg(F.collect_list(F.struct("cf", *body)).alias("_files"))
@@ -66,11 +65,15 @@ def explode(manifests: DataFrame, keep: Sequence[str] = KEY) -> DataFrame:
 
 
 def contents(components: DataFrame, release: str | Column = DEFAULT_RELEASE) -> DataFrame:
-    """What a ``show`` lists: files by column family, then by name, with readable sizes."""
+    """What a ``show`` lists: files by column family, then by name, with readable sizes.
+
+    Each backup is in order; the fleet as a whole is not sorted.
+    """
     return (
         components.withColumn("backup_file_name", backup_file_name())
         .withColumn("human_size", human_bytes(F.col("size")))
-        .orderBy("host", "keyspace", "ts", "cf", file_name(release))
+        .repartition("host", "keyspace", "ts")
+        .sortWithinPartitions("host", "keyspace", "ts", "cf", file_name(release))
     )
 
 
@@ -88,6 +91,12 @@ def named(manifests: DataFrame) -> DataFrame:
     )
 
 
+def backups(manifests: DataFrame) -> DataFrame:
+    """One row per backup, without its files, however many parts it is stored in."""
+    files = [c for c in ("components", "part", "parts") if c in manifests.columns]
+    return manifests.drop(*files).dropDuplicates(list(KEY))
+
+
 def latest(manifests: DataFrame, by: Sequence[str] = DAY) -> DataFrame:
     """The most recent backup per group; an aggregate, so it combines before it moves."""
     newest = named(manifests).groupBy(*by).agg(F.max(F.struct("ts", "name")).alias("_last"))
@@ -108,23 +117,23 @@ def listed(
             chosen = chosen.filter(F.col(name) == F.lit(value))
     if not list_all:
         chosen = latest(chosen)
-    return chosen.select("keyspace", "host", "day", "ts", "name").orderBy(
-        "keyspace", "host", "ts", "name"
-    )
+    shown = chosen.select("keyspace", "host", "day", "ts", "name").distinct()
+    return shown.orderBy("keyspace", "host", "ts", "name")
 
 
 def for_days(manifests: DataFrame, requests: DataFrame) -> DataFrame:
-    """All backups of the requested (keyspace, host, day) rows.
-
-    One day of one host may hold a large part of all backups, so its rows are spread.
-    """
-    wanted = requests.select(*DAY).distinct().withColumn("_wanted", F.lit(True))
-    found = spread_lookup(named(manifests), wanted, DAY, ["ts"])
-    return found.filter("_wanted").drop("_wanted")
+    """All backups of the requested (keyspace, host, day) rows, one row each."""
+    found = named(manifests).join(requests.select(*DAY).distinct(), list(DAY), "left_semi")
+    return backups(found)
 
 
 def by_name(manifests: DataFrame, names: DataFrame, name: str = "name") -> DataFrame:
-    """The manifests with the requested backup names; malformed names find nothing.
+    """The backups with the requested names, one row each; malformed names find nothing."""
+    return backups(parts_by_name(manifests, names, name))
+
+
+def parts_by_name(manifests: DataFrame, names: DataFrame, name: str = "name") -> DataFrame:
+    """The stored rows, with their files, of the backups with the requested names.
 
     The name is parsed into (keyspace, host, ts) so the join can use the manifest's own keys.
     """
@@ -134,7 +143,7 @@ def by_name(manifests: DataFrame, names: DataFrame, name: str = "name") -> DataF
 
 
 def one_by_name(manifests: DataFrame, name: str) -> DataFrame:
-    """``by_name`` for a single name given by the user, as plain filters."""
+    """``parts_by_name`` for a single name given by the user, as plain filters."""
     wanted = parse_backup_name(F.lit(name))
     return manifests.filter(
         (F.col("keyspace") == wanted["keyspace"])

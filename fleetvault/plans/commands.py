@@ -101,8 +101,9 @@ def restore(
     **options,
 ) -> DataFrame:
     """What happens to every file of a backup, and how it ends."""
-    wanted = validating.with_path(_components(manifests, name)).drop("md5")
-    files = wanted.join(meta.select("path", "md5"), "path", "left").drop("path")
+    recorded = meta.select("path", "md5", *[c for c in ("written",) if c in meta.columns])
+    wanted = _components(manifests, name).drop("md5")
+    files = validating.component_meta(wanted, recorded).drop("path")
     plan = restoring.restore_plan(files, targets, checksum=checksum, **options)
     return restoring.restore_outcome(plan, stored, checksum)
 

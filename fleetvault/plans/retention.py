@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetvault.functions.paths import backup_file_name, base_name, manifest_path
 from fleetvault.functions.times import parse_input_value, utc_now
-from fleetvault.operators.listing import sidecar_of
+from fleetvault.operators.listing import is_sidecar, sidecar_of
 
 SCOPE = ("host", "keyspace")
 
@@ -82,9 +82,13 @@ def keep_manifests(manifests: DataFrame, before: datetime) -> DataFrame:
 def purge_files(
     stored: DataFrame, components: DataFrame, before: datetime
 ) -> DataFrame:
-    """Stored files (host, keyspace, path, ...) that no kept manifest names."""
+    """Stored files (host, keyspace, path, ...) that no kept manifest names.
+
+    Sidecars go with their file (``removal_plan``) and are never judged by themselves.
+    """
     keep = keep_files(components, before)
-    found = stored.withColumn("file_name", base_name(F.col("path")))
+    files = stored.filter(~is_sidecar(F.col("path")))
+    found = files.withColumn("file_name", base_name(F.col("path")))
     return found.join(keep, [*SCOPE, "file_name"], "left_anti").drop("file_name")
 
 

@@ -17,8 +17,10 @@ def upload_plan(files: DataFrame, stored: DataFrame) -> DataFrame:
     """``action`` and ``writes_manifest`` per file (columns path, md5, is_deleted).
 
     A deletion only writes a manifest. A stored file is never overwritten: it is skipped as
-    valid or as possibly corrupt, and skipping writes no manifest.
+    valid or as possibly corrupt, and skipping writes no manifest. A file that was both created
+    and moved is there twice with the same content; it goes up once.
     """
+    files = files.dropDuplicates(["path", "md5", "is_deleted"])
     known = stored.select("path", F.col("md5").alias("_stored"), F.lit(True).alias("_exists"))
     joined = files.join(known, "path", "left")
     same = F.coalesce(F.col("_stored") == F.col("md5"), F.lit(False))

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetvault.functions.paths import backup_path
-from fleetvault.operators.lookup import spread_lookup
 
 PRESENT = "present"
 MISSING = "missing"
@@ -20,20 +19,32 @@ def with_path(components: DataFrame) -> DataFrame:
     return components.withColumn("path", backup_path())
 
 
-def component_meta(
-    components: DataFrame, meta: DataFrame, spread_by: Sequence[str] = BACKUP
-) -> DataFrame:
-    """Components with the recorded metadata of their file (null when there is none).
+def newest(meta: DataFrame, order: str = "written") -> DataFrame:
+    """One row per file: metadata is appended, so a file written again has several.
+
+    The row with the greatest ``order`` counts; without that column, or with equal values, the
+    greatest checksum, so that the choice does not depend on the order of reading.
+    """
+    rank = [c for c in (order, "md5") if c in meta.columns]
+    if not rank:
+        return meta.dropDuplicates(["path"])
+    others = [c for c in meta.columns if c != "path"]
+    best = F.max_by(F.struct(*others), F.struct(*rank)).alias("_best")
+    return meta.groupBy("path").agg(best).select("path", "_best.*").select(*meta.columns)
+
+
+def component_meta(components: DataFrame, meta: DataFrame) -> DataFrame:
+    """Components with the newest recorded metadata of their file (null when there is none).
 
-    Many backups name the same file, so the file key can be hot on the component side.
+    Many backups name the same file; Spark splits such keys on the component side.
     """
-    return spread_lookup(with_path(components), meta, ["path"], spread_by)
+    return with_path(components).join(newest(meta).drop("written"), "path", "left")
 
 
 def file_status(meta: DataFrame, stored: DataFrame, checksum: bool) -> DataFrame:
-    """Status per file with metadata; columns path, md5 on both sides."""
+    """Status per file with metadata, by its newest; columns path, md5 on both sides."""
     there = stored.select("path", F.col("md5").alias("_stored"), F.lit(True).alias("_exists"))
-    joined = meta.select("path", "md5").join(there, "path", "left")
+    joined = newest(meta).select("path", "md5").join(there, "path", "left")
     intact = F.coalesce(F.col("_stored") == F.col("md5"), F.lit(False)) if checksum else F.lit(True)
     status = (
         F.when(F.col("_exists").isNull(), MISSING).when(intact, PRESENT).otherwise(CORRUPT)
@@ -46,14 +57,13 @@ def validate(
     meta: DataFrame,
     stored: DataFrame,
     checksum: bool = False,
-    spread_by: Sequence[str] = BACKUP,
 ) -> DataFrame:
     """``status`` per component: a file is judged once, then looked up by every backup.
 
     A file without metadata is missing.
     """
     judged = file_status(meta, stored, checksum)
-    found = spread_lookup(with_path(components), judged, ["path"], spread_by)
+    found = with_path(components).join(judged, "path", "left")
     return found.withColumn("status", F.coalesce("status", F.lit(MISSING)))
 
 

@@ -6,6 +6,7 @@ import grp
 import os
 import pwd
 from collections.abc import Iterator
+from itertools import count, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,10 @@ STAT_DDL = (
 )
 
 
+# Entries of a crowded folder that a task holds at a time.
+CHUNK = 10_000
+
+
 def scan(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
     """Every file under ``root`` with size and time; file contents are not read.
 
@@ -54,16 +59,19 @@ def _lister():
 
     def entries(folder: str) -> Iterator[tuple]:
         try:
-            listed = list(os.scandir(folder))
-        except FileNotFoundError:
+            listed = os.scandir(folder)
+        except (FileNotFoundError, PermissionError):
             return
         for entry in listed:
             if entry.is_dir(follow_symlinks=False):
                 yield entry.path, None, None, None, None, None, None, True
                 continue
             try:
+                # A link to a folder is no file, and following it may lead round in circles.
+                if entry.is_dir():
+                    continue
                 stat = entry.stat()
-            except FileNotFoundError:
+            except OSError:
                 continue
             user, group = account(pwd.getpwuid, stat.st_uid), account(grp.getgrgid, stat.st_gid)
             yield entry.path, stat.st_uid, stat.st_gid, stat.st_mode, stat.st_size, user, group, False
@@ -73,22 +81,25 @@ def _lister():
         numbers = {"uid": "Int32", "gid": "Int32", "mode": "Int32", "size": "Int64"}
         for batch in batches:
             for folder in batch["path"]:
-                yield pd.DataFrame(entries(folder), columns=columns).astype(numbers)
+                listed = entries(folder)
+                while chunk := list(islice(listed, CHUNK)):
+                    yield pd.DataFrame(chunk, columns=columns).astype(numbers)
 
     return list_batches
 
 
-def walk(folders: DataFrame, table_root: str, depth: int = 64) -> DataFrame:
+def walk(folders: DataFrame, table_root: str) -> DataFrame:
     """Full file stats below the given folders (column path) of a mount all executors see.
 
     The tree is listed level by level: one task lists a folder, the next level is spread over
     the cluster again. Each level is written below ``table_root``, so a lost executor costs
-    its own folders only. Stops at the first level without folders.
+    its own folders only. Stops at the first level without folders. Links to folders are not
+    followed; folders that may not be read, and files that vanish meanwhile, are left out.
     """
     spark = folders.sparkSession
     level = folders.select("path")
     tables: list[str] = []
-    for number in range(depth):
+    for number in count():
         table = f"{table_root}/level={number}"
         listed = level.repartition(F.col("path")).mapInPandas(_lister(), STAT_DDL)
         listed.write.mode("overwrite").parquet(table)
@@ -96,6 +107,4 @@ def walk(folders: DataFrame, table_root: str, depth: int = 64) -> DataFrame:
         level = spark.read.parquet(table).filter("is_dir").select("path")
         if level.isEmpty():
             break
-    else:
-        raise ValueError(f"folders are nested deeper than {depth}")
     return spark.read.parquet(*tables).filter("NOT is_dir").drop("is_dir")

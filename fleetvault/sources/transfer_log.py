@@ -10,8 +10,6 @@ from fleetvault.functions.times import parse_iso
 # Fixed value: the shape of a line. Sources may hold spaces, so it is anchored at both ends.
 LINE = r"^(\S+) (\S+) (.*) to (.*) size (\d+)$"
 OPERATIONS = ("stored", "restored", "removed")
-# Read splits whose offsets (a path and three numbers each) are small enough to broadcast.
-FEW_SPLITS = 100_000
 
 
 def parse(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -49,19 +47,19 @@ def quarantined(parsed: DataFrame, line: str = "line") -> DataFrame:
     return parsed.filter("problem IS NOT NULL").select(line, "problem")
 
 
-def numbered(lines: DataFrame, file: str = "file", few_splits: bool = False) -> DataFrame:
+def numbered(lines: DataFrame, file: str = "file") -> DataFrame:
     """Replace the read position (file, _block, _row) by ``seq``, the line number in its file.
 
     Rows count up within one read split; a table with one row per split adds the lines of the
-    splits before it. With ``few_splits`` that table is broadcast and the lines stay in place.
+    splits before it. Spark sees the size of that table when it has been made, and leaves the lines
+    in place when it is small.
     """
     splits = lines.groupBy(file, "_block").agg(
         F.count("*").alias("_lines"), F.min("_row").alias("_first")
     )
     earlier = Window.partitionBy(file).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("_before", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)))
-    small = offsets.drop("_lines")
-    joined = lines.join(F.broadcast(small) if few_splits else small, [file, "_block"])
+    joined = lines.join(offsets.drop("_lines"), [file, "_block"])
     seq = F.col("_row") - F.col("_first") + F.col("_before")
     return joined.withColumn("seq", seq).drop("_block", "_row", "_first", "_before")
 
@@ -69,15 +67,13 @@ def numbered(lines: DataFrame, file: str = "file", few_splits: bool = False) ->
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Log files as ``file`` (path), ``seq`` (line number within it) and ``line``."""
     text = spark.read.text(path)
-    # A file has one split more than it has full partitions of bytes, at most.
-    splits = len(text.inputFiles()) + text.rdd.getNumPartitions()
     lines = text.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
         F.col("value").alias("line"),
     )
-    return numbered(lines, few_splits=splits <= FEW_SPLITS)
+    return numbered(lines)
 
 
 def append(lines: DataFrame, path: str) -> None:

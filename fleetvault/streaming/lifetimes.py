@@ -20,7 +20,6 @@ from pyspark.sql.streaming import StreamingQuery
 from fleetvault.operators.blocked import BLOCK_ROWS
 from fleetvault.operators.gates import accepted_changes
 from fleetvault.operators.history import TABLE_KEY, lifetimes, live_now
-from fleetvault.operators.lookup import spread_lookup
 
 EVENT_COLUMNS = (*TABLE_KEY, "component", "seq", "ts", "kind", "size")
 SNAPSHOT_EVERY = 50
@@ -62,9 +61,7 @@ def _live_after(spark: SparkSession, store: str, batch_id: int, every: int) -> D
 
 def _touched(rows: DataFrame, fresh: DataFrame) -> DataFrame:
     """Rows of the SSTables the batch has events for; one of them may be very large."""
-    keys = fresh.select(*TABLE_KEY).distinct().withColumn("_touched", F.lit(True))
-    spread_by = "seq" if "seq" in rows.columns else "added_seq"
-    return spread_lookup(rows, keys, TABLE_KEY, [spread_by]).filter("_touched").drop("_touched")
+    return rows.join(fresh.select(*TABLE_KEY).distinct(), list(TABLE_KEY), "left_semi")
 
 
 def apply_batch(

@@ -261,3 +261,9 @@ def test_ownership_and_message(spark):
     skipped = checks.restored_message(F.lit(False), F.lit("a"), F.lit("b"), F.col("x"))
     assert values(spark, done, [None]) == ["a -> b"]
     assert values(spark, skipped, ["why", None]) == ["a -> Skipped: why", "a -> Skipped: "]
+
+
+def test_generations_of_any_length(spark):
+    rows = [("/d/ks/cf/ks-cf-hd-9223372036854775807-Data.db",), ("/d/ks/cf/ks-cf-hd-99999999999999999999-Data.db",)]
+    found = paths.with_component(spark.createDataFrame(rows, "path string")).orderBy("generation").collect()
+    assert [(r.generation, r.parse_error) for r in found] == [(None, "generation_overflow"), (2**63 - 1, None)]

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from fleetvault.operators import blocked, gates, history, listing, lookup, manifests, usage
+from fleetvault.operators import blocked, gates, history, listing, manifests, usage
 
 START = datetime(2024, 1, 30, 20)
 
@@ -151,9 +151,9 @@ def test_history_equals_a_walk(spark, block_rows):
     rows = change_rows(140, block_rows)
     df = spark.createDataFrame(rows, CHANGES).repartition(4)
     live, lives, versions = fold_changes(rows)
-    lifetimes = history.lifetimes(df, block_rows=block_rows, fraction=1.0)
+    lifetimes = history.lifetimes(df, block_rows=block_rows)
     assert {r.added_seq: r.removed_seq for r in lifetimes.collect()} == lives
-    found = {(r.keyspace, r.seq, r.version, r.live_files, r.live_bytes) for r in history.versions(df, block_rows=block_rows, fraction=1.0).collect()}
+    found = {(r.keyspace, r.seq, r.version, r.live_files, r.live_bytes) for r in history.versions(df, block_rows=block_rows).collect()}
     assert found == set(versions)
     now = {r.added_seq for r in history.live_now(lifetimes).collect()}
     assert now == {f[2] for files in live.values() for f in files}
@@ -166,7 +166,7 @@ def test_history_equals_a_walk(spark, block_rows):
 def test_following_is_linear_frame(spark):
     """Spark folds a frame that ends at the last row anew for every row."""
     df = spark.createDataFrame([(1, "a", 5)], "seq bigint, k string, v bigint")
-    for fold in (blocked.following, blocked.following_where_hot):
+    for fold in (blocked.following,):
         plan = fold(df, ["k"], "seq", {"m": (F.col("v"), "min")})._jdf.queryExecution().toString()
         assert "unboundedfollowing" not in plan.lower()
 
@@ -179,34 +179,37 @@ def test_versions_shuffle_their_events_once(spark):
     assert "ReusedExchange" in plan
 
 
-def test_spread_lookup_is_exact_with_hot_keys(spark):
-    facts = [(0 if i % 3 else i, i) for i in range(900)]
-    table = [(i, f"v{i}") for i in range(0, 600)]
-    f, t = spark.createDataFrame(facts, "k bigint, id bigint"), spark.createDataFrame(table, "k bigint, v string")
-    hot = lookup.hot_keys(f, ["k"], rows_per_task=50, fraction=1.0)
-    assert [tuple(r) for r in hot.collect()] == [(0, 13)]
-    assert lookup.hot_keys(f, ["k"]) is None
-    expected = sorted((k, i, f"v{k}" if k < 600 else None) for k, i in facts)
-    for rows_per_task in (1, 50, 10_000):
-        joined = lookup.spread_lookup(f, t, ["k"], ["id"], rows_per_task, fraction=1.0)
-        assert joined.columns == ["k", "id", "v"]
-        assert sorted((tuple(r) for r in joined.collect()), key=lambda r: r[:2]) == expected
-
-
-def test_hot_rows_reach_several_tasks(spark):
-    f = spark.range(4000).select(F.lit(1).alias("k"), "id")
-    t = spark.createDataFrame([(1, "v")], "k int, v string")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    spark.conf.set("spark.sql.adaptive.enabled", False)
+def test_many_blocks_and_levels(spark, monkeypatch):
+    """Sparse numbers make a block of almost every row; the blocks are folded in levels."""
+    monkeypatch.setattr(blocked, "FAN_IN", 3)
+    rows = [(k, s * s * 7, s) for k in ("a", "b") for s in range(1, 60)]
+    df = spark.createDataFrame(rows, "k string, seq bigint, v bigint")
+    for levels in (1, 2, 3):
+        monkeypatch.setattr(blocked, "LEVELS", levels)
+        folds = {"total": (F.col("v"), "sum"), "top": (F.col("v"), "max")}
+        up = blocked._fold(df, ["k"], "seq", folds, 4, 0, levels=levels)
+        assert all((r.total, r.top) == (r.v * (r.v + 1) // 2, r.v) for r in up.collect())
+        down = blocked._fold(df, ["k"], "seq", {"low": (F.col("v"), "min")}, 4, -1, True, levels=levels)
+        assert all(r.low == (r.v + 1 if r.v < 59 else None) for r in down.collect())
+        assert up.columns == [*df.columns, "total", "top"]
+
+
+def test_building_a_plan_starts_no_job(spark):
+    df = spark.createDataFrame(change_rows(40, 1), CHANGES)
+    body = spark.createDataFrame([("h", "k", START, "cf", "hd", 1, "Data.db", 5)], COMPONENT_ROW)
+    group = "planning"
+    spark.sparkContext.setJobGroup(group, group)
     try:
-        joined = lookup.spread_lookup(f, t, ["k"], ["id"], 100, fraction=1.0)
-        sizes = joined.groupBy(F.spark_partition_id()).count().collect()
+        history.versions(df)
+        history.lifetimes(df)
+        nested = manifests.build(body, BODY)
+        manifests.for_days(nested, nested.select("keyspace", "host", F.to_date("ts").alias("day")))
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", True)
-    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 2500
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
+COMPONENT_ROW = "host string, keyspace string, ts timestamp_ntz, cf string, version string, generation bigint, component string, size bigint"
 BODY = ["version", "generation", "component", "size"]
 
 
@@ -214,8 +217,7 @@ BODY = ["version", "generation", "component", "size"]
 def test_manifest_build_and_explode(spark, part_files):
     rows = [("h", "k", START, f"cf{i % 3}", "hd", i, "Data.db", i * 10) for i in range(20)]
     rows += [("h", "k2", START, "cf", "hd", 1, "Data.db", 5)] * 2
-    schema = "host string, keyspace string, ts timestamp_ntz, cf string, version string, generation bigint, component string, size bigint"
-    df = spark.createDataFrame(rows, schema)
+    df = spark.createDataFrame(rows, COMPONENT_ROW)
     nested = manifests.build(df, BODY, part_files=part_files)
     if part_files == 1000:
         assert nested.count() == 2 and {r.parts for r in nested.collect()} == {1}
@@ -223,6 +225,18 @@ def test_manifest_build_and_explode(spark, part_files):
     assert sorted(map(tuple, back.collect())) == sorted(rows)
 
 
+def test_every_large_manifest_is_split_and_listed_once(spark):
+    """However many backups are large, each is cut into parts, and each is one backup."""
+    rows = [("h", "k", START + timedelta(hours=b), "cf", "hd", i, "Data.db", 1) for b in range(40) for i in range(30)]
+    nested = manifests.build(spark.createDataFrame(rows, COMPONENT_ROW), BODY, part_files=10)
+    parts = nested.groupBy("ts").agg(F.count("*").alias("n"), F.max("parts").alias("parts")).collect()
+    assert len(parts) == 40 and all(r.n > 1 and r.parts == 3 for r in parts)
+    assert manifests.listed(nested).count() == manifests.backups(nested).count() == 40
+    names = manifests.listed(nested).select("name")
+    assert manifests.by_name(nested, names).count() == 40
+    assert manifests.explode(manifests.parts_by_name(nested, names)).count() == 1200
+
+
 def test_manifest_listing(spark):
     rows = [(i, "k", h, START + timedelta(hours=i)) for i in range(8) for h in ("n-1", "n-2")]
     df = spark.createDataFrame(rows, "manifest_id bigint, keyspace string, host string, ts timestamp_ntz")

@@ -241,3 +241,28 @@ def test_validate_after_purge_keeps_the_verdict_of_kept_backups(spark):
     checked = commands.validate(kept, left.select("path", "md5"), left, checksum=True)
     assert {r.status for r in checked.collect()} == {"present"}
     assert checked.count() == sum(c[2] >= before for c in body)
+
+
+def test_purge_leaves_sidecars_of_kept_files(spark):
+    """After a purge every file of a kept backup still has its metadata."""
+    body = spark.createDataFrame(
+        [("h", "ks", datetime(2024, 5, d), "cf", "hd", d, "Data.db", 1) for d in (1, 9)],
+        "host string, keyspace string, ts timestamp_ntz, cf string, version string, generation bigint, component string, size bigint",
+    )
+    files = [f"hosts/h/ks/cf/ks-cf-hd-{d}-Data.db" for d in (1, 9)]
+    rows = [("h", "ks", f + s, 1) for f in files for s in ("", "-meta.json")]
+    stored = spark.createDataFrame(rows, "host string, keyspace string, path string, size bigint")
+    doomed = retention.purge_files(stored, body, datetime(2024, 5, 5))
+    assert [r.path for r in doomed.collect()] == files[:1]
+    gone = {p for r in retention.removal_plan(doomed).collect() for p in (r.path, r.meta_path)}
+    assert gone == {files[0], files[0] + "-meta.json"}
+
+
+def test_newest_metadata_counts_once(spark):
+    body = spark.createDataFrame([("h", "ks", "cf", "hd", 1, "Data.db")], "host string, keyspace string, cf string, version string, generation bigint, component string")
+    path = "hosts/h/ks/cf/ks-cf-hd-1-Data.db"
+    meta = spark.createDataFrame([(path, "old", 1), (path, "new", 3), (path, "mid", 2)], "path string, md5 string, written int")
+    stored = spark.createDataFrame([(path, "new")], "path string, md5 string")
+    assert [r.md5 for r in validate.component_meta(body, meta).collect()] == ["new"]
+    assert [r.status for r in validate.validate(body, meta, stored, True).collect()] == ["present"]
+    assert validate.component_meta(body, meta.drop("written")).count() == 1

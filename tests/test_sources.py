@@ -115,8 +115,19 @@ def test_inventory(spark, tmp_path):
         stat = os.stat(path)
         assert (row.uid, row.gid, row.mode, row["size"]) == (stat.st_uid, stat.st_gid, stat.st_mode, stat.st_size)
         assert row.user
-    with pytest.raises(ValueError):
-        inventory.walk(start, str(tmp_path / "shallow"), depth=2)
+
+
+def test_walk_skips_links_and_crowded_folders_come_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inventory, "CHUNK", 7)
+    for i in range(30):
+        put(tmp_path / "data", f"many/{i}", "x")
+    os.symlink(tmp_path / "data", tmp_path / "data" / "many" / "round")
+    os.symlink(tmp_path / "data" / "many" / "0", tmp_path / "data" / "link")
+    os.symlink(tmp_path / "nowhere", tmp_path / "data" / "dangling")
+    start = spark.createDataFrame([(str(tmp_path / "data"),)], "path string")
+    rows = inventory.walk(start, str(tmp_path / "levels")).collect()
+    names = {os.path.relpath(r.path, tmp_path / "data") for r in rows}
+    assert names == {*(f"many/{i}" for i in range(30)), "link"} and len(rows) == 31
 
 
 LINES = {

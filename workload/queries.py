@@ -582,6 +582,34 @@ def _(c):
     return listing.tree(with_sidecars(c))
 
 
+@query(
+    "list_root",
+    """WITH _all AS (SELECT path FROM {stored_file} UNION ALL SELECT path FROM {manifest_listing}
+           UNION ALL SELECT 'top-' || CAST(r_regionkey AS VARCHAR) FROM {region})
+       SELECT DISTINCT 'level' AS what, split_part(path, '/', 1) AS entry, contains(path, '/') AS is_dir FROM _all
+       UNION ALL SELECT DISTINCT 'dirs', split_part(path, '/', 1), true FROM _all WHERE contains(path, '/')
+       UNION ALL SELECT 'files', path, false FROM _all WHERE NOT contains(path, '/')
+       UNION ALL SELECT 'tree', path, false FROM _all
+       UNION ALL SELECT DISTINCT 'inside', split_part(path, '/', 2), true FROM _all WHERE starts_with(path, 'hosts/')""",
+)
+def _(c):
+    """The root of the store, with every combination of flags, and one folder below it."""
+    top = c.region.select(F.concat(F.lit("top-"), F.col("r_regionkey")).alias("path"))
+    paths = with_sidecars(c).unionByName(c.manifest_listing.select("path")).unionByName(top)
+
+    def told(what: str, prefix: str, **flags) -> DataFrame:
+        return listing.list_dir(paths, prefix, **flags).select(F.lit(what).alias("what"), "entry", "is_dir")
+
+    return (
+        told("level", "", include_dirs=True)
+        .unionByName(told("dirs", "", include_files=False, include_dirs=True))
+        .unionByName(told("files", ""))
+        .unionByName(told("tree", "", recursive=True))
+        .unionByName(told("inside", "hosts/", include_files=False, include_dirs=True))
+        .unionByName(told("none", "", include_files=False))
+    )
+
+
 @query(
     "exists_semi",
     "SELECT path, md5 FROM {backup_file} WHERE path IN (SELECT path FROM {stored_file})",
@@ -593,9 +621,15 @@ def _(c):
 # -- manifests -----------------------------------------------------------------------------
 
 
-@query("list_backups", f"SELECT keyspace, host, ts, {BACKUP_NAME} AS name FROM {{manifest}}")
+def stored_parts(c: Catalogue) -> DataFrame:
+    """Manifests as they are stored: a large one is several rows."""
+    part = F.explode(F.sequence(F.lit(0), F.col("manifest_id") % 3)).alias("part")
+    return c.manifest.select("keyspace", "host", "ts", part)
+
+
+@query("list_backups", f"SELECT DISTINCT keyspace, host, ts, {BACKUP_NAME} AS name FROM {{manifest}}")
 def _(c):
-    return manifests.listed(c.manifest).drop("day")
+    return manifests.listed(stored_parts(c)).drop("day")
 
 
 LATEST = f"""SELECT keyspace, host, max(ts) AS ts, max({BACKUP_NAME}) AS name FROM {{manifest}}
@@ -609,21 +643,21 @@ def _(c):
 
 @query(
     "manifests_for_day",
-    f"""SELECT manifest_id, keyspace, host, ts, {BACKUP_NAME} AS name FROM {{manifest}}
+    f"""SELECT DISTINCT keyspace, host, ts, {BACKUP_NAME} AS name FROM {{manifest}}
         WHERE (keyspace, host, CAST(ts AS DATE)) IN (SELECT (keyspace, host, max(CAST(ts AS DATE))) FROM {{manifest}} GROUP BY keyspace, host)""",
 )
 def _(c):
     requests = c.manifest.groupBy("keyspace", "host").agg(F.max(F.to_date("ts")).alias("day"))
-    return manifests.for_days(c.manifest, requests).drop("day")
+    return manifests.for_days(stored_parts(c), requests).drop("day")
 
 
 @query(
     "manifest_by_name",
-    """SELECT manifest_id, keyspace, host, ts FROM {manifest}
+    """SELECT DISTINCT keyspace, host, ts FROM {manifest}
        WHERE (keyspace, host, ts) IN (SELECT (keyspace, host, max(ts)) FROM {manifest} GROUP BY keyspace, host, CAST(ts AS DATE))""",
 )
 def _(c):
-    return manifests.by_name(c.manifest, manifests.latest(c.manifest))
+    return manifests.by_name(stored_parts(c), manifests.latest(c.manifest))
 
 
 @query(
@@ -722,7 +756,7 @@ STATUS = """_seen AS (SELECT m.host, m.keyspace, m.ts, b.path, s.path IS NOT NUL
     f"WITH {STATUS} SELECT host, keyspace, ts, path, CASE WHEN there THEN 'present' ELSE 'missing' END AS status FROM _seen",
 )
 def _(c):
-    checked = validate.validate(c.manifest_component, c.backup_file, c.stored_file)
+    checked = validate.validate(c.manifest_component, c.file_meta_log, c.stored_file)
     return checked.select("host", "keyspace", "ts", "path", "status")
 
 
@@ -732,7 +766,7 @@ def _(c):
         FROM _seen""",
 )
 def _(c):
-    checked = validate.validate(c.manifest_component, c.backup_file, c.stored_file, checksum=True)
+    checked = validate.validate(c.manifest_component, c.file_meta_log, c.stored_file, checksum=True)
     return checked.select("host", "keyspace", "ts", "path", "status")
 
 
@@ -742,7 +776,7 @@ def _(c):
         count(*) FILTER (there AND NOT same) AS corrupt, count(*) FILTER (NOT there OR NOT same) = 0 AS ok FROM _seen GROUP BY ALL""",
 )
 def _(c):
-    checked = validate.validate(c.manifest_component, c.backup_file, c.stored_file, checksum=True)
+    checked = validate.validate(c.manifest_component, c.file_meta_log, c.stored_file, checksum=True)
     return validate.summary(checked)
 
 
@@ -752,7 +786,7 @@ def _(c):
        LEFT JOIN {backup_file} b USING (host, keyspace, cf, version, generation, component, size)""",
 )
 def _(c):
-    found = validate.component_meta(c.manifest_component, c.backup_file.select("path", "md5"))
+    found = validate.component_meta(c.manifest_component, c.file_meta_log.select("path", "md5", "written"))
     return found.select("manifest_id", "path", "md5")
 
 
@@ -896,8 +930,14 @@ def _(c):
     return purged_files(c).select("host", "keyspace", "path", "size")
 
 
+def listed_store(c: Catalogue) -> DataFrame:
+    """What an inventory of the store shows: every file and its sidecar."""
+    path = F.explode(F.array("path", listing.sidecar_of(F.col("path"))))
+    return c.stored_file.withColumn("path", path)
+
+
 def purged_files(c: Catalogue) -> DataFrame:
-    return retention.purge_files(c.stored_file, c.manifest_component, CUTOFF)
+    return retention.purge_files(listed_store(c), c.manifest_component, CUTOFF)
 
 
 def purged_manifests(c: Catalogue) -> DataFrame:
@@ -911,10 +951,12 @@ def _(c):
 
 @query(
     "removal_plan",
-    f"WITH {PURGED_FILES} SELECT path, path || '-meta.json' AS meta_path, true AS dry_run FROM _files",
+    f"""WITH {PURGED_FILES} SELECT path, path || '-meta.json' AS meta_path, dry_run
+        FROM _files, (VALUES (true), (false)) AS _v(dry_run)""",
 )
 def _(c):
-    return retention.removal_plan(purged_files(c), dry_run=True).select("path", "meta_path", "dry_run")
+    trial, real = (retention.removal_plan(purged_files(c), dry_run=d) for d in (True, False))
+    return trial.unionByName(real).select("path", "meta_path", "dry_run")
 
 
 @query(
@@ -1086,8 +1128,56 @@ def _(c):
         SELECT l.* FROM _lives l, _at WHERE added_seq <= _at.seq AND (removed_seq = -1 OR removed_seq > _at.seq)""",
 )
 def _(c):
-    middle = c.events.count() // 2
-    return shown_lives(history.live_at(history.lifetimes(changes(c)), middle))
+    # The middle is worked out within the query, as a request of every owner.
+    lives = history.lifetimes(changes(c))
+    middle = c.events.agg(F.floor(F.count("*") / 2).alias("seq"))
+    owners = changes(c).select("host", "keyspace").distinct()
+    requests = owners.join(F.broadcast(middle))  # one row
+    return shown_lives(history.manifests_at(lives, requests))
+
+
+@query(
+    "manifests_at",
+    f"""WITH {LIVES}, _ask AS (SELECT host, keyspace, max(seq) AS at_seq FROM _changes GROUP BY host, keyspace, CAST(ts AS DATE))
+        SELECT host, keyspace, at_seq, count(*) AS files, sum(size)::BIGINT AS size FROM _lives JOIN _ask USING (host, keyspace)
+        WHERE added_seq <= at_seq AND (removed_seq = -1 OR removed_seq > at_seq) GROUP BY ALL""",
+)
+def _(c):
+    """The manifests after the last event of each day."""
+    found = changes(c)
+    asked = found.groupBy("host", "keyspace", F.to_date("ts")).agg(F.max("seq").alias("seq"))
+    files = history.manifests_at(history.lifetimes(found), asked)
+    return files.groupBy("host", "keyspace", "at_seq").agg(
+        F.count("*").alias("files"), F.sum("size").alias("size")
+    )
+
+
+@query(
+    "backup_manifests",
+    f"""WITH {LIVES}, _ask AS (SELECT host, keyspace, max_by(ts, seq) AS ts, max(seq) AS at_seq
+            FROM _changes WHERE kind = 'deleted' GROUP BY host, keyspace, CAST(ts AS DATE)),
+        _in AS (SELECT a.host, a.keyspace, a.ts, a.at_seq, l.size FROM _ask a LEFT JOIN _lives l ON l.host = a.host
+            AND l.keyspace = a.keyspace AND added_seq <= at_seq AND (removed_seq = -1 OR removed_seq > at_seq))
+        SELECT host, keyspace, at_seq, {BACKUP_NAME} AS name, count(size) AS files, coalesce(sum(size), 0)::BIGINT AS size
+        FROM _in GROUP BY ALL""",
+)
+def _(c):
+    """The manifests that the last deletion of each day writes, with their files nested."""
+    found = changes(c)
+    last = (
+        found.filter("kind = 'deleted'")
+        .groupBy("host", "keyspace", F.to_date("ts"))
+        .agg(F.max_by("ts", "seq").alias("ts"), F.max("seq").alias("seq"))
+    )
+    written = history.backup_manifests(history.lifetimes(found), last)
+    files = F.flatten(F.map_values("components"))
+    count = F.size(files)
+    total = F.aggregate(files, F.lit(0).cast("bigint"), lambda acc, f: acc + f["size"])
+    return written.select(
+        "host", "keyspace", "at_seq", "name",
+        F.coalesce(F.when(count >= 0, count), F.lit(0)).cast("bigint").alias("files"),
+        F.coalesce(total, F.lit(0)).cast("bigint").alias("size"),
+    )
 
 
 VERSIONS = f"""{LIVES},

@@ -57,6 +57,12 @@ VIEWS: dict[str, str] = {
                'hosts/' || host || '/' || keyspace || '/' || cf || '/' || {_NAME} AS path,
                md5(host || '/' || keyspace || '/' || cf || '/' || CAST(generation AS STRING) || '/' || component) AS md5
         FROM (SELECT DISTINCT host, keyspace, cf, version, generation, component, size FROM {{manifest_component}}) q""",
+    # Metadata as it is appended: files that were written again have an older row too.
+    "file_meta_log": """
+        SELECT *, 2 AS written FROM {backup_file}
+        UNION ALL
+        SELECT host, keyspace, cf, version, generation, component, size, path, md5(path) AS md5, 1 AS written
+        FROM {backup_file} WHERE generation % 3 = 0""",
     # What is really in the store: some files renamed (missing, and orphans), some altered.
     "stored_file": """
         SELECT host, keyspace, cf, version, generation, size,
