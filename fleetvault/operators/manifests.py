@@ -7,6 +7,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetvault.functions.paths import (
     DEFAULT_RELEASE,
@@ -85,10 +86,15 @@ def sizes(components: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
     return total.withColumn("human_size", human_bytes(F.col("total_size")))
 
 
+def has_days(manifests: DataFrame) -> bool:
+    """Whether the rows carry their UTC day, as those of the catalogue do."""
+    return "day" in manifests.columns and manifests.schema["day"].dataType == T.DateType()
+
+
 def named(manifests: DataFrame) -> DataFrame:
-    return manifests.withColumn("name", backup_name(F.col("ts"))).withColumn(
-        "day", F.to_date("ts")
-    )
+    """Add the backup's name and its day; a stored day stays, so that filters on it skip folders."""
+    found = manifests.withColumn("name", backup_name(F.col("ts")))
+    return found if has_days(manifests) else found.withColumn("day", F.to_date("ts"))
 
 
 def backups(manifests: DataFrame) -> DataFrame:
@@ -139,14 +145,18 @@ def parts_by_name(manifests: DataFrame, names: DataFrame, name: str = "name") ->
     """
     parsed = names.select(parse_backup_name(F.col(name)).alias("_p")).filter("_p IS NOT NULL")
     keys = parsed.select("_p.keyspace", "_p.host", "_p.ts").distinct()
-    return manifests.join(keys, ["keyspace", "host", "ts"], "left_semi")
+    on = ["keyspace", "host", "ts"]
+    if has_days(manifests):
+        keys, on = keys.withColumn("day", F.to_date("ts")), [*on, "day"]
+    return manifests.join(keys, on, "left_semi")
 
 
 def one_by_name(manifests: DataFrame, name: str) -> DataFrame:
     """``parts_by_name`` for a single name given by the user, as plain filters."""
     wanted = parse_backup_name(F.lit(name))
-    return manifests.filter(
+    found = manifests.filter(
         (F.col("keyspace") == wanted["keyspace"])
         & (F.col("host") == wanted["host"])
         & (F.col("ts") == wanted["ts"])
     )
+    return found.filter(F.col("day") == F.to_date(wanted["ts"])) if has_days(manifests) else found

@@ -53,6 +53,17 @@ MANIFEST = _record(
     components=T.MapType(T.StringType(), T.ArrayType(COMPONENT)),
 )
 
+# The engine's own table of manifests; a large manifest is several parts.
+CATALOGUE = _record(
+    keyspace="string",
+    host="string",
+    day="date",
+    ts="timestamp_ntz",
+    part="integer",
+    parts="integer",
+    components=T.MapType(T.StringType(), T.ArrayType(COMPONENT)),
+)
+
 RESTORED_FILE = _record(
     was_restored="boolean",
     restore_path="string",
@@ -60,35 +71,6 @@ RESTORED_FILE = _record(
     reason_skipped="string",
 )
 
-RESTORE_RESULT = _record(
-    should_restore="boolean",
-    failed_reason="string",
-    restore_reason="string",
-    source_path="string",
-    restore_path="string",
-    corrupt_path="string",
-)
-
-TRANSFER_LOG = _record(
-    seq="long",
-    host="string",
-    ts="timestamp_ntz",
-    op="string",
-    src_path="string",
-    dest_path="string",
-    bytes="long",
-)
-
-HOUR_USAGE = _record(
-    hour="timestamp_ntz",
-    bytes="long",
-    max_bytes="long",
-    peak_bytes="long",
-    trans_in="long",
-    trans_out="long",
-    activity="boolean",
-)
-
 CHANGE_EVENT = _record(
     seq="long",
     ts="timestamp_ntz",

@@ -1,4 +1,5 @@
-"""Manifest documents: a tree of JSON files, or the partitioned table of this library."""
+"""Manifest documents: a tree of JSON files, the same as a partitioned table, or the columnar catalogue
+that the operators read."""
 
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from fleetvault.functions import records
 from fleetvault.functions.paths import backup_name
-from fleetvault.schemas import MANIFEST, STAT, stored_form
+from fleetvault.schemas import CATALOGUE, MANIFEST, STAT, stored_form
 
 CORRUPT = "_corrupt_record"
 # The table repeats keyspace and host as folder columns, so that the documents stay whole.
@@ -99,6 +100,28 @@ def write_table(
     docs.drop(*unused).hint("rebalance", *folders).write.mode(mode).partitionBy(*folders).json(root)
 
 
+def write_catalogue(
+    manifests: DataFrame,
+    root: str,
+    mode: str = "append",
+    folders: Sequence[str] = ("keyspace", "host", "day"),
+) -> None:
+    """Typed manifests (host, keyspace, ts, components, part, parts) as parquet.
+
+    The folder columns are the manifests' own, so a lookup by keyspace, host, day or backup name
+    opens the folders it needs. Within a file ``day`` and ``ts`` have ranges that skip row groups.
+    """
+    dated = manifests.withColumn("day", F.to_date("ts"))
+    sorted_ = dated.hint("rebalance", *folders).sortWithinPartitions(*folders, "ts")
+    sorted_.write.mode(mode).partitionBy(*folders).parquet(root)
+
+
+def read_catalogue(spark: SparkSession, root: str, schema: T.StructType = CATALOGUE) -> DataFrame:
+    """The catalogue; columns that the files lack are null. Keys keep their type, whatever they
+    look like."""
+    return spark.read.schema(schema).parquet(root)
+
+
 def component_struct() -> Column:
     """The component record of a flat row (file_path, names, ownership columns)."""
     return F.struct(

@@ -3,14 +3,16 @@
 import hashlib
 import json
 import os
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetvault.functions.paths import backup_path
 from fleetvault.operators import manifests
-from fleetvault.plans import upload
+from fleetvault.plans import retention, upload
+from fleetvault.schemas import CATALOGUE
 from fleetvault.sources import content, file_meta, inventory, transfer_log
 from fleetvault.sources import manifests as source
 from fleetvault.storage import run_dir, shared_root
@@ -198,3 +200,30 @@ def test_shared_folder_is_the_configured_one(spark):
     if configured:
         assert shared_root(spark) == configured.rstrip("/")
     assert run_dir(spark, "x") != run_dir(spark, "x")
+
+
+def test_catalogue_lookups_skip_folders(spark, tmp_path):
+    """Lookups by keyspace, host, day or name open the folders of that backup."""
+    start = datetime(2024, 5, 9, 10)
+    rows = [(k, h, start + timedelta(days=d), "cf", 1) for k in ("007", "ks") for h in ("n-1", "n-2") for d in range(3)]
+    flat = spark.createDataFrame(rows, "keyspace string, host string, ts timestamp_ntz, cf string, generation bigint")
+    root = str(tmp_path / "catalogue")
+    source.write_catalogue(manifests.build(flat, ["generation"]), root)
+    schema = T.StructType([f for f in CATALOGUE.fields if f.name != "components"])
+    table = source.read_catalogue(spark, root, schema)
+    assert {r.keyspace for r in table.collect()} == {"007", "ks"} and table.count() == 12
+    name = manifests.listed(table, "007", "n-1", start.date()).first().name
+    names = spark.createDataFrame([(name,)], "name string")
+    days = spark.createDataFrame([("007", "n-1", start.date())], "keyspace string, host string, day date")
+    found = {
+        "one": manifests.one_by_name(table, name),
+        "listed": manifests.listed(table, "007", "n-1", start.date()),
+        "scoped": retention.scoped(table, "007", "n-1"),
+        "by_name": manifests.by_name(table, names),
+        "for_days": manifests.for_days(table, days.filter("host = 'n-1'")),
+    }
+    for what, df in found.items():
+        assert df.count() == (3 if what == "scoped" else 1), what
+        if what not in ("by_name", "for_days"):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "PartitionFilters: [isnotnull" in plan, what

@@ -623,8 +623,11 @@ def _(c):
 
 def stored_parts(c: Catalogue) -> DataFrame:
     """Manifests as they are stored: a large one is several rows."""
-    part = F.explode(F.sequence(F.lit(0), F.col("manifest_id") % 3)).alias("part")
-    return c.manifest.select("keyspace", "host", "ts", part)
+    part = F.explode(F.sequence(F.lit(0), (F.col("manifest_id") % 3).cast("int"))).alias("part")
+    root = run_dir(c.spark, "catalogue")
+    rows = c.manifest.select("keyspace", "host", "ts", part)
+    manifest_source.write_catalogue(rows, root, folders=("keyspace", "host"))
+    return manifest_source.read_catalogue(c.spark, root)
 
 
 @query("list_backups", f"SELECT DISTINCT keyspace, host, ts, {BACKUP_NAME} AS name FROM {{manifest}}")
@@ -657,7 +660,8 @@ def _(c):
        WHERE (keyspace, host, ts) IN (SELECT (keyspace, host, max(ts)) FROM {manifest} GROUP BY keyspace, host, CAST(ts AS DATE))""",
 )
 def _(c):
-    return manifests.by_name(stored_parts(c), manifests.latest(c.manifest))
+    found = manifests.by_name(stored_parts(c), manifests.latest(c.manifest))
+    return found.select("keyspace", "host", "ts")
 
 
 @query(
