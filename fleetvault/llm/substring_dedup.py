@@ -79,7 +79,7 @@ def _answers(check_bytes: int):
         for packed, shown, least in zip(*(table[c].to_pylist() for c in ("hashes", "checks", "docs"))):
             keys.append(np.cumsum(tokens.unpack(packed, np.uint64), dtype=np.uint64))
             wide = np.zeros((len(keys[-1]), 8), np.uint8)
-            wide[:, :check_bytes] = np.frombuffer(shown, np.uint8).reshape(check_bytes, -1).T
+            wide[:, :check_bytes] = np.frombuffer(shown, np.uint8).reshape(check_bytes, len(keys[-1])).T
             checks.append(wide.reshape(-1).view(np.uint64))
             docs.append(tokens.unpack(least, np.int64))
         at = np.cumsum([0, *map(len, keys)])

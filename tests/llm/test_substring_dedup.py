@@ -1,0 +1,101 @@
+"""Removed windows against a dictionary of all windows, in one chunk and in many."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+
+from fleetvault.llm import substring_dedup, tokens
+from fleetvault.llm.queries import ORACLES, QUERIES
+from tests.oracle import difference
+
+LAST = float("inf")
+
+
+def brute(rows, window):
+    texts = [(LAST if i is None else i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, *_ in rows]
+    least = {}
+    for i, words in texts:
+        for p in range(len(words) - window + 1):
+            key = tuple(words[p : p + window])
+            least[key] = min(least.get(key, LAST), i)
+    out = []
+    for (doc_id, *_), (i, words) in zip(rows, texts):
+        gone = set()
+        for p in range(len(words) - window + 1):
+            if least[tuple(words[p : p + window])] < i:
+                gone.update(range(p, p + window))
+        kept = " ".join(w for p, w in enumerate(words) if p not in gone)
+        spans = [p for p in sorted(gone) if p - 1 not in gone], [p + 1 for p in sorted(gone) if p + 1 not in gone]
+        out.append((doc_id, len(words), len(gone), list(zip(*spans)), kept))
+    return sorted(out, key=str)
+
+
+def corpus(seed, n=120):
+    rng = random.Random(seed)
+    words = ["a", "B", "é", "x.", "𝒳", "w1", "w2", "w3"]
+    shared = [" ".join(rng.choices(words, k=rng.randint(5, 40))) for _ in range(6)]
+    rows = []
+    for i in rng.sample(range(10 * n), n):
+        parts = [rng.choice(shared) if rng.random() < 0.4 else " ".join(rng.choices(words, k=rng.randint(0, 30))) for _ in range(4)]
+        rows.append((i, rng.choice([" ", "\n", "\t \x0b"]).join(parts)))
+    return rows + [(10 * n + i, rows[i % 7][1]) for i in range(20)]
+
+
+ODD = [
+    (1, None, "k", None),
+    (2, "", "k", None),
+    (5, "a b c d e f", "k", 1),
+    (5, "a b c d e f", "k", 1),
+    (4, "x a b c y", "k", 2),
+    (None, "a b c d", "k", 2),
+    (None, "a b c d", "k", 2),
+    (7, "\x1c a\xa0b c\x85d e", "k", 2),
+    (8, "\x1c a\xa0b c\x85d e f", "k", 2),
+    (9, "long " * 60_000, "k", 0),
+    (6, "long " * 50_000, None, 0),
+    (3, "c d", None, 0),
+]
+
+
+@pytest.mark.parametrize(
+    "rows, schema, options",
+    [
+        (corpus(1), "doc_id long, text string", {"window": 5}),
+        (corpus(2), "doc_id long, text string", {"window": 4, "chunk_bytes": 300, "range_bytes": 500, "check_bytes": 0}),
+        (corpus(3), "doc_id long, text string", {"window": 13, "chunk_bytes": 1000, "range_bytes": 2000, "check_bytes": 8}),
+        (ODD, "doc_id long, text string, kept string, chunk long", {"window": 3}),
+        (ODD, "doc_id long, text string, kept string, chunk long", {"window": 1, "chunk_bytes": 1}),
+        ([], "doc_id long, text string", {}),
+    ],
+)
+def test_against_brute_force(spark, rows, schema, options):
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    found = substring_dedup.dedup(df, **options).collect()
+    got = [(r.doc_id, r.n_words, r.n_removed, [tuple(s) for s in r.intervals], r.kept) for r in found]
+    assert sorted(got, key=str) == brute(rows, options.get("window", 13))
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 1000):
+        values = rng.integers(0, 2**63, n).astype(np.uint64)
+        assert (tokens.unpack(tokens.pack(values), np.uint64) == values).all()
+
+
+def test_words_and_hashes():
+    texts = ["A b\tc", None, "", " é\x0bé  x", "b"]
+    import pyarrow as pa
+
+    words = tokens.cut(pa.array(texts))
+    shown = [bytes(words.data[s:e]).decode() for s, e in zip(words.starts, words.ends)]
+    assert shown == ["A", "b", "c", "é", "é", "x", "b"] and list(words.counts) == [3, 0, 0, 3, 1]
+    hashed = tokens.hashes(words)
+    assert hashed[1] == hashed[6] and hashed[3] == hashed[4] and len(set(hashed.tolist())) == 5
+    low = tokens.cut(pa.array(["AZ É", "az É"]), lower=True)
+    assert tokens.hashes(low)[0] == tokens.hashes(low)[2]
+
+
+def test_query(spark, sf_dir, con):
+    assert difference(QUERIES["op4_substring_dedup"](spark, sf_dir), con, ORACLES["op4_substring_dedup"]) is None
