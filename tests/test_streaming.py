@@ -96,10 +96,13 @@ def test_hourly_sums_and_dropped_lines(spark, tmp_path):
         lines = spark.readStream.schema(schema).parquet(folder)
         query = usage.start(lines, table, str(tmp_path / "cp"))
         query.awaitTermination()
-        return usage.dropped_rows(query)
+        done = spark.read.parquet(table)
+        left = usage.missed(spark.read.schema(schema).parquet(folder), done)
+        return sorted((r.hour, r.lines, r.net, r.trans_in) for r in left.collect())
 
     hour = timedelta(hours=1)
-    assert add([(0, "h", START, "stored", 10), (1, "h", START, "restored", 4), (2, "h", START + 5 * hour, "removed", 1)]) == 0
-    assert add([(3, "h", START + hour, "stored", 99), (4, "h", START + 9 * hour, "stored", 1)]) == 1
+    assert add([(0, "h", START, "stored", 10), (1, "h", START, "restored", 4), (2, "h", START + 5 * hour, "removed", 1)]) == []
+    late = [(3, "h", START + hour, "stored", 99), (5, "h", START + hour, "restored", 9), (6, "h", START, "stored", 1)]
+    assert add([*late, (4, "h", START + 9 * hour, "stored", 1)]) == [(START, 1, 1, 1), (START + hour, 2, 90, 99)]
     found = {r.hour: (r.lines, r.net, r.trans_in, r.trans_out) for r in spark.read.parquet(table).collect()}
     assert found == {START: (2, 6, 10, 4), START + 5 * hour: (1, -1, 0, 0)}

@@ -1256,6 +1256,21 @@ def _(c):
     return c.spark.read.parquet(table)
 
 
+@query(
+    "stream_late_lines",
+    """WITH _line AS (SELECT *, date_trunc('hour', ts)::TIMESTAMP AS hour FROM {late_log}),
+        _on_time AS (SELECT host, hour, count(*) AS lines FROM _line WHERE seq % 50 <> 7 GROUP BY ALL)
+        SELECT host, hour, count(*) AS lines FROM _line
+        WHERE seq % 50 = 7 AND hour <= (SELECT max(hour) FROM _on_time) GROUP BY ALL""",
+)
+def _(c):
+    """Lines that the closed hours lack, when every late line comes after they were closed."""
+    late = F.col("seq") % 50 == 7
+    table = run_dir(c.spark, "hours")
+    usage_stream.summed(c.late_log.filter(~late)).write.parquet(table)
+    return usage_stream.missed(c.late_log, c.spark.read.parquet(table)).select("host", "hour", "lines")
+
+
 # -- files ---------------------------------------------------------------------------------
 
 
