@@ -2,9 +2,10 @@
 
 A batch needs the files that were live before it and its own events: a file that is gone
 cannot change any more. So every micro-batch reads the last snapshot of live files and what
-the few batches since then said, never the whole history. When a batch holds an event older
-than one already seen from its host, the SSTables it touches are worked out again from all
-their events instead. Either way the result equals the batch operator.
+the few batches since then said, never the whole history. SSTables for which a batch holds an
+event older than one already seen from their host are worked out again from all their events;
+events are kept in folders by a hash of the SSTable, and only the folders of those are read.
+Either way the result equals the batch operator.
 
 Each batch writes its own folders in overwrite mode, so a repeated batch replaces itself.
 """
@@ -15,6 +16,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetvault.operators.blocked import BLOCK_ROWS
@@ -23,6 +25,7 @@ from fleetvault.operators.history import TABLE_KEY, lifetimes, live_now
 
 EVENT_COLUMNS = (*TABLE_KEY, "component", "seq", "ts", "kind", "size")
 SNAPSHOT_EVERY = 50
+BUCKETS = 64
 
 
 def _folder(store: str, table: str, batch_id: int) -> str:
@@ -39,6 +42,13 @@ def _write(df: DataFrame, store: str, table: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(_folder(store, table, batch_id))
 
 
+def _events(spark: SparkSession, schema: T.StructType, store: str, folders: Sequence[str]) -> DataFrame:
+    """Events in the given folders (patterns allowed); a batch may have brought none."""
+    whole = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+    reader = spark.read.schema(whole).option("basePath", f"{store}/events")
+    return reader.parquet(*[f"{store}/events/{f}" for f in folders]).drop("batch")
+
+
 def _newest(told: DataFrame) -> DataFrame:
     """Of several statements about the same added file the newest wins."""
     value = F.max_by(F.struct("size", "added_ts", "removed_seq"), "batch").alias("_v")
@@ -73,26 +83,31 @@ def apply_batch(
     **gate,
 ) -> None:
     spark = batch.sparkSession
-    _write(accepted_changes(batch, **gate).select(*EVENT_COLUMNS), store, "events", batch_id)
-    fresh = _read(spark, store, "events", [batch_id]).drop("batch")
+    accepted = accepted_changes(batch, **gate).select(*EVENT_COLUMNS)
+    bucket = F.pmod(F.xxhash64(*TABLE_KEY), F.lit(BUCKETS)).cast("int")
+    folder = _folder(store, "events", batch_id)
+    accepted.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    schema = T.StructType(list(accepted.schema.fields))
+    fresh = _events(spark, schema, store, [f"batch={batch_id}"])
 
     reached = fresh.groupBy("host").agg(F.max("seq").alias("reached"))
-    late = False
+    late, buckets = None, []
     if batch_id > 0:
         before = _read(spark, store, "reached", [batch_id - 1]).drop("batch")
-        late = not fresh.join(before, "host").filter("seq < reached").isEmpty()
+        late = fresh.join(before, "host").filter("seq < reached").select(*TABLE_KEY, "bucket").distinct()
+        buckets = [row.bucket for row in late.select("bucket").distinct().collect()]  # at most BUCKETS
         reached = before.unionByName(reached).groupBy("host").agg(F.max("reached").alias("reached"))
     _write(reached, store, "reached", batch_id)
 
-    if late:
-        rows = _touched(_read(spark, store, "events", range(batch_id + 1)).drop("batch"), fresh)
-    else:
-        rows = fresh
-        live = _live_after(spark, store, batch_id - 1, snapshot_every)
-        if live is not None:
-            earlier = _touched(live, fresh).withColumnsRenamed({"added_seq": "seq", "added_ts": "ts"})
-            earlier = earlier.withColumn("kind", F.lit("created")).select(*EVENT_COLUMNS)
-            rows = rows.unionByName(earlier)
+    rows = fresh.join(late, list(TABLE_KEY), "left_anti") if buckets else fresh
+    live = _live_after(spark, store, batch_id - 1, snapshot_every)
+    if live is not None:
+        earlier = _touched(live, rows).withColumnsRenamed({"added_seq": "seq", "added_ts": "ts"})
+        earlier = earlier.withColumn("kind", F.lit("created")).select(*EVENT_COLUMNS)
+        rows = rows.select(*EVENT_COLUMNS).unionByName(earlier)
+    if buckets:
+        old = _events(spark, schema, store, [f"batch=*/bucket={number}" for number in sorted(buckets)])
+        rows = rows.select(*EVENT_COLUMNS).unionByName(_touched(old, late).select(*EVENT_COLUMNS))
     _write(lifetimes(rows, block_rows=block_rows), store, "lifetimes", batch_id)
 
     if batch_id % snapshot_every == 0:
