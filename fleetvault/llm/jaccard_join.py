@@ -40,11 +40,9 @@ from fleetvault.llm.state import checkpointed
 SLICE_BYTES = 2 << 20
 SKETCH_BITS = 20
 SKETCH_PARTS = 16
-SIGNATURE = 4
+TOKEN_BITS = 48
 MOST_BROADCAST = 1_000_000
-DESCRIBED = (
-    "doc_id long, n int, class binary, grp long, prefix array<long>, sig array<long>"
-)
+DESCRIBED = "doc_id long, n int, class binary, grp long, prefix array<long>, sig array<long>"
 MIX_A, MIX_B, MIX_C = (np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F))
 
 
@@ -92,14 +90,19 @@ def classes_of(value: np.ndarray, first: np.ndarray) -> list[bytes]:
     return [both[i : i + 16] for i in range(0, len(both), 16)]
 
 
-def _signatures(value: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Parities of elements by slot: two sets' signatures differ in no more bits than the sets."""
-    bits = 64 * SIGNATURE
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    slot = (tokens.mix(value ^ MIX_C) % np.uint64(bits)).astype(np.int64)
-    odd = np.bincount(text * bits + slot, minlength=(len(first) - 1) * bits) & 1
-    packed = np.packbits(odd.astype(np.uint8).reshape(len(first) - 1, bits), axis=1, bitorder="little")
-    return packed.view(np.int64)
+def _signatures(value: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    """Parities of elements by slot: two sets' signatures differ in no more bits than the sets.
+
+    A set of n elements has as many slots as the next power of two, 64 or more, so that a signature is
+    a sixty-fourth of its set and sets that are not alike differ in far more bits than links may.
+    """
+    n = np.diff(first)
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    edges = np.concatenate([[0], np.cumsum(bits)])
+    slot = tokens.mix(value ^ MIX_C) & np.repeat(bits - 1, n).astype(np.uint64)
+    odd = np.bincount(np.repeat(edges[:-1], n) + slot.astype(np.int64), minlength=int(edges[-1])) & 1
+    packed = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(edges // 64, pa.int32()), pa.array(packed))
 
 
 def _parts(batches: Iterator[pa.RecordBatch], width: int):
@@ -145,7 +148,8 @@ def describe(docs: DataFrame, width: int, percent: int, levels) -> DataFrame:
             at = np.repeat(first[:-1] - edges[:-1], sizes) + np.arange(edges[-1])
             prefix = ordered[at]
             group = tokens.mix(_sums(tokens.mix(prefix ^ MIX_B), edges) + n.astype(np.uint64))
-            sig = _signatures(value, first)
+            # Lists are only looked up by prefix elements; shorter ones cost a few more candidates.
+            prefix = prefix >> np.uint64(64 - TOKEN_BITS)
             yield pa.RecordBatch.from_arrays(
                 [
                     part["doc_id"] if isinstance(part["doc_id"], pa.Array) else part["doc_id"].combine_chunks(),
@@ -153,9 +157,7 @@ def describe(docs: DataFrame, width: int, percent: int, levels) -> DataFrame:
                     pa.array(classes_of(value, first), pa.binary()),
                     pa.array(group.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(prefix.view(np.int64))),
-                    pa.ListArray.from_arrays(
-                        pa.array(np.arange(len(n) + 1) * SIGNATURE, pa.int32()), pa.array(sig.reshape(-1))
-                    ),
+                    _signatures(value, first),
                 ],
                 ["doc_id", "n", "class", "grp", "prefix", "sig"],
             )
@@ -185,7 +187,15 @@ def _filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     a = classes.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("s_a"))
     b = classes.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("s_b"))
     both = pairs.join(a, "a").join(b, "b")
-    differ = sum(F.bit_count(F.get("s_a", F.lit(i)).bitwiseXOR(F.get("s_b", F.lit(i)))) for i in range(SIGNATURE))
+    size = F.least(F.size("s_a"), F.size("s_b"))
+
+    def folded(sig: Column) -> Column:
+        """The signature of half as many slots: its halves, one upon the other."""
+        halves = F.transform(F.slice(sig, F.lit(1), size), lambda v, i: v.bitwiseXOR(F.get(sig, i + size)))
+        return F.when(F.size(sig) > size, halves).otherwise(sig)
+
+    bits = F.zip_with(folded(F.col("s_a")), folded(F.col("s_b")), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(bits, F.lit(0), lambda total, b: total + b)
     n, m = F.col("n_a"), F.col("n_b")
     return both.filter(similar_size(n, m, percent) & (differ <= most_different(n, m, percent))).select("a", "b")
 
@@ -198,19 +208,31 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
     few = wanted.count() <= MOST_BROADCAST  # 8 bytes each
     chosen = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, value, first in _parts(batches, width):
-            lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(value.view(np.int64)))
+            steps = np.diff(value, prepend=np.uint64(0))
+            steps[first[:-1][np.diff(first) > 0]] = value[first[:-1][np.diff(first) > 0]]
+            items = [tokens.pack(steps[i:j]) for i, j in zip(first, first[1:])]
             names = pa.array(classes_of(value, first), pa.binary())
-            yield pa.RecordBatch.from_arrays([names, lists], ["class", "items"])
+            yield pa.RecordBatch.from_arrays([names, pa.array(items, pa.binary())], ["class", "items"])
+
+    def unpack(items) -> np.ndarray:
+        return np.cumsum(tokens.unpack(items.as_py(), np.uint64), dtype=np.uint64)
 
-    found = chosen.mapInArrow(run, "class binary, items array<long>").join(ends, "class", "left_semi")
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for left, right in zip(batch["x"], batch["y"]):
+                x, y = unpack(left), unpack(right)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+
+    found = chosen.mapInArrow(pack, "class binary, items binary").join(ends, "class", "left_semi")
     found = found.dropDuplicates(["class"])
     left = found.select(F.col("class").alias("a"), F.col("items").alias("x"))
     right = found.select(F.col("class").alias("b"), F.col("items").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    whole = F.size("x") + F.size("y") - common
-    return pairs.join(left, "a").join(right, "b").filter(100 * common >= percent * whole).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(check, "a binary, b binary")
 
 
 def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -225,8 +247,8 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
     while True:
         heard = both.join(labels, both["a"] == labels["class"]).groupBy(F.col("b").alias("class"))
         heard = heard.agg(F.min("label").alias("heard"))
-        nearer = labels.join(heard, "class").select("class", F.col("label").alias("old"), F.least("label", "heard").alias("new"))
-        nearer = checkpointed(nearer)
+        nearer = labels.join(heard, "class")
+        nearer = checkpointed(nearer.select("class", F.col("label").alias("old"), F.least("label", "heard").alias("new")))
         ahead = nearer.select(F.col("class").alias("at"), F.col("new").alias("ahead"))
         moved = nearer.join(ahead, nearer["new"]["class"] == ahead["at"]).select(
             "class", "old", F.least("new", "ahead").alias("label")
@@ -246,24 +268,23 @@ def components(docs: DataFrame, width: int = 3, percent: int = 90, sketch_bits:
     levels = docs.sparkSession.sparkContext.broadcast(sketch(docs, width, sketch_bits))
     described = checkpointed(describe(docs, width, percent, levels))
     able = described.filter("doc_id is not null and n > 0")
-    classes = able.groupBy("class").agg(
-        F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", "grp", "prefix", "sig")]
-    )
+    classes = able.groupBy("class").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", "grp", "sig")])
     classes = checkpointed(classes)
-    groups = classes.groupBy("grp", "n").agg(F.min("class").alias("head"), F.first("prefix").alias("prefix"))
-    posted = groups.select("grp", "n", "head", F.posexplode("prefix").alias("pos", "token"))
-    # Lists of groups of similar size; only tokens that several groups share matter.
+    groups = able.groupBy("grp", "n").agg(F.min("class").alias("head"), F.first("prefix").alias("prefix"))
+    heads = checkpointed(able.groupBy("grp", "n").agg(F.min("class").alias("head")))
+    posted = groups.select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
+    # Only tokens that several groups share matter. A group's number covers its size.
+    several = posted.groupBy("token").agg(F.min("grp").alias("least"), F.max("grp").alias("most"))
+    several = several.filter("least <> most").select("token")
+    shared = posted.join(several, "token", "left_semi").join(heads, ["grp", "n"])
+    # Lists of groups of similar size.
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))) if percent < 100 else F.col("n").cast("long")
-    posted = posted.withColumn("band", band)
-    counted = posted.groupBy("token").agg(F.min("grp").alias("least"), F.max("grp").alias("most"), F.min("n").alias("low"), F.max("n").alias("high"))
-    several = counted.filter("least <> most or low <> high").select("token")
-    shared = checkpointed(posted.join(several, "token", "left_semi"))
+    shared = checkpointed(shared.withColumn("band", band))
     centres = shared.groupBy("token", "band").agg(F.min(F.struct("head", "n", "pos")).alias("centre"))
     stars = shared.join(centres, ["token", "band"]).filter("head <> centre.head")
     reach = _in_reach(F.col("pos"), F.col("n"), F.col("centre.pos"), F.col("centre.n"), percent)
     stars = stars.filter(similar_size(F.col("n"), F.col("centre.n"), percent) & reach)
     stars = stars.select(F.col("centre.head").alias("a"), F.col("head").alias("b"))
-    heads = groups.select("grp", "n", "head")
     members = classes.select("class", "grp", "n").join(heads, ["grp", "n"])
     inside = members.filter("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b"))
     tried = checkpointed(stars.union(inside).distinct())
@@ -294,8 +315,9 @@ def _rest(classes: DataFrame, shared: DataFrame, labels: DataFrame, tried: DataF
     wide = spans.filter("first <> last").select("grp", "n")
     within = member.join(wide, ["grp", "n"], "left_semi")
     within = _across(within, ["grp", "n"], None)
-    tokens_ = shared.join(spans, ["grp", "n"]).groupBy("token").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    open_ = tokens_.filter("first <> last").select("token")
+    lists = shared.join(spans, ["grp", "n"]).groupBy("token")
+    open_ = lists.agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    open_ = open_.filter("first <> last").select("token")
     listed = shared.join(open_, "token", "left_semi").select("token", "pos", "grp", "n").join(member, ["grp", "n"])
     across = _across(listed, ["token"], percent)
     untried = within.union(across).distinct()
