@@ -8,12 +8,14 @@ A grouped prefix join, exact at any size:
 * **Classes.** Documents of equal sets are one class.
 * **Groups.** Classes of the same prefix and set size are one group, and only groups are posted
   under their prefix's shingles.
-* **Stars.** In each shingle's list the groups of similar size are paired with one centre, not with
-  each other, and the members of a group with its first member. Pairs are filtered by size, place
-  in the prefix and a parity signature (bits of the signatures that differ are at most the elements
-  that differ), and the rest verified on whole sets. The links make components.
+* **Stars.** In each shingle's list the groups of similar size are paired with one centre, the one
+  whose shingles are best known, not with each other, and the members of a group with its first
+  member. Pairs are filtered by size, place in the prefix and a parity signature (bits of the
+  signatures that differ are at most the elements that differ), and the rest verified on whole
+  sets. The links make components.
 * **Rest.** Only where a list or group still spans several components are groups expanded and
-  members of different components paired, filtered and verified in the same way.
+  members of different components paired, filtered in the same way while they are joined, and
+  verified.
 
 So a group of copies costs about a pair per copy, and no link between components is missed. Links
 are joined to components by smallest labels with shortcuts, in slim tables that are checkpointed.
@@ -182,22 +184,26 @@ def _in_reach(pos: Column, n: Column, other_pos: Column, m: Column, percent: int
     return n + m - 2 * (after + skipped) <= most_different(n, m, percent)
 
 
-def _filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes whose sizes and signatures allow a link."""
-    a = classes.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("s_a"))
-    b = classes.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("s_b"))
-    both = pairs.join(a, "a").join(b, "b")
-    size = F.least(F.size("s_a"), F.size("s_b"))
+def _alike(n: Column, sig: Column, m: Column, other: Column, percent: int) -> Column:
+    """Whether sizes and signatures of two sets allow a link."""
+    size = F.least(F.size(sig), F.size(other))
 
-    def folded(sig: Column) -> Column:
+    def folded(whole: Column) -> Column:
         """The signature of half as many slots: its halves, one upon the other."""
-        halves = F.transform(F.slice(sig, F.lit(1), size), lambda v, i: v.bitwiseXOR(F.get(sig, i + size)))
-        return F.when(F.size(sig) > size, halves).otherwise(sig)
+        halves = F.transform(F.slice(whole, F.lit(1), size), lambda v, i: v.bitwiseXOR(F.get(whole, i + size)))
+        return F.when(F.size(whole) > size, halves).otherwise(whole)
 
-    bits = F.zip_with(folded(F.col("s_a")), folded(F.col("s_b")), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    bits = F.zip_with(folded(sig), folded(other), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     differ = F.aggregate(bits, F.lit(0), lambda total, b: total + b)
-    n, m = F.col("n_a"), F.col("n_b")
-    return both.filter(similar_size(n, m, percent) & (differ <= most_different(n, m, percent))).select("a", "b")
+    return F.when(similar_size(n, m, percent), differ <= most_different(n, m, percent)).otherwise(False)
+
+
+def _filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes whose sizes and signatures allow a link."""
+    a = classes.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("s_a"))
+    b = classes.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("s_b"))
+    alike = _alike(F.col("n_a"), F.col("s_a"), F.col("n_b"), F.col("s_b"), percent)
+    return pairs.join(a, "a").join(b, "b").filter(alike).select("a", "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -274,17 +280,24 @@ def components(docs: DataFrame, width: int = 3, percent: int = 90, sketch_bits:
     heads = checkpointed(able.groupBy("grp", "n").agg(F.min("class").alias("head")))
     posted = groups.select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
     # Only tokens that several groups share matter. A group's number covers its size.
-    several = posted.groupBy("token").agg(F.min("grp").alias("least"), F.max("grp").alias("most"))
-    several = several.filter("least <> most").select("token")
-    shared = posted.join(several, "token", "left_semi").join(heads, ["grp", "n"])
-    # Lists of groups of similar size.
+    several = posted.groupBy("token").agg(
+        F.min("grp").alias("least"), F.max("grp").alias("most"), F.count("*").alias("others")
+    )
+    several = several.filter("least <> most").select("token", "others")
+    shared = checkpointed(posted.join(several, "token"))
+    # Lists hold groups of similar size. The centre of a list is the group whose elements most other
+    # groups have: what copies were made from, or the least changed of them, rather than any.
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))) if percent < 100 else F.col("n").cast("long")
-    shared = checkpointed(shared.withColumn("band", band))
-    centres = shared.groupBy("token", "band").agg(F.min(F.struct("head", "n", "pos")).alias("centre"))
-    stars = shared.join(centres, ["token", "band"]).filter("head <> centre.head")
-    reach = _in_reach(F.col("pos"), F.col("n"), F.col("centre.pos"), F.col("centre.n"), percent)
-    stars = stars.filter(similar_size(F.col("n"), F.col("centre.n"), percent) & reach)
-    stars = stars.select(F.col("centre.head").alias("a"), F.col("head").alias("b"))
+    known = shared.groupBy("grp", "n").agg(F.sum("others").alias("known"))
+    ranked = shared.join(known, ["grp", "n"]).withColumn("band", band)
+    centres = ranked.groupBy("token", "band").agg(F.max(F.struct("known", "grp", "n", "pos")).alias("c"))
+    listed = shared.withColumn("band", band).join(centres, ["token", "band"]).filter("grp <> c.grp")
+    reach = _in_reach(F.col("pos"), F.col("n"), F.col("c.pos"), F.col("c.n"), percent)
+    listed = listed.filter(similar_size(F.col("n"), F.col("c.n"), percent) & reach)
+    stars = listed.select("grp", "n", F.col("c.grp").alias("c_grp"), F.col("c.n").alias("c_n")).distinct()
+    stars = stars.join(heads.withColumnRenamed("head", "b"), ["grp", "n"])
+    centre = heads.select(F.col("grp").alias("c_grp"), F.col("n").alias("c_n"), F.col("head").alias("a"))
+    stars = stars.join(centre, ["c_grp", "c_n"]).select("a", "b")
     members = classes.select("class", "grp", "n").join(heads, ["grp", "n"])
     inside = members.filter("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b"))
     tried = checkpointed(stars.union(inside).distinct())
@@ -292,7 +305,7 @@ def components(docs: DataFrame, width: int = 3, percent: int = 90, sketch_bits:
     links = checkpointed(_verified(_filtered(tried, slim, percent), docs, slim, width, percent))
     labels = connected(slim, links)
     rest = _rest(classes, shared, labels, tried, percent)
-    more = _verified(_filtered(rest, slim, percent), docs, slim, width, percent)
+    more = _verified(rest, docs, slim, width, percent)
     labels = connected(slim, links.union(more))
     named = classes.select("class").join(labels, "class").select("class", F.col("label.id").alias("component"))
     own = described.select("doc_id", "n", "class").join(
@@ -307,35 +320,36 @@ def components(docs: DataFrame, width: int = 3, percent: int = 90, sketch_bits:
 
 
 def _rest(classes: DataFrame, shared: DataFrame, labels: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Untried pairs of classes of different components, in lists or groups that span several."""
-    own = classes.select("class", "grp", "n").join(labels, "class", "left")
-    member = own.select("class", "grp", "n", F.coalesce("label.class", "class").alias("part"))
+    """Untried pairs of classes of different components, in lists or groups that span several.
+
+    The filters are conditions of the join that finds the pairs, so that of a large list only pairs
+    that may be links come out.
+    """
+    own = classes.select("class", "grp", "n", "sig").join(labels, "class", "left")
+    member = own.select("class", "grp", "n", "sig", F.coalesce("label.class", "class").alias("part"))
     member = checkpointed(member)
     spans = member.groupBy("grp", "n").agg(F.min("part").alias("first"), F.max("part").alias("last"))
     wide = spans.filter("first <> last").select("grp", "n")
-    within = member.join(wide, ["grp", "n"], "left_semi")
-    within = _across(within, ["grp", "n"], None)
+    within = _across(member.join(wide, ["grp", "n"], "left_semi"), "grp", percent, placed=False)
     lists = shared.join(spans, ["grp", "n"]).groupBy("token")
     open_ = lists.agg(F.min("first").alias("first"), F.max("last").alias("last"))
     open_ = open_.filter("first <> last").select("token")
     listed = shared.join(open_, "token", "left_semi").select("token", "pos", "grp", "n").join(member, ["grp", "n"])
-    across = _across(listed, ["token"], percent)
-    untried = within.union(across).distinct()
+    across = _across(listed.drop("grp"), "token", percent, placed=True)
     known = tried.union(tried.select("b", "a"))
-    return untried.join(known, ["a", "b"], "left_anti")
-
-
-def _across(rows: DataFrame, on: list[str], percent: int | None) -> DataFrame:
-    """Pairs of classes that share ``on`` and belong to different components, each once."""
-    right = rows.select(*[F.col(c).alias(f"{c}_" if c not in on else c) for c in rows.columns])
-    pairs = rows.join(right, on).filter(F.col("part") < F.col("part_"))
-    if percent is not None:
-        pairs = pairs.filter(
-            similar_size(F.col("n"), F.col("n_"), percent)
-            & _in_reach(F.col("pos"), F.col("n"), F.col("pos_"), F.col("n_"), percent)
-        )
-    a, b = F.least("class", "class_"), F.greatest("class", "class_")
-    return pairs.select(a.alias("a"), b.alias("b"))
+    return within.union(across).distinct().join(known, ["a", "b"], "left_anti")
+
+
+def _across(rows: DataFrame, on: str, percent: int, placed: bool) -> DataFrame:
+    """Pairs of classes that share ``on``, belong to different components and may be links, each once."""
+    left, right = rows.alias("l"), rows.alias("r")
+    n, m = F.col("l.n"), F.col("r.n")
+    wanted = (F.col(f"l.{on}") == F.col(f"r.{on}")) & (F.col("l.part") < F.col("r.part"))
+    if placed:
+        wanted &= similar_size(n, m, percent) & _in_reach(F.col("l.pos"), n, F.col("r.pos"), m, percent)
+    wanted &= _alike(n, F.col("l.sig"), m, F.col("r.sig"), percent)
+    a, b = F.least("l.class", "r.class"), F.greatest("l.class", "r.class")
+    return left.join(right, wanted).select(a.alias("a"), b.alias("b"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
