@@ -59,12 +59,12 @@ def missed(log: DataFrame, hours: DataFrame) -> DataFrame:
     """Per host and hour what the stream left out as late: lines and sums, exactly.
 
     The stored log is summed again and compared with the table of closed hours. An hour counts as
-    closed up to the newest one in the table. Adding these rows to the table's gives the whole
+    closed up to the newest one in the table, which is looked up when this is called. Adding these rows to the table's gives the whole
     log's sums, so nothing late is lost to the bill.
     """
     whole = summed(log)
-    newest = hours.agg(F.max("hour").alias("_newest"))
-    closed = whole.join(F.broadcast(newest)).filter(F.col("hour") <= F.col("_newest")).drop("_newest")  # one row
+    newest = hours.agg(F.max("hour")).first()[0]
+    closed = whole.filter(F.col("hour") <= F.lit(newest))
     names = ["lines", "net", "trans_in", "trans_out"]
     less = hours.select("host", "hour", *[(-F.col(c)).alias(c) for c in names])
     left = closed.select("host", "hour", *names).unionByName(less).groupBy("host", "hour")

@@ -1128,16 +1128,16 @@ def _(c):
 
 @query(
     "manifest_as_of",
-    f"""WITH {LIVES}, _at AS (SELECT count(*) // 2 AS seq FROM {{events}})
-        SELECT l.* FROM _lives l, _at WHERE added_seq <= _at.seq AND (removed_seq = -1 OR removed_seq > _at.seq)""",
+    f"""WITH {LIVES}, _at AS (SELECT host, keyspace, (min(seq) + max(seq)) // 2 AS seq FROM _changes GROUP BY ALL)
+        SELECT l.* FROM _lives l JOIN _at USING (host, keyspace)
+        WHERE added_seq <= _at.seq AND (removed_seq = -1 OR removed_seq > _at.seq)""",
 )
 def _(c):
-    # The middle is worked out within the query, as a request of every owner.
-    lives = history.lifetimes(changes(c))
-    middle = c.events.agg(F.floor(F.count("*") / 2).alias("seq"))
-    owners = changes(c).select("host", "keyspace").distinct()
-    requests = owners.join(F.broadcast(middle))  # one row
-    return shown_lives(history.manifests_at(lives, requests))
+    """The manifests halfway through each owner's events."""
+    found = changes(c)
+    middle = F.expr("(min(seq) + max(seq)) div 2").alias("seq")
+    requests = found.groupBy("host", "keyspace").agg(middle)
+    return shown_lives(history.manifests_at(history.lifetimes(found), requests))
 
 
 @query(
