@@ -39,7 +39,7 @@ SENTENCE_PENALTY = 8
 WORD_PENALTY = 24
 WORD_STEP = 64
 STRETCH = 1 << 20
-MOST_WORDS = 1 << 19
+MOST_WORDS = 1 << 20
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "padding long"
