@@ -43,6 +43,7 @@ SLICE_BYTES = 2 << 20
 SKETCH_BITS = 20
 SKETCH_PARTS = 16
 TOKEN_BITS = 48
+SHORT = 4
 MOST_BROADCAST = 1_000_000
 DESCRIBED = "doc_id long, n int, class binary, grp long, prefix array<long>, sig array<long>"
 MIX_A, MIX_B, MIX_C = (np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F))
@@ -287,7 +288,7 @@ def components(docs: DataFrame, width: int = 3, percent: int = 90, sketch_bits:
     shared = checkpointed(posted.join(several, "token"))
     # Lists hold groups of similar size. The centre of a list is the group whose elements most other
     # groups have: what copies were made from, or the least changed of them, rather than any.
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))) if percent < 100 else F.col("n").cast("long")
+    band = _band(F.col("n"), percent)
     known = shared.groupBy("grp", "n").agg(F.sum("others").alias("known"))
     ranked = shared.join(known, ["grp", "n"]).withColumn("band", band)
     centres = ranked.groupBy("token", "band").agg(F.max(F.struct("known", "grp", "n", "pos")).alias("c"))
@@ -322,22 +323,46 @@ def components(docs: DataFrame, width: int = 3, percent: int = 90, sketch_bits:
 def _rest(classes: DataFrame, shared: DataFrame, labels: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     """Untried pairs of classes of different components, in lists or groups that span several.
 
-    The filters are conditions of the join that finds the pairs, so that of a large list only pairs
-    that may be links come out.
+    Sizes, places and a short signature are conditions of the join that finds the pairs, so that of a
+    large list only pairs that may be links come out; the whole signature judges those.
     """
-    own = classes.select("class", "grp", "n", "sig").join(labels, "class", "left")
+    own = classes.select("class", "grp", "n", _short(F.col("sig")).alias("sig")).join(labels, "class", "left")
     member = own.select("class", "grp", "n", "sig", F.coalesce("label.class", "class").alias("part"))
     member = checkpointed(member)
-    spans = member.groupBy("grp", "n").agg(F.min("part").alias("first"), F.max("part").alias("last"))
+    spans = member.groupBy("grp", "n").agg(
+        F.min("part").alias("first"), F.max("part").alias("last"), F.count("*").alias("members")
+    )
     wide = spans.filter("first <> last").select("grp", "n")
     within = _across(member.join(wide, ["grp", "n"], "left_semi"), "grp", percent, placed=False)
-    lists = shared.join(spans, ["grp", "n"]).groupBy("token")
-    open_ = lists.agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    open_ = open_.filter("first <> last").select("token")
+    lists = shared.join(spans, ["grp", "n"]).groupBy("token").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.max("members").alias("members"),
+        F.max("others").alias("others"), F.min("n").alias("least"), F.max("n").alias("most"),
+    )
+    # Two classes of similar size have been tried with each other as a list and its centre.
+    done = (F.col("others") == 2) & (F.col("members") == 1)
+    done &= _band(F.col("least"), percent) == _band(F.col("most"), percent)
+    open_ = lists.filter((F.col("first") != F.col("last")) & ~done).select("token")
     listed = shared.join(open_, "token", "left_semi").select("token", "pos", "grp", "n").join(member, ["grp", "n"])
     across = _across(listed.drop("grp"), "token", percent, placed=True)
     known = tried.union(tried.select("b", "a"))
-    return within.union(across).distinct().join(known, ["a", "b"], "left_anti")
+    untried = within.union(across).distinct().join(known, ["a", "b"], "left_anti")
+    return _filtered(untried, classes.select("class", "n", "sig"), percent)
+
+
+def _band(n: Column, percent: int) -> Column:
+    """Sets of one band are of similar size."""
+    return F.floor(F.log(n) / F.log(F.lit(100 / percent))) if percent < 100 else n.cast("long")
+
+
+def _short(sig: Column) -> Column:
+    """A signature folded to ``SHORT`` numbers at most."""
+    folded = F.transform(
+        F.sequence(F.lit(0), F.lit(SHORT - 1)),
+        lambda i: F.aggregate(
+            F.filter(sig, lambda _, j: j % SHORT == i), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)
+        ),
+    )
+    return F.when(F.size(sig) > SHORT, folded).otherwise(sig)
 
 
 def _across(rows: DataFrame, on: str, percent: int, placed: bool) -> DataFrame:
