@@ -27,8 +27,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by 90 % of their shingles, that with the smallest id."""
-    return jaccard_join.keep_first(docs, width=3, percent=90)
+    """Of each group of documents linked by 80 % of their five-word shingles, that with the smallest id."""
+    return jaccard_join.keep_first(docs, width=5, percent=80)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

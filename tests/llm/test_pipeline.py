@@ -67,6 +67,17 @@ def redacted(before, rows):
         assert own.n_chars == len(own.text) and (own.lang, own.source) == (r.lang, r.source)
 
 
+def test_near_copies_share_five_word_shingles(spark, sf_dir):
+    """One changed word in 55: 46 of 56 five-word shingles are shared (0.82), 50 of 56 of three (0.89)."""
+    words = [f"w{i}" for i in range(55)]
+    edited = [*words[:27], "other", *words[28:]]
+    far = [*words[:18], "this", *words[19:36], "that", *words[37:]]
+    rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(far))]
+    kept = corpus_pipeline.without_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
+    ids = {r.doc_id for r in kept.collect()}
+    assert ids == {i for i, _, part in test_jaccard_join.brute(rows, 5, 80) if i == part} == {1, 3}
+
+
 def test_held_out_by_id():
     assert np.mean([zlib.crc32(str(i).encode()) % 3 == 1 for i in range(3000)]) < 0.4
 
