@@ -5,7 +5,9 @@ All on DataFrame functions. Each text is scanned once by a project over the docu
 * Matches of an expression are ``regexp_extract_all``, the text between them ``split``; running
   lengths of both give the places, in code points.
 * Base matches that pass their kind's test are seeds. Every other token with a digit or an at sign
-  is a candidate. The two words before a seed or candidate are a lexical pattern.
+  is a candidate, and so is a whole run of digit groups joined by spaces, dots, hyphens or
+  parentheses; of a run that holds seeds, the pieces between them are. The two words of the text
+  before a seed or candidate, whatever they are, are a lexical pattern.
 
 Spark then scores the graph of patterns and instances for ``rounds`` rounds. A pattern's score for a
 kind is the mean confidence of its distinct instances; a candidate's confidence is a noisy-or of its
@@ -39,10 +41,13 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "phone": "+"}
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-BEFORE, BEHIND = r"^[\"'(\[{<]+", r"[\"')\]}>.,;:!?]+$"
-CONTEXT = r"(\S+\s+\S+)\s+$"
-CONTEXT_CHARS = 80
+# Tokens of digits and joints; the last may have closing marks behind it.
+GROUP = r"[0-9][0-9().-]*+(?=[\"'\]}>,;:!?]*+(?!\S))"
+RUN = rf"[(+]*+{GROUP}(?:\x20[\x20().-]*+{GROUP})++"
+TOKEN = rf"(?<!\S)(?:{RUN}|[^\s0-9@]*+[0-9@]\S*+)"
+# An opening parenthesis that closes within the number belongs to it.
+BEFORE = r"^(?:[\"'\[{<]|\((?![0-9]+\)[\x20().-]*[0-9]))+"
+BEHIND = r"[\"')\]}>.,;:!?]+$"
 LEAST_DIGITS = 6
 BLOCK = 256
 LABELS = {kind: f"[{kind.upper()}]" for kind in KINDS}
@@ -93,7 +98,7 @@ def _running(lengths: Column) -> Column:
 
 
 def _matches(df: DataFrame, pattern: str, needs: str | None) -> DataFrame:
-    """Add ``_m``, the matches of a pattern in ``_text`` with their end and the text before them."""
+    """Add ``_m``, the matches of a pattern in ``_text`` with their end and context."""
     text = F.col("_text")
     none = F.array().cast("array<string>")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -103,40 +108,89 @@ def _matches(df: DataFrame, pattern: str, needs: str | None) -> DataFrame:
     lengths = F.transform("_found", lambda m, i: (F.length(m) + F.length(F.get("_gaps", i))).cast("long"))
     df = df.withColumn("_lengths", lengths)
     df = df.withColumn("_ends", F.when(some, _running(F.col("_lengths"))).otherwise(F.array().cast("array<bigint>")))
+    # Matches begin and end with a word's characters, so the spaces up to a match number its word.
+    spaces = F.transform("_found", lambda m, i: (_spaces(m) + _spaces(F.get("_gaps", i))).cast("long"))
+    df = df.withColumn("_spaces", spaces)
+    df = df.withColumn("_at", F.when(some, _running(F.col("_spaces"))).otherwise(F.array().cast("array<bigint>")))
     made = F.transform(
         "_found",
         lambda m, i: F.struct(
             (F.get("_ends", i) - F.length(m)).alias("start"),
             F.get("_ends", i).alias("end"),
             m.alias("value"),
-            F.lower(
-                F.regexp_replace(
-                    F.regexp_extract(F.right(F.get("_gaps", i), F.lit(CONTEXT_CHARS)), CONTEXT, 1), r"\s+", " "
-                )
-            ).alias("context"),
+            F.when(
+                F.rlike(F.right(F.get("_gaps", i), F.lit(1)), F.lit(r"\s")), (F.get("_at", i) - _spaces(m)).cast("int")
+            ).alias("word"),
         ),
     )
-    return df.withColumn("_m", made).drop("_found", "_gaps", "_lengths", "_ends")
+    return df.withColumn("_m", made).drop("_found", "_gaps", "_lengths", "_ends", "_spaces", "_at")
+
+
+def _spaces(text: Column) -> Column:
+    """How many runs of white space a text has."""
+    return F.size(F.split(text, r"\s+", -1)) - 1
+
+
+def _context(word: Column) -> Column:
+    """The two words of the text before that of this number, or an empty text."""
+    first, second = F.get("_words", word - 2), F.get("_words", word - 1)
+    return F.when((first != "") & (second != ""), F.lower(F.concat(first, F.lit(" "), second))).otherwise("")
+
+
+def _between(run: Column) -> Column:
+    """Pieces of a run of digit groups between the seeds in it; nothing of another match with a seed."""
+    inner = F.filter("seeds", lambda s: (s.start < run.end) & (run.start < s.end))
+
+    def pieces(found: Column) -> Column:
+        def piece(i: Column) -> Column:
+            begin = F.when(i > 0, F.get(found, i - 1).end).otherwise(run.start)
+            end = F.when(i < F.size(found), F.get(found, i).start).otherwise(run.end)
+            skipped = (begin - run.start).cast("int")
+            part = F.substring(run.value, skipped + 1, F.greatest(end - begin, F.lit(0)).cast("int"))
+            front = F.length(F.regexp_extract(part, r"^[\x20).-]+", 0))
+            value = F.regexp_replace(F.regexp_replace(part, r"[\x20(.-]+$", ""), r"^[\x20).-]+", "")
+            ahead = F.substring(run.value, F.lit(1), skipped + front)
+            return F.struct(
+                (begin + front).alias("start"),
+                (begin + front + F.length(value)).alias("end"),
+                value.alias("value"),
+                F.when((ahead == "") | F.endswith(ahead, F.lit(" ")), run.word + _spaces(ahead)).alias("word"),
+            )
+
+        return F.transform(F.sequence(F.lit(0), F.size(found)), piece)
+
+    cut = let(F.array_sort(inner), pieces)
+    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,word:int>>")
+    return F.when(F.size(inner) == 0, F.array(run)).when(F.contains(run.value, F.lit(" ")), cut).otherwise(none)
 
 
 def _scan(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, key, the seeds of each kind, and candidates that overlap no seed."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key(docs).alias("key"), text.alias("_text"))
+    df = df.withColumn("_words", F.split("_text", r"\s+", -1))
     for kind in KINDS:
         df = _matches(df, PATTERNS[kind], NEEDS.get(kind))
         good = F.filter("_m", lambda m: passes(kind, m.value))
-        df = df.withColumn(kind, F.transform(good, lambda m: m.withField("kind", F.lit(kind)))).drop("_m")
+        seeds = lambda m: F.struct(
+            m.start.alias("start"),
+            m.end.alias("end"),
+            m.value.alias("value"),
+            _context(m.word).alias("context"),
+            F.lit(kind).alias("kind"),  # noqa: B023
+        )
+        df = df.withColumn(kind, F.transform(good, seeds)).drop("_m")
     df = _matches(df, TOKEN, None).withColumn("seeds", F.concat(*KINDS)).drop(*KINDS, "_text")
     front = lambda m: F.length(F.regexp_extract(m.value, BEFORE, 0))
     back = lambda m: F.length(F.regexp_extract(m.value, BEHIND, 0))
+    df = df.withColumn("_m", F.flatten(F.transform("_m", _between)))
     trimmed = F.transform(
         "_m",
         lambda m: F.struct(
             (m.start + front(m)).alias("start"),
             (m.end - back(m)).alias("end"),
             F.lower(F.regexp_replace(F.regexp_replace(m.value, BEHIND, ""), BEFORE, "")).alias("value"),
-            m.context.alias("context"),
+            _context(m.word).alias("context"),
         ),
     )
     wanted = lambda c: (c.context != "") & (

@@ -96,6 +96,43 @@ def test_patterns_find_unseen_identifiers(spark):
     assert not any(r.added for r in few)
 
 
+def spaced():
+    """Seeds of phones, cards and e-mails after fixed words, then identifiers that only those words tell."""
+    rows = [(i, f"Please call me +1 (213) 555-640{i} today.") for i in range(9)]
+    rows += [(20 + i, f"paid with card {c} today") for i, c in enumerate(("4111 1111 1111 1111", "5500 0000 0000 0004", "6011 0000 0000 0004"))]
+    rows += [(26 + i, f"card {c}") for i, c in enumerate(("4012 8888 8888 1881", "4222 2222 2222 2220"))]
+    long = "x" * 300
+    rows += [(30 + i, f"{long} mail mail{i}@mail.example") for i in range(5)]
+    return rows
+
+
+def test_spaced_identifiers_are_found(spark):
+    texts = [
+        ("please call me (213) 555-6467 now", "(213) 555-6467", "phone"),
+        ("please call me 213 555 6467.", "213 555 6467", "phone"),
+        ("please call me 213.555.6467, 12 people", "213.555.6467", "phone"),
+        ("please call me (213 555 6467)", "213 555 6467", "phone"),
+        ("a@b.cd call me 213 - 555 - 6467", "213 - 555 - 6467", "phone"),
+        ("id 77 call me 2135556467", "2135556467", "phone"),
+        ("call me 213 555 6467  10.0.0.1 x", "213 555 6467", "phone"),
+        ("paid with card 4111 1111 1111 1112 then", "4111 1111 1111 1112", "card"),
+        (f"see {'x' * 300} mail bob(at)mail.example@", "bob(at)mail.example@", "email"),
+    ]
+    df = spark.createDataFrame([*spaced(), *[(100 + i, t) for i, (t, *_) in enumerate(texts)]], "doc_id long, text string")
+    found = {r.doc_id: r.added for r in pii.find(df).collect()}
+    for i, (text, value, kind) in enumerate(texts):
+        assert [(s.kind, text[s.start : s.end]) for s in found[100 + i]] == [(kind, value)], text
+    assert not any(found[i] for i, _ in spaced())
+
+
+def test_pieces_between_seeds(spark):
+    rows = [*spaced(), (100, "10.0.0.1 call me 213 555 6467  10.0.0.1  213 555 6468 call me 5 people")]
+    found = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = rows[-1][1]
+    assert [text[s.start : s.end] for s in found[100].added] == ["213 555 6467"]
+    assert len(found[100].base) == 2
+
+
 def test_redaction(spark):
     rows = [*taught(), (60, "é a@b.cd, 4111 1111 1111 1111 and +1 (213) 555-6467@x.y!", 2), (61, None, 3), (61, None, 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, row long")
