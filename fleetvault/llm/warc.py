@@ -6,8 +6,10 @@ pushed down. A record's headers are parsed first; a record that the filters reje
 when the option ``payload`` is ``false``, is stepped over and its payload is never decoded.
 
 Writing: a task writes gzip members, one per record, to a file of its own with a name that no
-other attempt uses. The commit writes ``_archives.json`` with the names of the files of successful
-attempts, and only those are read back, so a lost or repeated task leaves no double records.
+other attempt uses. Each commit writes a manifest of its own, ``_archives-*.json``, with the names of
+the files of successful attempts, and the union of all manifests is read back. So appends add up,
+also simultaneous ones, and a lost or repeated task leaves no double records. Overwriting takes the
+earlier manifests away once the new one is there. The first commit's is also ``_archives.json``.
 
 Paths may be any that pyarrow can open; executors and driver must share them.
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
@@ -57,6 +60,7 @@ HEADERS = {
 }
 FIELDS = {header.lower(): column for column, header in HEADERS.items()}
 MANIFEST = "_archives.json"
+MANIFESTS = re.compile(r"_archives(-[0-9a-f]{32})?\.json")
 READ_BYTES = 1 << 20
 PARTITION_BYTES = 64 << 20
 MIN_REVISIT_BYTES = 100
@@ -68,6 +72,14 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def _manifests(store, root: str) -> list[str]:
+    """Paths of all manifests of an archive."""
+    from pyarrow import fs
+
+    found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    return sorted(f.path for f in found if MANIFESTS.fullmatch(f.base_name))
+
+
 def encode(record: dict) -> bytes:
     """One record as a gzip member; the payload only when the record carries it."""
     payload = bytes(record.get("payload") or b"")
@@ -214,8 +226,14 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         store, root = _store(self.path)
-        with store.open_input_stream(f"{root}/{MANIFEST}") as manifest:
-            files = sorted(json.loads(manifest.read()).items())
+        paths = _manifests(store, root)
+        if not paths:
+            raise FileNotFoundError(f"{self.path} has no manifest")
+        listed: dict[str, int] = {}
+        for path in paths:
+            with store.open_input_stream(path, compression=None) as manifest:
+                listed |= json.loads(manifest.read())
+        files = sorted(listed.items())
         groups, size = [[]], 0
         for name, own in files:
             if groups[-1] and size + own > PARTITION_BYTES:
@@ -235,8 +253,8 @@ class _Reader(DataSourceReader):
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path.rstrip("/")
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path.rstrip("/"), overwrite
 
     def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
         store, root = _store(self.path)
@@ -250,8 +268,16 @@ class _Writer(DataSourceWriter):
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         store, root = _store(self.path)
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/{MANIFEST}", compression=None) as target:
-            target.write(json.dumps({m.name: m.size for m in messages if m}).encode())
+        earlier = _manifests(store, root)
+        names = [f"_archives-{uuid.uuid4().hex}.json"]
+        if self.overwrite or not earlier:
+            names.append(MANIFEST)
+        for name in names:
+            with store.open_output_stream(f"{root}/{name}", compression=None) as target:
+                target.write(json.dumps({m.name: m.size for m in messages if m}).encode())
+        for path in earlier if self.overwrite else []:
+            if not path.endswith(f"/{MANIFEST}"):
+                store.delete_file(path)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         store, root = _store(self.path)
@@ -276,7 +302,7 @@ class WarcSource(DataSource):
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         if [f.name for f in schema.fields] != COLUMNS:
             raise ValueError(f"an archive has the columns {COLUMNS}")
-        return _Writer(self.options["path"])
+        return _Writer(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:

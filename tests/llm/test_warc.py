@@ -95,6 +95,28 @@ def test_files_of_lost_attempts_are_not_read(spark, archive):
     assert load(spark, archive).count() == len(ROWS)
 
 
+def test_appends_add_up_and_overwriting_replaces(spark, archive):
+    more = spark.createDataFrame([(i, f"http://b/{i}", f"y{i}", 1) for i in (20, 21)], COLUMNS)
+    for _ in range(2):
+        warc.page_records(more).write.format("warc").option("path", archive).mode("append").save()
+    ids = [r.record_id for r in load(spark, archive).collect()]
+    assert len(ids) == len(ROWS) + 4 and ids.count("<urn:page:20>") == ids.count("<urn:page:21>") == 2
+    warc.page_records(more).write.format("warc").option("path", archive).mode("overwrite").save()
+    assert sorted(r.record_id for r in load(spark, archive).collect()) == ["<urn:page:20>", "<urn:page:21>"]
+    warc.page_records(more).write.format("warc").option("path", archive).mode("append").save()
+    assert load(spark, archive).count() == 4
+
+
+def test_appends_to_an_archive_with_one_manifest(spark, archive):
+    folder = archive.removeprefix("file://")
+    for name in os.listdir(folder):
+        if name.startswith("_archives-"):
+            os.remove(f"{folder}/{name}")
+    more = spark.createDataFrame([(20, "http://b/20", "y", 1)], COLUMNS)
+    warc.page_records(more).write.format("warc").option("path", archive).mode("append").save()
+    assert load(spark, archive).count() == len(ROWS) + 1
+
+
 def test_truncated_archive_raises(spark, archive):
     folder = archive.removeprefix("file://")
     for name in json.load(open(f"{folder}/{warc.MANIFEST}")):
