@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetvault.llm import decontaminate, html_text, jaccard_join, license_scan, packing, pii, quality, substring_dedup, topk, warc
+from fleetvault.llm import decontaminate, html_text, jaccard_join, license_scan, packing, pii, quality, quality_rules, substring_dedup, topk, warc
 from fleetvault.storage import run_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -261,3 +261,43 @@ def op8(spark, sf_dir):
 )
 def op9(spark, sf_dir):
     return jaccard_join.components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+@query(
+    "op12_quality_rules",
+    r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (
+        SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+               list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
+    win AS (
+        SELECT doc_id, p, array_to_string(ws[p:p + 7], ' ') AS key
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS p FROM w)),
+    twice AS (SELECT doc_id, key FROM win GROUP BY ALL HAVING count(*) > 1),
+    rep AS (
+        SELECT doc_id, count(*) AS n
+        FROM (SELECT DISTINCT doc_id, unnest(range(p, p + 8)) AS i FROM win JOIN twice USING (doc_id, key)) GROUP BY 1),
+    m AS (
+        SELECT doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+               length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+               len(ls) - len(list_distinct(ls)) AS n_dup_lines, len(ls) AS n_lines, coalesce(rep.n, 0) AS n_repeat_words,
+               len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS letters,
+               len(list_filter(ws, lambda x: list_contains(string_split('the of and to a in is that it for was on with '
+                   'as be by are this at from have der die und den von zu das sich mit des auf ist im nicht dem ein eine '
+                   'de la le et les en du un une que est pour par dans qui pas sur au el y los las se del por con no una '
+                   'su para es al lo', ' '), translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))) AS stops,
+               len(list_filter(ls, lambda l: regexp_matches(l, '^[ \t]*[-*\x{2022}]'))) AS items,
+               len(list_filter(ls, lambda l: regexp_matches(l, '(\.\.\.|\x{2026})[ \t\r]*$'))) AS cuts
+        FROM w LEFT JOIN rep USING (doc_id)),
+    b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT (base_failed OR 100 * word_chars < 300 * n_words OR 100 * word_chars > 1000 * n_words
+                OR 100 * n_symbols > 10 * n_words OR 100 * letters < 80 * n_words OR 100 * stops < 2 * n_words
+                OR 100 * n_dup_lines > 40 * n_lines OR 100 * items > 90 * n_lines OR 100 * cuts > 30 * n_lines) AS kept
+    FROM b""",
+)
+def op12(spark, sf_dir):
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base_failed = F.arrays_overlap("failed", F.array(*[F.lit(rule.name) for rule in quality_rules.BASE]))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select(F.col("row.doc_id").alias("doc_id"), *counts, base_failed.alias("base_failed"), "kept")
