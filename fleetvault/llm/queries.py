@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetvault.llm import decontaminate, html_text, jaccard_join, license_scan, packing, pii, quality, quality_rules, substring_dedup, topk, warc
+from fleetvault.llm import decontaminate, html_text, jaccard_join, license_scan, packing, pii, quality, quality_rules, substring_dedup, topk, vector_codes, warc
 from fleetvault.storage import run_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -301,3 +301,47 @@ def op12(spark, sf_dir):
     base_failed = F.arrays_overlap("failed", F.array(*[F.lit(rule.name) for rule in quality_rules.BASE]))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select(F.col("row.doc_id").alias("doc_id"), *counts, base_failed.alias("base_failed"), "kept")
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Every part against every entry, round after round."""
+    near = """SELECT v.vec_id, v.p, arg_min(b.i, b.i + 1024 * d.d) AS i, min(d.d) AS d FROM v JOIN {book} b USING (p),
+        LATERAL (SELECT CAST(list_sum(list_transform(range(1, 17), lambda j: (v.x[j] - b.x[j]) * (v.x[j] - b.x[j]))) AS BIGINT) AS d) d
+        GROUP BY 1, 2"""
+    steps = ""
+    for r in range(rounds):
+        steps += f"""
+    near{r} AS MATERIALIZED ({near.format(book=f"book{r}")}),
+    mean{r} AS (
+        SELECT p, i, j, CAST(sum(v.x[j]) AS BIGINT) AS s, count(*) AS c
+        FROM near{r} JOIN v USING (vec_id, p), (SELECT unnest(range(1, 17)) AS j) GROUP BY 1, 2, 3),
+    moved{r} AS (
+        SELECT p, i, array_agg((s - ((s % c) + c) % c) // c ORDER BY j) AS x FROM mean{r} GROUP BY 1, 2),
+    book{r + 1} AS MATERIALIZED (SELECT b.p, b.i, coalesce(m.x, b.x) AS x FROM book{r} b LEFT JOIN moved{r} m USING (p, i)),"""
+    return f"""
+    WITH e AS (
+        SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+        FROM embeddings
+        WHERE embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+    v AS MATERIALIZED (SELECT vec_id, p, x[16 * p + 1:16 * p + 16] AS x FROM e, (SELECT unnest(range(4)) AS p)),
+    book0 AS (
+        SELECT p, i, x FROM v JOIN (
+            SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM e ORDER BY vec_id LIMIT 256) USING (vec_id)),
+    {steps}
+    last AS ({near.format(book=f"book{rounds}")}),
+    coded AS (
+        SELECT vec_id, string_agg(printf('%02x', i), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+        FROM last GROUP BY 1),
+    sha AS (
+        SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, i)) AS codebooks_sha256 FROM book{rounds}),
+    labelled AS (SELECT vec_id, code, error, label FROM coded JOIN e USING (vec_id))
+    SELECT vec_id, code, error, label, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+           codebooks_sha256 FROM labelled, sha"""
+
+
+@query("op11_vector_codes", _codes_sql())
+def op11(spark, sf_dir):
+    return vector_codes.compress(
+        table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024, label="label"
+    )
