@@ -146,7 +146,7 @@ def _squares(gaps: np.ndarray) -> np.ndarray:
 def descend(data: Tree, entries: Tree) -> tuple[list, list]:
     """Whole nodes as (level, nodes, entries) arrays, and uncertain ones as (level, node, entries in order).
 
-    A node of the lower half of the tree that still keeps most of the entries when these are nearly
+    A node of the lowest quarter of the tree that still keeps most of the entries when these are nearly
     single is left uncertain as it is: smaller boxes would be bounded again for little.
     """
     whole, unsure, all_of_them = [], [], np.arange(entries.rows)
@@ -160,7 +160,7 @@ def descend(data: Tree, entries: Tree) -> tuple[list, list]:
         sizes = np.diff(first, append=len(at))
         keep = near <= np.repeat(np.minimum.reduceat(far, first), sizes)
         at, met = at[keep], met[keep]
-        if data.levels // 2 <= level < data.levels and depth >= entries.levels - 2:
+        if 3 * data.levels // 4 <= level < data.levels and depth >= entries.levels - 2:
             first = np.flatnonzero(np.diff(at, prepend=-1))
             held = np.add.reduceat(np.diff(entries.cuts(depth))[met], first)
             wide = 2 * held > entries.rows
