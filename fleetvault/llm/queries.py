@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetvault.llm import decontaminate, html_text, jaccard_join, license_scan, packing, pii, quality, quality_rules, substring_dedup, topk, vector_codes, warc
+from fleetvault.llm import decontaminate, html_text, jaccard_join, license_scan, packing, pii, quality, quality_rules, ranked_search, substring_dedup, topk, vector_codes, warc
 from fleetvault.storage import run_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -345,3 +345,31 @@ def op11(spark, sf_dir):
     return vector_codes.compress(
         table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024, label="label"
     )
+
+
+@query(
+    "op13_ranked_search",
+    r"""
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+    size AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_words FROM d WHERE len(ws) > 0),
+    q AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    tf AS (
+        SELECT doc_id, n, term, CAST(count(*) AS BIGINT) AS tf
+        FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+    w AS (
+        SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+        FROM tf, size GROUP BY term),
+    s AS (
+        SELECT item_id, doc_id,
+               CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_words)))) AS BIGINT) AS score
+        FROM q JOIN tf USING (term) JOIN w USING (term), size GROUP BY ALL)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+           doc_id, score
+    FROM s WHERE score > 0 QUALIFY rank <= 10""",
+)
+def op13(spark, sf_dir):
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
