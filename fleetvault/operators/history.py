@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fleetvault.functions.paths import SSTABLE, backup_name
 from fleetvault.operators.blocked import BLOCK_ROWS, following, running
+from fleetvault.operators.intervals import containing
 from fleetvault.operators.manifests import build
 
 OWNER = ("host", "keyspace")
@@ -57,15 +58,11 @@ def live_at(lives: DataFrame, seq: int) -> DataFrame:
 def manifests_at(lives: DataFrame, requests: DataFrame, owner: Sequence[str] = OWNER) -> DataFrame:
     """The files live right after each requested event (owner, seq), with its number as ``at_seq``.
 
-    Only the lifetimes of requested owners are looked at; the output is as large as the manifests
-    asked for.
+    Lifetimes are looked up in an interval index, so that a request meets the files of its
+    manifest and those that come or go near it, not all that its owner ever had.
     """
     asked = requests.select(*owner, F.col("seq").alias("at_seq")).distinct()
-    found = lives.join(asked, list(owner))
-    return found.filter(
-        (F.col("added_seq") <= F.col("at_seq"))
-        & (F.col("removed_seq").isNull() | (F.col("removed_seq") > F.col("at_seq")))
-    )
+    return containing(lives, asked, owner, "added_seq", "removed_seq", "at_seq")
 
 
 def backup_manifests(
