@@ -1,20 +1,28 @@
 """Component lifetimes kept up to date by a stream of change events.
 
-A batch needs the files that were live before it and its own events: a file that is gone
-cannot change any more. So every micro-batch reads the last snapshot of live files and what
-the few batches since then said, never the whole history. SSTables for which a batch holds an
-event older than one already seen from their host are worked out again from all their events;
-events are kept in folders by a hash of the SSTable, and only the folders of those are read.
-Either way the result equals the batch operator.
-
-Each batch writes its own folders in overwrite mode, so a repeated batch replaces itself.
+State is kept by SSTable, in ``BUCKETS`` buckets of a hash of it. A micro-batch opens only the
+buckets of its own SSTables: their live files as last written whole, and what the batches since
+then said about them. When ``snapshot_every`` batches have spoken about a bucket, its live files are
+written whole again. A file that is gone cannot change any more, so ended lifetimes are not read.
+
+SSTables for which a batch holds an event older than one already seen from their host are worked out
+again from all their events, of which again only their buckets are read. Either way the result
+equals the batch operator.
+
+Events and statements are kept in runs: ``MERGE`` runs of one level are merged into one run of the next,
+in which only the newest statement about a file is left. So any reader opens a number of runs that
+grows with the logarithm of the number of batches.
+
+Each batch writes its own folders in overwrite mode and reads only those of earlier ones, so a
+repeated batch replaces itself. ``heads`` says where each bucket's state lies; it is written last.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -24,49 +32,79 @@ from fleetvault.operators.gates import accepted_changes
 from fleetvault.operators.history import TABLE_KEY, lifetimes, live_now
 
 EVENT_COLUMNS = (*TABLE_KEY, "component", "seq", "ts", "kind", "size")
-SNAPSHOT_EVERY = 50
+SNAPSHOT_EVERY = 16
 BUCKETS = 64
+MERGE = 16
+
+HEAD = "bucket int, whole int, since array<int>"
+
 
+def bucket_of() -> Column:
+    return F.pmod(F.xxhash64(*TABLE_KEY), F.lit(BUCKETS)).cast("int")
 
-def _folder(store: str, table: str, batch_id: int) -> str:
-    return f"{store}/{table}/batch={batch_id}"
 
+def run_folder(store: str, table: str, level: int, run: int) -> str:
+    return f"{store}/{table}/level={level}/run={run}"
 
-def _read(spark: SparkSession, store: str, table: str, batches: Sequence[int]) -> DataFrame:
-    """The given batches of a table, with their number; other folders are not even listed."""
-    reader = spark.read.option("basePath", f"{store}/{table}")
-    return reader.parquet(*[_folder(store, table, n) for n in batches])
 
+def runs(batches: int) -> list[tuple[int, int]]:
+    """The (level, run) that hold the first ``batches`` batches, oldest first."""
+    found, done, level = [], 0, 0
+    while MERGE ** (level + 1) <= batches:
+        level += 1
+    for down in range(level, -1, -1):
+        size = MERGE**down
+        while batches - done >= size:
+            found.append((down, done // size))
+            done += size
+    return found
 
-def _write(df: DataFrame, store: str, table: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(_folder(store, table, batch_id))
 
+def _write(df: DataFrame, store: str, table: str, run: int, level: int = 0) -> None:
+    df.write.mode("overwrite").partitionBy("bucket").parquet(run_folder(store, table, level, run))
 
-def _events(spark: SparkSession, schema: T.StructType, store: str, folders: Sequence[str]) -> DataFrame:
-    """Events in the given folders (patterns allowed); a batch may have brought none."""
-    whole = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
-    reader = spark.read.schema(whole).option("basePath", f"{store}/events")
-    return reader.parquet(*[f"{store}/events/{f}" for f in folders]).drop("batch")
+
+def _read(
+    spark: SparkSession, schema: T.StructType, store: str, table: str, places: Iterable[tuple[int, int]]
+) -> DataFrame:
+    """Runs of a table with their ``bucket``; filters on it keep other buckets' files closed."""
+    reader = spark.read.schema(schema).option("basePath", f"{store}/{table}")
+    return reader.parquet(*[run_folder(store, table, *place) for place in places]).drop("level")
 
 
 def _newest(told: DataFrame) -> DataFrame:
     """Of several statements about the same added file the newest wins."""
     value = F.max_by(F.struct("size", "added_ts", "removed_seq"), "batch").alias("_v")
-    return told.groupBy(*TABLE_KEY, "component", "added_seq").agg(value).select(
-        *TABLE_KEY, "component", "_v.size", "added_seq", "_v.added_ts", "_v.removed_seq"
+    own = F.max("batch").alias("batch")
+    return told.groupBy("bucket", *TABLE_KEY, "component", "added_seq").agg(value, own).select(
+        *TABLE_KEY, "component", "_v.size", "added_seq", "_v.added_ts", "_v.removed_seq", "batch", "bucket"
     )
 
 
-def _live_after(spark: SparkSession, store: str, batch_id: int, every: int) -> DataFrame | None:
-    """Files live after a batch: the snapshot before it and the statements since."""
-    if batch_id < 0:
-        return None
-    base = batch_id // every * every
-    since = range(base + 1, batch_id + 1)
-    told = _read(spark, store, "live", [base])
-    if since:
-        told = told.unionByName(_read(spark, store, "lifetimes", since))
-    return live_now(_newest(told))
+def _fields(columns: Sequence[str], schema: T.StructType) -> T.StructType:
+    whole = [schema[c] for c in columns if c != "bucket"]
+    return T.StructType([*whole, T.StructField("bucket", T.IntegerType())])
+
+
+def _state(
+    spark: SparkSession, schema: T.StructType, store: str, heads: dict[int, tuple[int, list[int]]]
+) -> DataFrame | None:
+    """What was said about the files of these buckets since, and with, their last whole writing."""
+    parts = []
+    numbered = T.StructType([*schema.fields, T.StructField("run", T.IntegerType())])
+    for table, places in (
+        ("live", [(whole, b) for b, (whole, _) in heads.items() if whole >= 0]),
+        ("lifetimes", [(run, b) for b, (_, since) in heads.items() for run in since]),
+    ):
+        by_run: dict[int, list[int]] = {}
+        for run, bucket in places:
+            by_run.setdefault(run, []).append(bucket)
+        if by_run:
+            # A bucket may have older whole writings too: each run counts for its own buckets only.
+            own = [(F.col("run") == r) & F.col("bucket").isin(b) for r, b in sorted(by_run.items())]
+            rows = _read(spark, numbered, store, table, [(0, r) for r in sorted(by_run)])
+            parts.append(rows.filter(reduce(lambda a, b: a | b, own)).drop("run"))
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def _touched(rows: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -74,6 +112,29 @@ def _touched(rows: DataFrame, fresh: DataFrame) -> DataFrame:
     return rows.join(fresh.select(*TABLE_KEY).distinct(), list(TABLE_KEY), "left_semi")
 
 
+def _buckets(rows: DataFrame) -> list[int]:
+    return sorted(r.bucket for r in rows.select("bucket").distinct().collect())  # at most BUCKETS
+
+
+def _heads(spark: SparkSession, store: str, batch_id: int) -> dict[int, tuple[int, list[int]]]:
+    if batch_id < 0:
+        return {}
+    rows = spark.read.schema(HEAD).parquet(f"{store}/heads/batch={batch_id}").collect()  # at most BUCKETS
+    return {r.bucket: (r.whole, list(r.since)) for r in rows}
+
+
+def _merge(spark: SparkSession, schemas: dict[str, T.StructType], store: str, batch_id: int) -> None:
+    """Merge runs that this batch has made complete, level by level."""
+    level = 1
+    while (batch_id + 1) % MERGE**level == 0:
+        run = batch_id // MERGE**level
+        below = [(level - 1, n) for n in range(run * MERGE, (run + 1) * MERGE)]
+        for table, schema in schemas.items():
+            rows = _read(spark, schema, store, table, below).drop("run")
+            _write(_newest(rows) if table == "lifetimes" else rows, store, table, run, level)
+        level += 1
+
+
 def apply_batch(
     batch: DataFrame,
     batch_id: int,
@@ -83,39 +144,45 @@ def apply_batch(
     **gate,
 ) -> None:
     spark = batch.sparkSession
-    accepted = accepted_changes(batch, **gate).select(*EVENT_COLUMNS)
-    bucket = F.pmod(F.xxhash64(*TABLE_KEY), F.lit(BUCKETS)).cast("int")
-    folder = _folder(store, "events", batch_id)
-    accepted.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(folder)
-    schema = T.StructType(list(accepted.schema.fields))
-    fresh = _events(spark, schema, store, [f"batch={batch_id}"])
+    accepted = accepted_changes(batch, **gate).select(*EVENT_COLUMNS).withColumn("bucket", bucket_of())
+    event_schema = _fields(accepted.columns, accepted.schema)
+    _write(accepted, store, "events", batch_id)
+    fresh = _read(spark, event_schema, store, "events", [(0, batch_id)]).drop("run")
+    touched = _buckets(fresh)
 
     reached = fresh.groupBy("host").agg(F.max("seq").alias("reached"))
-    late, buckets = None, []
+    late, late_buckets = None, []
     if batch_id > 0:
-        before = _read(spark, store, "reached", [batch_id - 1]).drop("batch")
+        before = spark.read.schema("host string, reached long").parquet(f"{store}/reached/batch={batch_id - 1}")
         late = fresh.join(before, "host").filter("seq < reached").select(*TABLE_KEY, "bucket").distinct()
-        buckets = [row.bucket for row in late.select("bucket").distinct().collect()]  # at most BUCKETS
+        late_buckets = _buckets(late)
         reached = before.unionByName(reached).groupBy("host").agg(F.max("reached").alias("reached"))
-    _write(reached, store, "reached", batch_id)
-
-    rows = fresh.join(late, list(TABLE_KEY), "left_anti") if buckets else fresh
-    live = _live_after(spark, store, batch_id - 1, snapshot_every)
-    if live is not None:
-        earlier = _touched(live, rows).withColumnsRenamed({"added_seq": "seq", "added_ts": "ts"})
-        earlier = earlier.withColumn("kind", F.lit("created")).select(*EVENT_COLUMNS)
-        rows = rows.select(*EVENT_COLUMNS).unionByName(earlier)
-    if buckets:
-        old = _events(spark, schema, store, [f"batch=*/bucket={number}" for number in sorted(buckets)])
-        rows = rows.select(*EVENT_COLUMNS).unionByName(_touched(old, late).select(*EVENT_COLUMNS))
-    _write(lifetimes(rows, block_rows=block_rows), store, "lifetimes", batch_id)
-
-    if batch_id % snapshot_every == 0:
-        told = _read(spark, store, "lifetimes", [batch_id])
-        live = _live_after(spark, store, batch_id - 1, snapshot_every)
-        if live is not None:
-            told = told.unionByName(live.withColumn("batch", F.lit(batch_id - 1)))
-        _write(live_now(_newest(told)), store, "live", batch_id)
+    reached.write.mode("overwrite").parquet(f"{store}/reached/batch={batch_id}")
+
+    heads = _heads(spark, store, batch_id - 1)
+    rows = (fresh.join(late, list(TABLE_KEY), "left_anti") if late_buckets else fresh).select(*EVENT_COLUMNS)
+    told = lifetimes(rows, block_rows=block_rows).withColumns({"batch": F.lit(batch_id), "bucket": bucket_of()})
+    life_schema = _fields(told.columns, told.schema)
+    state = _state(spark, life_schema, store, {b: heads[b] for b in touched if b in heads})
+    if state is not None:
+        earlier = _touched(live_now(_newest(state)), rows)
+        earlier = earlier.withColumnsRenamed({"added_seq": "seq", "added_ts": "ts"}).withColumn("kind", F.lit("created"))
+        rows = rows.unionByName(earlier.select(*EVENT_COLUMNS))
+    if late_buckets:
+        every = _read(spark, event_schema, store, "events", [*runs(batch_id), (0, batch_id)])
+        old = _touched(every.filter(F.col("bucket").isin(late_buckets)), late)
+        rows = rows.unionByName(old.select(*EVENT_COLUMNS))
+    told = lifetimes(rows, block_rows=block_rows).withColumns({"batch": F.lit(batch_id), "bucket": bucket_of()})
+    _write(told, store, "lifetimes", batch_id)
+
+    heads |= {b: (w, [*s, batch_id]) for b in touched for w, s in [heads.get(b, (-1, []))]}
+    full = {b: h for b, h in heads.items() if len(h[1]) >= snapshot_every}
+    if full:
+        _write(live_now(_newest(_state(spark, life_schema, store, full))), store, "live", batch_id)
+        heads |= {b: (batch_id, []) for b in full}
+    _merge(spark, {"events": event_schema, "lifetimes": life_schema}, store, batch_id)
+    rows = [(b, w, s) for b, (w, s) in sorted(heads.items())]
+    spark.createDataFrame(rows, HEAD).coalesce(1).write.mode("overwrite").parquet(f"{store}/heads/batch={batch_id}")
 
 
 def start(
@@ -143,6 +210,25 @@ def start(
     )
 
 
-def read(spark: SparkSession, store: str) -> DataFrame:
-    """All lifetimes as of the last batch."""
-    return _newest(spark.read.parquet(f"{store}/lifetimes"))
+def last_batch(spark: SparkSession, store: str) -> int:
+    """The newest batch whose state is complete."""
+    return spark.read.schema(f"{HEAD}, batch int").parquet(f"{store}/heads").agg(F.max("batch")).first()[0]
+
+
+def read(spark: SparkSession, store: str, batch_id: int | None = None) -> DataFrame:
+    """All lifetimes as of a batch, the last one unless told."""
+    after = (last_batch(spark, store) if batch_id is None else batch_id) + 1
+    reader = spark.read.option("basePath", f"{store}/lifetimes")
+    told = reader.parquet(*[run_folder(store, "lifetimes", *place) for place in runs(after)])
+    return _newest(told).drop("batch", "bucket")
+
+
+def live(spark: SparkSession, store: str, batch_id: int | None = None) -> DataFrame:
+    """The files live after a batch, from the buckets' own state; ended lifetimes are not read."""
+    at = last_batch(spark, store) if batch_id is None else batch_id
+    heads = _heads(spark, store, at)
+    one = next((w, s) for w, s in heads.values())
+    table, run = ("live", one[0]) if one[0] >= 0 else ("lifetimes", one[1][0])
+    schema = spark.read.parquet(run_folder(store, table, 0, run)).schema
+    state = _state(spark, _fields([*schema.names], schema), store, heads)
+    return live_now(_newest(state)).drop("batch", "bucket")

@@ -63,16 +63,70 @@ def test_lifetimes_go_on_after_a_restart_and_a_repeated_batch(spark, tmp_path):
     assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, batch.collect()), key=str)
 
 
+def all_lives(spark, rows):
+    batch = history.lifetimes(gates.accepted_changes(spark.createDataFrame(rows, CHANGE_EVENT)))
+    return batch.columns, sorted(map(tuple, batch.collect()), key=str)
+
+
 def test_a_batch_in_order_does_not_read_old_events(spark, tmp_path):
     rows, store = change_rows(90, 3), str(tmp_path / "store")
     for n in range(3):
         lifetimes.apply_batch(spark.createDataFrame(rows[n * 30 : n * 30 + 30], CHANGE_EVENT), n, store, snapshot_every=1)
-        os.rename(f"{store}/events/batch={n}", f"{tmp_path}/moved-{n}")
-        os.rename(f"{store}/lifetimes/batch={n}", f"{tmp_path}/told-{n}")
-    live = spark.read.parquet(f"{store}/live/batch=2")
-    batch = history.lifetimes(gates.accepted_changes(spark.createDataFrame(rows, CHANGE_EVENT)))
-    expected = {r.added_seq for r in history.live_now(batch).collect()}
-    assert {r.added_seq for r in live.collect()} == expected
+        os.rename(f"{store}/events/level=0/run={n}", f"{tmp_path}/moved-{n}")
+        os.rename(f"{store}/lifetimes/level=0/run={n}", f"{tmp_path}/told-{n}")
+    columns, expected = all_lives(spark, rows)
+    found = lifetimes.live(spark, store).select(columns)
+    assert sorted(map(tuple, found.collect()), key=str) == [r for r in expected if r[columns.index("removed_seq")] is None]
+
+
+def test_a_batch_for_one_sstable_opens_one_bucket(spark, tmp_path):
+    """All other buckets' files are damaged: reading any of them would fail."""
+    rows, store = change_rows(120, 5), tmp_path / "store"
+    for n in range(3):
+        lifetimes.apply_batch(spark.createDataFrame(rows[n * 40 : n * 40 + 40], CHANGE_EVENT), n, str(store), snapshot_every=2)
+    one = (200, START, "h", "created", "/d/k/c/k-c-hd-3-Index.db", None, 7, False)
+    late = (-1, START, "h", "deleted", "/d/k/c/k-c-hd-3-Data.db", None, 0, False)
+    key = spark.createDataFrame([("h", "k", "c", "hd", 3)], "host string, keyspace string, cf string, version string, generation long")
+    (own,) = key.select(lifetimes.bucket_of().alias("b")).first()
+    for table in ("events", "lifetimes", "live"):
+        files = [f for f in (store / table).rglob("*.parquet") if f"bucket={own}/" not in str(f)]
+        assert files
+        for f in files:
+            f.write_bytes(b"damaged")
+            (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    for n, extra in ((3, one), (4, late)):
+        lifetimes.apply_batch(spark.createDataFrame([extra], CHANGE_EVENT), n, str(store), snapshot_every=2)
+        rows.append(extra)
+        columns, expected = all_lives(spark, rows)
+        told = spark.read.parquet(f"{store}/lifetimes/level=0/run={n}").select(columns)
+        want = [r for r in expected if r[columns.index("generation")] == 3 and r[columns.index("removed_seq")] is None]
+        assert [r for r in sorted(map(tuple, told.collect()), key=str) if r[columns.index("removed_seq")] is None] == want
+
+
+def test_merged_runs_with_late_events(spark, tmp_path, monkeypatch):
+    """Runs of three levels, late and repeated batches. (With 105 batches and MERGE 16 it takes ten minutes.)"""
+    monkeypatch.setattr(lifetimes, "MERGE", 3)
+    rows, store = change_rows(70, 11), str(tmp_path / "store")
+    order = list(rows)
+    draw = random.Random(2)
+    for _ in range(12):
+        order.insert(draw.randrange(len(order)), order.pop(draw.randrange(len(order))))
+    parts = [order[n * 5 : n * 5 + 5] for n in range(14)]
+    for n, part in enumerate(parts):
+        for _ in range(2 if n == 8 else 1):  # one is repeated after it was complete
+            lifetimes.apply_batch(spark.createDataFrame(part, CHANGE_EVENT), n, store, block_rows=50, snapshot_every=4)
+    columns, expected = all_lives(spark, rows)
+    assert sorted(map(tuple, lifetimes.read(spark, store).select(columns).collect()), key=str) == expected
+    live = sorted(map(tuple, lifetimes.live(spark, store).select(columns).collect()), key=str)
+    assert live == [r for r in expected if r[columns.index("removed_seq")] is None]
+    assert lifetimes.runs(14) == [(2, 0), (1, 3), (0, 12), (0, 13)]
+
+
+@pytest.mark.parametrize("batches", [0, 1, 15, 16, 17, 255, 256, 4097])
+def test_runs_hold_every_batch_once(batches):
+    held = [b for level, run in lifetimes.runs(batches) for b in range(run * 16**level, (run + 1) * 16**level)]
+    assert held == list(range(batches))
+    assert len(lifetimes.runs(batches)) <= 15 * 4 + 1
 
 
 def test_initial_scan_precedes_the_watch(spark, tmp_path):
