@@ -11,18 +11,25 @@ def unquoted(etag: Column) -> Column:
 
 
 def checksum_matches(
-    expected: Column, exists: Column, recorded: Column, etag: Column | None = None
+    expected: Column,
+    exists: Column,
+    recorded: Column,
+    etag: Column | None = None,
+    expected_tag: Column | None = None,
 ) -> Column:
-    """True, false, or null when the store only offers a multipart tag.
+    """True, false, or null when nothing can decide.
 
-    The checksum recorded with the object wins; otherwise its tag is used. The tag of a
-    multipart upload contains ``-`` and is no plain digest, so it cannot decide.
+    The checksum recorded with the object wins; otherwise its tag is used. The tag of a multipart
+    upload contains ``-`` and is no plain digest: it is compared with ``expected_tag``, the tag
+    worked out from the same parts of the file, and decides nothing where that is not known.
     """
     known = F.nullif(recorded, F.lit(""))
+    same = known == expected
     if etag is not None:
         tag = unquoted(etag)
-        known = F.coalesce(known, F.when(~tag.contains("-"), tag))
-    return F.when(~exists, F.lit(False)).otherwise(known == expected)
+        of_parts = tag == expected_tag if expected_tag is not None else F.lit(None).cast("boolean")
+        same = F.coalesce(same, F.when(tag.contains("-"), of_parts).otherwise(tag == expected))
+    return F.when(~exists, F.lit(False)).otherwise(same)
 
 
 def owner(override: str | None, recorded: Column) -> Column:

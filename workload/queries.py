@@ -12,8 +12,7 @@ from fleetvault.functions import checks, paths, records, sizes, times
 from fleetvault.operators import gates, history, listing, manifests, usage
 from fleetvault.plans import restore, retention, upload, validate
 from fleetvault.schemas import FILE_META, RELEASE_FIELD, stored_form
-from fleetvault.sources import content as content_source
-from fleetvault.sources import file_meta, inventory, transfer_log
+from fleetvault.sources import chunks, file_meta, inventory, transfer_log
 from fleetvault.sources import manifests as manifest_source
 from fleetvault.storage import run_dir
 from fleetvault.streaming import events as event_stream
@@ -433,7 +432,36 @@ def _(c):
     "SELECT path, md5(content) AS md5, CAST(octet_length(encode(content)) AS BIGINT) AS size FROM {content}",
 )
 def _(c):
-    return content_source.with_checksum(c.content).select("path", "md5", "size")
+    """Bodies as parts of 1 KiB, streamed in order through the digest."""
+    return chunks.digests(chunks.cut(c.content, 1024)).select("path", "md5", "size")
+
+
+@query(
+    "multipart_verdict",
+    """WITH _body AS (SELECT path, hex(encode(content)) AS h, octet_length(encode(content)) AS size FROM {content}),
+        _tag AS (SELECT path, h, size, md5(unhex(string_agg(md5(unhex(substr(h, (part - 1) * 4096 + 1, 4096))), '' ORDER BY part)))
+                     || '-' || count(*) AS tag
+                 FROM (SELECT *, unnest(generate_series(1, CAST(ceil(size / 2048.0) AS BIGINT))) AS part FROM _body WHERE size > 2048)
+                 GROUP BY ALL)
+        SELECT path, CASE WHEN size <= 2048 THEN 'true' WHEN size % 7 = 0 THEN 'false' ELSE 'true' END AS verdict,
+               tag FROM _body LEFT JOIN (SELECT path, tag FROM _tag) USING (path)""",
+)
+def _(c):
+    """Objects that went up whole or in chunks of 2 KiB, some of them altered; only tags are known."""
+    found = chunks.digests(chunks.cut(c.content, 1024), max_upload_bytes=2048, chunk_bytes=2048)
+    body = F.col("content").cast("binary")
+    size = F.octet_length(body)
+    # What the store says, from the bodies at once.
+    pieces = F.sequence(F.lit(1), F.greatest(F.ceil(size / 2048), F.lit(1)).cast("int"))
+    digests = F.transform(pieces, lambda i: F.md5(F.substring(body, (i - 1) * 2048 + 1, F.lit(2048))))
+    of_parts = F.concat(F.md5(F.unhex(F.array_join(digests, ""))), F.lit("-"), F.size(digests))
+    altered = F.when(size % 7 == 0, F.concat(F.lit("0"), of_parts)).otherwise(of_parts)
+    tag = F.when(size > 2048, altered).otherwise(F.md5(body))
+    objects = c.content.select("path", F.concat(F.lit('"'), tag, F.lit('"')).alias("etag"))
+    verdict = checks.checksum_matches(F.col("md5"), F.lit(True), F.lit(""), F.col("etag"), F.col("tag"))
+    return found.join(objects, "path").select(
+        "path", F.coalesce(verdict.cast("string"), F.lit("unknown")).alias("verdict"), "tag"
+    )
 
 
 STORED_TAG = """_meta AS (SELECT path, md5 FROM {backup_file}),
@@ -864,11 +892,13 @@ def _(c):
        WHERE path NOT IN (SELECT path FROM {content} WHERE lang = 'en')""",
 )
 def _(c):
+    """Parts of 1 KiB, where half of one language's parts are stored already; digests of what is there then."""
     table = run_dir(c.spark, "content")
-    stored = c.content.filter("lang = 'en'")
-    fresh = upload.new_content(c.content.select("path", "content"), stored)
-    content_source.append(content_source.with_checksum(fresh), table)
-    return c.spark.read.parquet(table).select("path", "md5", "size")
+    parts = chunks.cut(c.content, 1024)
+    chunks.append(parts.filter("path LIKE '%/de/%' AND part % 2 = 0"), table)
+    stored = c.spark.read.parquet(table)
+    chunks.append(chunks.new_parts(parts.filter("path NOT LIKE '%/en/%'"), stored), table)
+    return chunks.digests(c.spark.read.parquet(table)).select("path", "md5", "size")
 
 
 @query(
@@ -883,8 +913,8 @@ def _(c):
         (F.col("lang") != "en").alias("should_restore"),
         F.lit(None).cast("string").alias("failed_reason"),
     )
-    restored = restore.restored_content(plan, c.content.select("path", "content"))
-    return restored.select("dest_path", F.md5(F.col("content").cast("binary")).alias("md5"))
+    restored = chunks.restored(plan, chunks.cut(c.content, 1024))
+    return chunks.digests(restored).select(F.col("path").alias("dest_path"), "md5")
 
 
 # -- retention -----------------------------------------------------------------------------
