@@ -7,7 +7,7 @@ A grouped prefix join, exact at any size:
   keeps shared passages out of prefixes.
 * **Classes.** Documents of equal sets are one class.
 * **Groups.** Classes of the same prefix and set size are one group, and only groups are posted
-  under their prefix's shingles.
+  under their prefix's shingles. Of lists that hold the very same groups one is kept.
 * **Stars.** In each shingle's list the groups of similar size are paired with one centre, the one
   whose shingles are best known, not with each other, and the members of a group with its first
   member. Pairs are filtered by size, place in the prefix and a parity signature (bits of the
@@ -43,9 +43,8 @@ SLICE_BYTES = 2 << 20
 SKETCH_BITS = 20
 SKETCH_PARTS = 16
 TOKEN_BITS = 48
-SHORT = 4
 MOST_BROADCAST = 1_000_000
-DESCRIBED = "doc_id long, n int, class binary, grp long, prefix array<long>, sig array<long>"
+DESCRIBED = "doc_id long, key long, n int, class binary, grp long, prefix array<long>, sig array<long>"
 MIX_A, MIX_B, MIX_C = (np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F))
 
 
@@ -155,14 +154,14 @@ def describe(docs: DataFrame, width: int, percent: int, levels) -> DataFrame:
             prefix = prefix >> np.uint64(64 - TOKEN_BITS)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part["doc_id"] if isinstance(part["doc_id"], pa.Array) else part["doc_id"].combine_chunks(),
+                    *(part[c] if isinstance(part[c], pa.Array) else part[c].combine_chunks() for c in ("doc_id", "key")),
                     pa.array(n, pa.int32()),
                     pa.array(classes_of(value, first), pa.binary()),
                     pa.array(group.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(prefix.view(np.int64))),
                     _signatures(value, first),
                 ],
-                ["doc_id", "n", "class", "grp", "prefix", "sig"],
+                ["doc_id", "key", "n", "class", "grp", "prefix", "sig"],
             )
 
     return docs.mapInArrow(run, DESCRIBED)
@@ -269,27 +268,52 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def components(docs: DataFrame, width: int = 3, percent: int = 90, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles and component_id, the smallest id that
     links lead to."""
+    described, classes = _judged(docs, width, percent, sketch_bits)
+    component = F.when(F.col("n") > 0, F.coalesce("label.id", "id")).otherwise(F.col("doc_id"))
+    return described.select("doc_id", "n", "class").join(classes, "class", "left").select(
+        "doc_id",
+        F.col("n").cast("long").alias("n_shingles"),
+        F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
+    )
+
+
+def _text_key() -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.col("text").cast("string"), F.col("text").isNull())
+
+
+def _judged(docs: DataFrame, width: int, percent: int, sketch_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows as described, and per class its smallest id, the first row with it, and the label if linked."""
     if not 1 <= percent <= 100 or width < 1:
         raise ValueError("percent must be from 1 to 100, width positive")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string").alias("text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("key"), text)
     levels = docs.sparkSession.sparkContext.broadcast(sketch(docs, width, sketch_bits))
     described = checkpointed(describe(docs, width, percent, levels))
     able = described.filter("doc_id is not null and n > 0")
-    classes = able.groupBy("class").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", "grp", "sig")])
-    classes = checkpointed(classes)
+    classes = able.groupBy("class").agg(
+        F.min(F.struct("doc_id", "key")).alias("first"), *[F.first(c).alias(c) for c in ("n", "grp", "sig")]
+    )
+    classes = checkpointed(classes.withColumn("id", F.col("first.doc_id")))
     groups = able.groupBy("grp", "n").agg(F.min("class").alias("head"), F.first("prefix").alias("prefix"))
     heads = checkpointed(able.groupBy("grp", "n").agg(F.min("class").alias("head")))
     posted = groups.select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
     # Only tokens that several groups share matter. A group's number covers its size.
     several = posted.groupBy("token").agg(
-        F.min("grp").alias("least"), F.max("grp").alias("most"), F.count("*").alias("others")
+        F.min("grp").alias("least"), F.max("grp").alias("most"), F.count("*").alias("others"), F.sum("pos").alias("at"),
+        *[F.bit_xor(F.xxhash64("grp", "n", F.lit(salt))).alias(f"groups{salt}") for salt in (1, 2)],
+    ).filter("least <> most")
+    # A passage gives many lists of the very same groups. One of them says it all: the first in the
+    # common order, which is the first in each of its groups.
+    several = several.groupBy("others", "groups1", "groups2").agg(
+        F.min(F.struct("at", "token")).alias("first"), F.count("*").alias("lists")
     )
-    several = several.filter("least <> most").select("token", "others")
+    several = several.select("first.token", "others", "lists")
     shared = checkpointed(posted.join(several, "token"))
     # Lists hold groups of similar size. The centre of a list is the group whose elements most other
     # groups have: what copies were made from, or the least changed of them, rather than any.
     band = _band(F.col("n"), percent)
-    known = shared.groupBy("grp", "n").agg(F.sum("others").alias("known"))
+    known = shared.groupBy("grp", "n").agg(F.sum(F.col("others") * F.col("lists")).alias("known"))
     ranked = shared.join(known, ["grp", "n"]).withColumn("band", band)
     centres = ranked.groupBy("token", "band").agg(F.max(F.struct("known", "grp", "n", "pos")).alias("c"))
     listed = shared.withColumn("band", band).join(centres, ["token", "band"]).filter("grp <> c.grp")
@@ -308,25 +332,16 @@ def components(docs: DataFrame, width: int = 3, percent: int = 90, sketch_bits:
     rest = _rest(classes, shared, labels, tried, percent)
     more = _verified(rest, docs, slim, width, percent)
     labels = connected(slim, links.union(more))
-    named = classes.select("class").join(labels, "class").select("class", F.col("label.id").alias("component"))
-    own = described.select("doc_id", "n", "class").join(
-        classes.select("class", "id").join(named, "class", "left"), "class", "left"
-    )
-    component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("doc_id"))
-    return own.select(
-        "doc_id",
-        F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
-    )
+    return described, classes.select("class", "id", "first").join(labels, "class", "left")
 
 
 def _rest(classes: DataFrame, shared: DataFrame, labels: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     """Untried pairs of classes of different components, in lists or groups that span several.
 
-    Sizes, places and a short signature are conditions of the join that finds the pairs, so that of a
-    large list only pairs that may be links come out; the whole signature judges those.
+    Sizes, places and signatures are conditions of the join that finds the pairs, so that of a
+    large list only pairs that may be links come out.
     """
-    own = classes.select("class", "grp", "n", _short(F.col("sig")).alias("sig")).join(labels, "class", "left")
+    own = classes.select("class", "grp", "n", "sig").join(labels, "class", "left")
     member = own.select("class", "grp", "n", "sig", F.coalesce("label.class", "class").alias("part"))
     member = checkpointed(member)
     spans = member.groupBy("grp", "n").agg(
@@ -345,8 +360,7 @@ def _rest(classes: DataFrame, shared: DataFrame, labels: DataFrame, tried: DataF
     listed = shared.join(open_, "token", "left_semi").select("token", "pos", "grp", "n").join(member, ["grp", "n"])
     across = _across(listed.drop("grp"), "token", percent, placed=True)
     known = tried.union(tried.select("b", "a"))
-    untried = within.union(across).distinct().join(known, ["a", "b"], "left_anti")
-    return _filtered(untried, classes.select("class", "n", "sig"), percent)
+    return within.union(across).distinct().join(known, ["a", "b"], "left_anti")
 
 
 def _band(n: Column, percent: int) -> Column:
@@ -354,17 +368,6 @@ def _band(n: Column, percent: int) -> Column:
     return F.floor(F.log(n) / F.log(F.lit(100 / percent))) if percent < 100 else n.cast("long")
 
 
-def _short(sig: Column) -> Column:
-    """A signature folded to ``SHORT`` numbers at most."""
-    folded = F.transform(
-        F.sequence(F.lit(0), F.lit(SHORT - 1)),
-        lambda i: F.aggregate(
-            F.filter(sig, lambda _, j: j % SHORT == i), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)
-        ),
-    )
-    return F.when(F.size(sig) > SHORT, folded).otherwise(sig)
-
-
 def _across(rows: DataFrame, on: str, percent: int, placed: bool) -> DataFrame:
     """Pairs of classes that share ``on``, belong to different components and may be links, each once."""
     left, right = rows.alias("l"), rows.alias("r")
@@ -377,10 +380,20 @@ def _across(rows: DataFrame, on: str, percent: int, placed: bool) -> DataFrame:
     return left.join(right, wanted).select(a.alias("a"), b.alias("b"))
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One row of ``docs`` per component: that with the smallest id. Rows without id stay."""
-    found = components(docs, **options)
-    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+def keep_first(
+    docs: DataFrame, width: int = 3, percent: int = 90, sketch_bits: int = SKETCH_BITS
+) -> DataFrame:
+    """One row of ``docs`` per component: one with the smallest id.
+
+    Rows without id stay, and so do texts without shingles; rows that repeat id and text count once.
+    Of rows that share an id, each stays or goes by its own text.
+    """
+    described, classes = _judged(docs, width, percent, sketch_bits)
+    own = classes.filter("label IS NULL OR label.class = class").select("first.doc_id", "first.key")
+    bare = described.filter("n = 0 AND doc_id IS NOT NULL").select("doc_id", "key")
+    kept = own.unionByName(bare).distinct().toDF("_kept", "_key")
     named = docs.filter("doc_id is not null")
-    kept = named.join(first, named["doc_id"].cast("long") == first["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    same = (named["doc_id"].cast("long") == kept["_kept"]) & (_text_key() == kept["_key"])
+    found = named.join(kept, same, "left_semi")
+    # Rows that repeat both: one of them stays.
+    return found.dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id is null"))

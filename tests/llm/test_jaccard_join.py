@@ -78,6 +78,42 @@ def test_against_every_pair(spark, options):
     check(spark, corpus(len(options)), **options)
 
 
+def test_long_texts_that_share_passages(spark):
+    """600 to 3,000 words, most of them sharing long passages, some of them near copies: five words, 80 %."""
+    rng = random.Random(9)
+    passages = [[f"p{k}x{i}" for i in range(rng.choice([80, 200]))] for k in range(4)]
+    texts = []
+    for n in range(40):
+        words = [f"d{n}x{rng.randrange(5000)}" for _ in range(rng.randint(500, 2600))]
+        for passage in rng.sample(passages, rng.randint(1, 3)):
+            at = rng.randrange(len(words))
+            words[at:at] = passage
+        texts.append(words)
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            words = list(words)
+            for _ in range(rng.choice([2, len(words) // 60, len(words) // 40])):
+                words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+            texts.append(words)
+    rows = [(i * 13 % 997, " ".join(t)) for i, t in enumerate(texts)]
+    check(spark, rows, width=5, percent=80)
+
+
+def test_equal_lists_are_kept_once(spark):
+    """Two texts share 200 prefix shingles; what was looked up before pairs are made shrinks to one list."""
+    words = [f"w{i}" for i in range(600)]
+    rows = [(1, " ".join([*words, *(f"a{i}" for i in range(300))])), (2, " ".join([*words, *(f"b{i}" for i in range(300))]))]
+    check(spark, rows, width=5, percent=50)
+    check(spark, [*rows, (3, " ".join(words[:300]))], width=5, percent=30)
+
+
+def test_keep_first_tells_texts_of_one_id_apart(spark):
+    rows = [(1, "a b c d e f"), (1, "u v w x y z"), (2, "u v w x y z"), (1, "A b c d  e f"), (3, None), (3, ""), (3, "")]
+    kept = sorted(map(tuple, join.keep_first(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert [r[0] for r in kept] == [1, 1, 3, 3]
+    assert {(r[1] or "").lower().split()[0] for r in kept if r[0] == 1} == {"a", "u"}
+    assert sorted(str(r[1]) for r in kept if r[0] == 3) == ["", "None"]
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "c"), (2, "", "c"), (3, " \t\n", None), (4, "one", "x"), (5, "ONE", "x"), (6, "one two", "x")]
     rows += [(None, "one", "n"), (None, None, "n"), (7, "one two one", "x"), (9, "a b c " * 3000, "y"), (8, "a b c " * 2000, "y")]

@@ -48,7 +48,7 @@ def test_stages(spark, small):
 
 def firsts(rows):
     pairs = [(r.doc_id, r.text) for r in rows]
-    return {i for i, _, part in test_jaccard_join.brute(pairs, 3, 90) if i == part}
+    return {i for i, _, part in test_jaccard_join.brute(pairs, 5, 80) if i == part}
 
 
 def hit(spark, sf_dir, rows):
