@@ -44,17 +44,13 @@ def running_balance(
     return running(log, by, "seq", {"balance": (change, "sum")}, block_rows)
 
 
-def active_hours(
+def block_sums(
     log: DataFrame,
     by: Sequence[str] = HOST,
     restore_reduces: bool = True,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """One row per host and hour with log lines.
-
-    ``max_bytes`` is the balance after the last stored line of the hour, or the opening
-    balance when nothing was stored; ``peak_bytes`` is the highest balance seen.
-    """
+    """One row per host, hour and block of lines, relative to the balance before the block."""
     lines = log.select(
         *by,
         "seq",
@@ -70,17 +66,64 @@ def active_hours(
         .orderBy("seq")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    blocks = (
+    return (
         lines.withColumn("_run", F.sum("_change").over(in_block))
         .groupBy(*by, "hour", BLOCK)
         .agg(
-            F.sum("_change").alias("_net"),
+            F.coalesce(F.sum("_change"), F.lit(0)).alias("_net"),
             F.coalesce(F.sum("_stored"), F.lit(0)).alias("trans_in"),
             F.coalesce(F.sum("_restored"), F.lit(0)).alias("trans_out"),
             F.max_by("_run", F.when(F.col("_in"), F.col("seq"))).alias("_last"),
             F.max("_run").alias("_peak"),
+            F.count("*").alias("lines"),
+            F.min("seq").alias("first_seq"),
+            F.max("seq").alias("last_seq"),
         )
     )
+
+
+def hour_changes(
+    log: DataFrame,
+    by: Sequence[str] = HOST,
+    restore_reduces: bool = True,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """One row per host and hour with lines, relative to the balance that the hour opens with.
+
+    ``net`` is the change over the hour, ``held`` that up to its last stored line (null without
+    one), ``peak`` the highest one seen. Unlike balances they do not depend on other hours.
+    """
+    blocks = block_sums(log, by, restore_reduces, block_rows)
+    earlier = (
+        Window.partitionBy(*by, "hour").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    opened = blocks.withColumn("_open", F.coalesce(F.sum("_net").over(earlier), F.lit(0)))
+    return opened.groupBy(*by, "hour").agg(
+        F.sum("lines").alias("lines"),
+        F.sum("_net").alias("net"),
+        F.max_by(
+            F.col("_open") + F.col("_last"), F.when(F.col("_last").isNotNull(), F.col(BLOCK))
+        ).alias("held"),
+        F.greatest(F.lit(0), F.max(F.col("_open") + F.col("_peak"))).alias("peak"),
+        F.sum("trans_in").alias("trans_in"),
+        F.sum("trans_out").alias("trans_out"),
+        F.min("first_seq").alias("first_seq"),
+        F.max("last_seq").alias("last_seq"),
+    )
+
+
+def active_hours(
+    log: DataFrame,
+    by: Sequence[str] = HOST,
+    restore_reduces: bool = True,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """One row per host and hour with log lines.
+
+    ``max_bytes`` is the balance after the last stored line of the hour, or the opening
+    balance when nothing was stored; ``peak_bytes`` is the highest balance seen.
+    """
+    blocks = block_sums(log, by, restore_reduces, block_rows)
     earlier = (
         Window.partitionBy(*by).orderBy("hour", BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -168,6 +211,11 @@ def monthly_usage(usage: DataFrame, by: Sequence[str] = HOST) -> DataFrame:
         F.sum("trans_in").alias("_in"),
         F.sum("trans_out").alias("_out"),
     )
+    return billed(months, by)
+
+
+def billed(months: DataFrame, by: Sequence[str] = HOST) -> DataFrame:
+    """The columns of a bill from byte-hours and bytes moved (``_in``, ``_out``) per month."""
     return months.select(
         *by,
         "year",

@@ -15,6 +15,7 @@ from fleetvault.schemas import FILE_META, RELEASE_FIELD, stored_form
 from fleetvault.sources import chunks, file_meta, inventory, transfer_log
 from fleetvault.sources import manifests as manifest_source
 from fleetvault.storage import run_dir
+from fleetvault.streaming import balances as balance_stream
 from fleetvault.streaming import events as event_stream
 from fleetvault.streaming import lifetimes as lifetime_stream
 from fleetvault.streaming import usage as usage_stream
@@ -1038,12 +1039,12 @@ def _(c):
     return hours(c)
 
 
-@query(
-    "monthly_usage",
-    f"""WITH {HOURS} SELECT host, year(hour)::INTEGER AS year, month(hour)::INTEGER AS month, sum(max_bytes)::BIGINT AS byte_hours,
+MONTHLY = f"""WITH {HOURS} SELECT host, year(hour)::INTEGER AS year, month(hour)::INTEGER AS month, sum(max_bytes)::BIGINT AS byte_hours,
         sum(max_bytes)::BIGINT::DOUBLE / 1073741824 / 744 AS gb_months, sum(trans_in)::BIGINT::DOUBLE / 1073741824 AS trans_in_gb,
-        sum(trans_out)::BIGINT::DOUBLE / 1073741824 AS trans_out_gb FROM _hours GROUP BY host, year(hour), month(hour)""",
-)
+        sum(trans_out)::BIGINT::DOUBLE / 1073741824 AS trans_out_gb FROM _hours GROUP BY host, year(hour), month(hour)"""
+
+
+@query("monthly_usage", MONTHLY)
 def monthly(c):
     return usage.monthly_usage(hours(c)).withColumn("byte_hours", F.col("byte_hours").cast("bigint"))
 
@@ -1295,11 +1296,26 @@ def _(c):
         WHERE seq % 50 = 7 AND hour <= (SELECT max(hour) FROM _on_time) GROUP BY ALL""",
 )
 def _(c):
-    """Lines that the closed hours lack, when every late line comes after they were closed."""
+    """What came after its hour was closed, as the stream itself writes it down; the log is not read again."""
+    folder, store, checkpoint = (run_dir(c.spark, n) for n in ("log", "balances", "checkpoint"))
     late = F.col("seq") % 50 == 7
-    table = run_dir(c.spark, "hours")
-    usage_stream.summed(c.late_log.filter(~late)).write.parquet(table)
-    return usage_stream.missed(c.late_log, c.spark.read.parquet(table)).select("host", "hour", "lines")
+    for part in (c.late_log.filter(~late), c.late_log.filter(late)):
+        part.write.mode("append").parquet(folder)
+        lines = c.spark.readStream.schema(c.late_log.schema).parquet(folder)
+        balance_stream.start(lines, store, checkpoint, lateness_hours=0).awaitTermination()
+    return balance_stream.late(c.spark, store).select("host", "hour", "lines")
+
+
+@query("stream_monthly", MONTHLY)
+def _(c):
+    """The bill of a log of which some lines come late, kept up to date batch by batch."""
+    folder, store = run_dir(c.spark, "log"), run_dir(c.spark, "balances")
+    order = F.when(F.col("seq") % 41 == 3, F.col("seq") + 10**12).otherwise(F.col("seq"))
+    c.transfer_log.repartitionByRange(4, order).write.parquet(folder)
+    lines = c.spark.readStream.schema(c.transfer_log.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    balance_stream.start(lines, store, run_dir(c.spark, "checkpoint")).awaitTermination()
+    bill = balance_stream.bill(c.spark, store, extrapolate_to=AS_OF)
+    return bill.withColumn("byte_hours", F.col("byte_hours").cast("bigint"))
 
 
 # -- files ---------------------------------------------------------------------------------
