@@ -42,18 +42,10 @@ def build(
     sized = components.join(sizes_, same).select(components["*"], "parts")
     part = F.pmod(F.xxhash64("cf", *body), F.col("parts")).cast("int")
     placed = sized.withColumn("part", part).repartition(*key, "part")
-    grouped = (
-        placed.groupBy(*key, "parts", "part")
-        .agg(F.collect_list(F.struct("cf", *body)).alias("_files"))
-        .withColumn("_cfs", F.array_distinct("_files.cf"))
-    )
-
-    def files_of(cf: Column) -> Column:
-        own = F.filter("_files", lambda f: f["cf"] == cf)
-        return F.transform(own, lambda f: F.struct(*[f[name].alias(name) for name in body]))
-
-    components_map = F.map_from_arrays("_cfs", F.transform("_cfs", files_of))
-    return grouped.withColumn("components", components_map).drop("_files", "_cfs")
+    # Rows lie by (key, part) already, so neither level of grouping moves them again.
+    lists = placed.groupBy(*key, "parts", "part", "cf").agg(F.collect_list(F.struct(*body)).alias("_files"))
+    entries = F.collect_list(F.struct("cf", "_files"))
+    return lists.groupBy(*key, "parts", "part").agg(F.map_from_entries(entries).alias("components"))
 
 
 def explode(manifests: DataFrame, keep: Sequence[str] = KEY) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetvault.functions import checks, paths, records, sizes, times
 from fleetvault.operators import gates, history, listing, manifests, usage
-from fleetvault.plans import restore, retention, upload, validate
+from fleetvault.plans import references, restore, retention, upload, validate
 from fleetvault.schemas import FILE_META, RELEASE_FIELD, stored_form
 from fleetvault.sources import chunks, file_meta, inventory, transfer_log
 from fleetvault.sources import manifests as manifest_source
@@ -965,6 +965,44 @@ def _(c):
     return purged_files(c).select("host", "keyspace", "path", "size")
 
 
+def counted_rounds(c: Catalogue) -> tuple[str, int, DataFrame]:
+    """Counts after several rounds: manifests added in three lots, purges in between, the last at CUTOFF."""
+    store, parts = run_dir(c.spark, "references"), c.manifest_component
+    first, second = datetime(1995, 1, 1), datetime(1998, 1, 1)
+    lots = [parts.filter(F.col("manifest_id") % 3 == n) for n in range(3)]
+    references.apply(c.spark, store, 0, added=lots[0])
+    references.apply(c.spark, store, 1, added=lots[1], removed=references.expired(lots[0], first))
+    still = lots[0].filter(F.col("ts") >= moment(first)).unionByName(lots[1])
+    references.apply(c.spark, store, 2, added=lots[2], removed=references.expired(still, second))
+    last = still.filter(F.col("ts") >= moment(second)).unionByName(lots[2])
+    gone = references.expired(last, CUTOFF)
+    references.apply(c.spark, store, 3, removed=gone)
+    return store, 3, gone
+
+
+@query("purge_counted", f"WITH {PURGED_FILES} SELECT host, keyspace, path, size FROM _files")
+def _(c):
+    """What the purge finds, from reference counts after several rounds of adding and purging."""
+    store, version, _ = counted_rounds(c)
+    found = references.unnamed(listed_store(c), references.counts(c.spark, store, version))
+    return found.select("host", "keyspace", "path", "size")
+
+
+@query(
+    "purge_released",
+    f"""WITH {KEEP}, _gone AS (SELECT DISTINCT host, keyspace, {NAME} AS file_name FROM {{manifest_component}}
+            WHERE ts < TIMESTAMP '2000-01-01' AND (ts >= TIMESTAMP '1998-01-01' OR manifest_id % 3 = 2))
+        SELECT host, keyspace, path, size FROM (SELECT *, regexp_extract(path, '[^/]*$') AS file_name FROM {{stored_file}}) s
+        WHERE (host, keyspace, file_name) IN (SELECT (host, keyspace, file_name) FROM _gone)
+          AND (host, keyspace, file_name) NOT IN (SELECT (host, keyspace, file_name) FROM _keep)""",
+)
+def _(c):
+    """Only the files that the last purge let go of; no kept manifest is opened."""
+    store, version, gone = counted_rounds(c)
+    found = references.purge_files(listed_store(c), references.released(c.spark, store, version, gone))
+    return found.select("host", "keyspace", "path", "size")
+
+
 def listed_store(c: Catalogue) -> DataFrame:
     """What an inventory of the store shows: every file and its sidecar."""
     path = F.explode(F.array("path", listing.sidecar_of(F.col("path"))))
