@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from fleetvault.sources import chunks, file_meta, inventory, transfer_log
 from fleetvault.sources import manifests as manifest_source
 from fleetvault.storage import run_dir
 from fleetvault.streaming import balances as balance_stream
+from fleetvault.streaming import bootstrap
 from fleetvault.streaming import events as event_stream
 from fleetvault.streaming import lifetimes as lifetime_stream
 from fleetvault.streaming import usage as usage_stream
@@ -1310,6 +1311,54 @@ def _(c):
     return shown_lives(lifetime_stream.read(c.spark, store))
 
 
+SCANNED = datetime(2024, 1, 12, 6)
+
+
+@query(
+    "stream_bootstrap",
+    f"""WITH {LIVES}, _has AS (SELECT DISTINCT host, keyspace, cf, version, generation, component FROM _lives WHERE removed_seq = -1)
+        SELECT * FROM _has""",
+)
+def _(c):
+    """A first scan, then a watch that began before it: the files live at the end, as from the whole history."""
+    store, folder = run_dir(c.spark, "lifetimes"), run_dir(c.spark, "events")
+
+    def seen_at(place):
+        """Folders are listed an hour apart."""
+        return moment(SCANNED) + F.regexp_extract(place, "[0-9]$", 0).cast("int") * F.expr("INTERVAL '1' HOUR")
+
+    found = changes(c)
+    live = history.live_now(history.lifetimes(found.filter(F.col("ts") <= seen_at(F.col("cf")))))
+    scan = live.select("host", F.concat(F.lit("/var/lib/data/"), paths.restore_path()).alias("path"), "size")
+    ended = moment(SCANNED + timedelta(hours=10))
+    event_stream.initial(scan.dropDuplicates(["host", "path"]), F.col("host"), ended).write.parquet(folder)
+    c.change_event.repartitionByRange(4, "seq").write.mode("append").parquet(folder)
+    folders = found.select("host", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).distinct()
+    listed = folders.withColumn("seen_at", seen_at(F.col("folder")))
+    watched = bootstrap.unseen(event_stream.read(c.spark, folder, files_per_batch=3), listed)
+    lifetime_stream.start(watched, store, run_dir(c.spark, "checkpoint")).awaitTermination()
+    return lifetime_stream.live(c.spark, store).select(*COMPONENT_ID).distinct()
+
+
+@query(
+    "inventory_difference",
+    """WITH _b AS (SELECT host, path, size, md5 FROM {backup_file}), _s AS (SELECT host, path, size, md5 FROM {stored_file}),
+        _gone AS (SELECT * FROM _b WHERE (host, path) NOT IN (SELECT (host, path) FROM _s)),
+        _came AS (SELECT * FROM _s WHERE (host, path) NOT IN (SELECT (host, path) FROM _b)),
+        _moved AS (SELECT g.host, g.path AS src_path, n.path AS dest_path, g.size
+            FROM (SELECT * FROM _gone QUALIFY count(*) OVER (PARTITION BY host, size, md5) = 1) g
+            JOIN (SELECT * FROM _came QUALIFY count(*) OVER (PARTITION BY host, size, md5) = 1) n USING (host, size, md5))
+        SELECT host, 'moved' AS kind, src_path, dest_path, size FROM _moved
+        UNION ALL SELECT host, 'deleted', path, '', size FROM _gone WHERE (host, path) NOT IN (SELECT (host, src_path) FROM _moved)
+        UNION ALL SELECT host, 'created', path, '', size FROM _came WHERE (host, path) NOT IN (SELECT (host, dest_path) FROM _moved)
+        UNION ALL SELECT host, 'created', path, '', _s.size FROM _s JOIN _b USING (host, path) WHERE _s.md5 <> _b.md5 OR _s.size <> _b.size""",
+)
+def _(c):
+    """What happened between two scans: files renamed, written again, gone and new."""
+    found = bootstrap.difference(c.backup_file, c.stored_file)
+    return found.withColumn("dest_path", F.coalesce("dest_path", F.lit("")))
+
+
 @query(
     "stream_hourly",
     f"""WITH _line AS (SELECT *, date_trunc('hour', ts)::TIMESTAMP AS hour FROM {{transfer_log}})
