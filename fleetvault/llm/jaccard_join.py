@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetvault.llm import tokens
@@ -44,6 +44,7 @@ SKETCH_BITS = 20
 SKETCH_PARTS = 16
 TOKEN_BITS = 48
 MOST_BROADCAST = 1_000_000
+LOOK_BACK = 4
 DESCRIBED = "doc_id long, key long, n int, class binary, grp long, prefix array<long>, sig array<long>"
 MIX_A, MIX_B, MIX_C = (np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F))
 
@@ -357,7 +358,11 @@ def _rest(classes: DataFrame, shared: DataFrame, labels: DataFrame, tried: DataF
     done = (F.col("others") == 2) & (F.col("members") == 1)
     done &= _band(F.col("least"), percent) == _band(F.col("most"), percent)
     open_ = lists.filter((F.col("first") != F.col("last")) & ~done).select("token")
-    listed = shared.join(open_, "token", "left_semi").select("token", "pos", "grp", "n").join(member, ["grp", "n"])
+    # Which of these lists come shortly before this one in the same prefix.
+    prefix = Window.partitionBy("grp", "n").orderBy("pos")
+    earlier = F.array_compact(F.array(*[F.lag("token", k).over(prefix) for k in range(1, LOOK_BACK + 1)]))
+    listed = shared.join(open_, "token", "left_semi").select("token", "pos", "grp", "n")
+    listed = listed.withColumn("earlier", earlier).join(member, ["grp", "n"])
     across = _across(listed.drop("grp"), "token", percent, placed=True)
     known = tried.union(tried.select("b", "a"))
     return within.union(across).distinct().join(known, ["a", "b"], "left_anti")
@@ -369,12 +374,17 @@ def _band(n: Column, percent: int) -> Column:
 
 
 def _across(rows: DataFrame, on: str, percent: int, placed: bool) -> DataFrame:
-    """Pairs of classes that share ``on``, belong to different components and may be links, each once."""
+    """Pairs of classes that share ``on``, belong to different components and may be links.
+
+    A pair meets in every list that both are in. It comes out of the first one, and not of one
+    shortly after another one that both are in.
+    """
     left, right = rows.alias("l"), rows.alias("r")
     n, m = F.col("l.n"), F.col("r.n")
     wanted = (F.col(f"l.{on}") == F.col(f"r.{on}")) & (F.col("l.part") < F.col("r.part"))
     if placed:
         wanted &= similar_size(n, m, percent) & _in_reach(F.col("l.pos"), n, F.col("r.pos"), m, percent)
+        wanted &= ~F.arrays_overlap("l.earlier", "r.earlier")
     wanted &= _alike(n, F.col("l.sig"), m, F.col("r.sig"), percent)
     a, b = F.least("l.class", "r.class"), F.greatest("l.class", "r.class")
     return left.join(right, wanted).select(a.alias("a"), b.alias("b"))
