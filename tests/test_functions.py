@@ -85,10 +85,10 @@ def test_parse_release(spark):
 
 
 def test_backup_names(spark):
-    good = "2012_10_22T14_26_57_871835-ks-node-1.dc-1.example"
-    rows = [good, "2012_10_22T14_26_57_871835-ks", "junk-ks-host", "/a/b/" + good + ".json"]
+    good = "2019_03_07T08_45_31_204968-ks-node-1.dc-1.example"
+    rows = [good, "2019_03_07T08_45_31_204968-ks", "junk-ks-host", "/a/b/" + good + ".json"]
     found = values(spark, paths.parse_backup_name(F.col("x")), rows)
-    expected = (datetime(2012, 10, 22, 14, 26, 57, 871835), "ks", "node-1.dc-1.example")
+    expected = (datetime(2019, 3, 7, 8, 45, 31, 204968), "ks", "node-1.dc-1.example")
     assert tuple(found[0]) == expected
     assert found[1:3] == [None, None]
     assert tuple(values(spark, paths.parse_backup_path(F.col("x")), rows)[3]) == expected
@@ -108,17 +108,17 @@ def test_prefix(spark):
 
 
 DATES = {
-    "2012-10-22T14:26:57.871835": datetime(2012, 10, 22, 14, 26, 57, 871835),
-    "2012-10-22T14:26:57.8": datetime(2012, 10, 22, 14, 26, 57, 800000),
-    "2012-10-22T14:26:57": datetime(2012, 10, 22, 14, 26, 57),
-    "2012-10-22T14:26": datetime(2012, 10, 22, 14, 26),
-    "2012-10-22": datetime(2012, 10, 22),
+    "2019-03-07T08:45:31.204968": datetime(2019, 3, 7, 8, 45, 31, 204968),
+    "2019-03-07T08:45:31.8": datetime(2019, 3, 7, 8, 45, 31, 800000),
+    "2019-03-07T08:45:31": datetime(2019, 3, 7, 8, 45, 31),
+    "2019-03-07T08:45": datetime(2019, 3, 7, 8, 45),
+    "2019-03-07": datetime(2019, 3, 7),
     "2012-1-2": datetime(2012, 1, 2),
     "2012-1-2T3:4": datetime(2012, 1, 2, 3, 4),
     "2012-13-01": None,
-    "2012-10-22 14:26": None,
+    "2019-03-07 08:45": None,
     "2012-10": None,
-    "2012-10-22T14:26:57.": None,
+    "2019-03-07T08:45:31.": None,
     "junk": None,
 }
 

@@ -133,13 +133,13 @@ def test_walk_skips_links_and_crowded_folders_come_whole(spark, tmp_path, monkey
 
 
 LINES = {
-    "2012-10-22T14:26:57.871835 stored /a to b size 5": ("stored", "/a", "b", 5, None),
-    "2012-10-22T14:26:57.8 restored BackupFile /a b: host h, md5 m to /r size 7": ("restored", "BackupFile /a b: host h, md5 m", "/r", 7, None),
-    "2012-10-22T14:26:57.871835 removed a to na size 0": ("removed", "a", "na", 0, None),
-    "2012-10-22T14:26:57.871835 copied a to b size 0": ("copied", "a", "b", 0, "unknown_operation"),
-    "2012-10-22T14:26:57.871835 stored a to b size x": ("stored", "", "", None, "malformed"),
+    "2019-03-07T08:45:31.204968 stored /a to b size 5": ("stored", "/a", "b", 5, None),
+    "2019-03-07T08:45:31.8 restored BackupFile /a b: host h, md5 m to /r size 7": ("restored", "BackupFile /a b: host h, md5 m", "/r", 7, None),
+    "2019-03-07T08:45:31.204968 removed a to na size 0": ("removed", "a", "na", 0, None),
+    "2019-03-07T08:45:31.204968 copied a to b size 0": ("copied", "a", "b", 0, "unknown_operation"),
+    "2019-03-07T08:45:31.204968 stored a to b size x": ("stored", "", "", None, "malformed"),
     "yesterday stored a to b size 1": ("stored", "a", "b", 1, "bad_time"),
-    "2012-10-22T14:26:57.871835 stored a to b size 99999999999999999999": ("stored", "a", "b", None, "bad_size"),
+    "2019-03-07T08:45:31.204968 stored a to b size 99999999999999999999": ("stored", "a", "b", None, "bad_size"),
     "": (None, "", "", None, "malformed"),
 }
 
