@@ -34,6 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetvault.llm.tokens import slices
+
 END_TOKEN = 1
 SENTENCE_PENALTY = 8
 WORD_PENALTY = 24
@@ -49,17 +51,21 @@ LETTER = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 DIGIT = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 SPACE = r"\t-\r \x85\xa0"
 PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{SPACE}{LETTER}{DIGIT}]+")
-# What needs the tokenizer itself: other characters, and names of special tokens. U+0130 becomes two
-# characters in lower case.
-OTHER = re.compile("[\u0130\u0250-\U0010ffff]|<[|]")
+# What needs the tokenizer itself: other characters, signs that only ``str.split`` takes for white space,
+# and names of special tokens. U+0130 becomes two characters in lower case.
+OTHER = re.compile("[\x1c-\x1f\u0130\u0250-\U0010ffff]|<[|]")
+OTHER_ASCII = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+TOGETHER = 1024  # parts that are encoded as one text
+SLICE_BYTES = 4 << 20
 
 
 class Encoder:
     """Ids of whole texts.
 
-    A text of Latin letters, digits and signs is parted as the vocabulary's tokenizer parts it, and
-    each distinct part is encoded once and looked up afterwards; at most ``MOST_WORDS`` are
-    remembered. Any other text goes to the tokenizer as it is.
+    A text of Latin letters, digits and signs is split at white space. Each distinct word is parted as
+    the vocabulary's tokenizer parts it, each distinct part is encoded once, and both are looked up
+    afterwards; at most ``MOST_WORDS`` of each are remembered. Any other text goes to the tokenizer
+    as it is.
     """
 
     def __init__(self, path: str):
@@ -67,36 +73,70 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.missed = 0
         self.stops = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, number in self.tokenizer.get_vocab().items():
             self.stops[number] = token.removesuffix("</w>").endswith((".", "!", "?"))
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return {w: np.array(code.ids, "<u4").tobytes() for w, code in zip(words, found)}
-
-    def _looked_up(self, words: list[str]) -> bytes:
-        new = [w for w in set(words) if w not in self.known]
-        if len(self.known) + len(new) > MOST_WORDS:
+            self.ends[number] = token.endswith("</w>")
+
+    def _encoded(self, parts: list[str]) -> dict[str, bytes]:
+        """Many parts are encoded as one text; a part has one token that ends a word, its last."""
+        texts = [" ".join(parts[i : i + TOGETHER]) for i in range(0, len(parts), TOGETHER)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.array([i for code in found for i in code.ids], "<u4")
+        edges = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        if len(edges) != len(parts) or edges[-1] != 4 * len(ids):
+            found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+            return {p: np.array(code.ids, "<u4").tobytes() for p, code in zip(parts, found)}
+        data = ids.tobytes()
+        return {p: data[begin:end] for p, begin, end in zip(parts, [0, *edges], edges)}
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        parted = {w: PART.findall(w) for w in words}
+        new = list(set().union(*parted.values()).difference(self.parts))
+        if len(self.parts) + len(new) > MOST_WORDS:
+            self.parts, new = {}, list(set().union(*parted.values()))
+        if new:
+            self.parts |= self._encoded(new)
+        known = self.parts.__getitem__
+        return {w: known(parts[0]) if len(parts) == 1 else b"".join(map(known, parts)) for w, parts in parted.items()}
+
+    def _known(self, words: set[str]) -> dict[str, bytes]:
+        """A dictionary that has all these words."""
+        new = words.difference(self.words)
+        if len(self.words) + len(new) > MOST_WORDS:
             self.missed += len(new)
             if self.missed <= MOST_WORDS:
-                rare, known = self._learn(new), self.known
-                return b"".join([known[w] if w in known else rare[w] for w in words])
-            self.known.clear()
-            self.missed, new = 0, list(set(words))
+                rare = self._learn(new)
+                return {w: rare[w] if w in rare else self.words[w] for w in words}
+            self.words, self.missed, new = {}, 0, words
         if new:
-            self.known |= self._learn(new)
-        return b"".join(map(self.known.__getitem__, words))
+            self.words |= self._learn(new)
+        return self.words
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and the places after which a sentence ends."""
-        if OTHER.search(text):
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        else:
-            ids = np.frombuffer(self._looked_up(PART.findall(text.lower())), "<u4")
-        return ids, np.flatnonzero(self.stops[ids]) + 1
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same of many texts, whose unknown words are encoded together."""
+        parted = [None if _other(text) else text.lower().split() for text in texts]
+        known = self._known(set().union(*filter(None, parted))).__getitem__
+        coded = []
+        for text, words in zip(texts, parted):
+            if words is None:
+                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            else:
+                ids = np.frombuffer(b"".join(map(known, words)), "<u4")
+            coded.append((ids, np.flatnonzero(self.stops[ids]) + 1))
+        return coded
+
+
+def _other(text: str) -> bool:
+    return any(sign in text for sign in OTHER_ASCII) if text.isascii() else OTHER.search(text) is not None
 
 
 _encoders: dict[str, Encoder] = {}
@@ -213,11 +253,12 @@ def _packer(vocabulary: str, length: int):
         stretch = Stretch(length, TaskContext.get().partitionId() << 33)
         end = np.array([END_TOKEN], "<u4")
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids, sentences = encode(text.as_py() or "")
-                stretch.add(doc_id.as_py(), np.concatenate([ids, end]), sentences)
-                if stretch.size >= STRETCH:
-                    yield from _rows(stretch.close(last=False))
+            for part in slices(batch, "text", SLICE_BYTES):
+                texts = [text or "" for text in part["text"].to_pylist()]
+                for doc_id, (ids, sentences) in zip(part["doc_id"].to_pylist(), encode.batch(texts)):
+                    stretch.add(doc_id, np.concatenate([ids, end]), sentences)
+                    if stretch.size >= STRETCH:
+                        yield from _rows(stretch.close(last=False))
         yield from _rows(stretch.close(last=True))
 
     return run

@@ -100,6 +100,21 @@ def test_short_stretches_settle_the_same_ids(spark, sf_dir, monkeypatch):
     assert padding < 0.02 * tokens + 2048
 
 
+@pytest.mark.parametrize("most", [packing.MOST_WORDS, 8, 3])
+def test_words_and_parts_are_those_of_the_tokenizer(monkeypatch, most):
+    monkeypatch.setattr(packing, "MOST_WORDS", most)
+    monkeypatch.setattr(packing, "TOGETHER", 3)
+    texts = [
+        "Don't stop. We'VE it's'll'd''s ' 's", "", " \t ", "a\x1cb c", "x\x85y\xa0z\x0bq", "\u0130stanbul",
+        "<|endoftext|> a", "na\u00efve caf\u00e9 \u00bd \u00b2" + "3 \u00aa", "\x00 a\x7f b\x01c", "\u20ac \u4e2d a",
+        "(see 3.14, or a/b-c_d@e.fr)!?", " ".join(f"w{i}x, y{i}." for i in range(40)),
+    ]
+    encode = packing.Encoder(vocabulary())
+    for _ in range(2):
+        for text, (ids, _) in zip(texts, encode.batch(texts), strict=True):
+            assert ids.tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_cuts_are_the_cheapest(seed):
     rng = np.random.default_rng(seed)
