@@ -14,8 +14,12 @@ scores are computed exactly from the integers.
 Queries are sent to the tasks in groups of ``group_bytes``, each task answers with k rows per query,
 and a ranking per query merges them. Vectors never move.
 
-Nulls and edge cases: a vector that is null, or holds a null or a component that is not finite or
-reaches 2**27 / scale, takes no part. Vectors are compared with those of their own length only. A null
+Components may be of any size. Where a score might leave the 64-bit range, a block's rows are scored
+one by one with whole numbers of any length; a score beyond the range counts as the nearest long. Rows
+with a component of ``MOST`` or more lie in blocks of their own, which are always scored so.
+
+Nulls and edge cases: a vector that is null, or holds a null or a component that is not finite, or
+not finite once multiplied by the scale, takes no part. Vectors are compared with those of their own length only. A null
 vec_id asks nothing and is found last among ties. A query row asks once for each time it occurs,
 and never finds rows of its own vec_id. Other columns are not looked at.
 """
@@ -32,14 +36,18 @@ from pyspark.sql import functions as F
 from fleetvault.llm.state import checkpointed
 
 BLOCK_ROWS = 8192
-MOST = 1 << 27
+MOST = 1 << 62
+LONG = 1 << 63
 LAST_ID = np.iinfo(np.int64).max
 INDEX = "dim int, rows int, ids binary, numbers binary, least binary, bits int, slices binary"
 FOUND = "query long, vec_id long, score long"
 
 
 def integers(vectors: pa.Array, ids: pa.Array, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row ids and integer matrices of the vectors that take part, one pair per length."""
+    """Row ids and integer matrices of the vectors that take part, by their length.
+
+    A matrix is of int64, or of Python's integers for vectors with a component of ``MOST`` or more.
+    """
     vectors = vectors.cast(pa.list_(pa.float64()))
     sizes = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
     flat = vectors.flatten()
@@ -49,9 +57,13 @@ def integers(vectors: pa.Array, ids: pa.Array, scale: int) -> Iterator[tuple[np.
     for dim in np.unique(sizes[sizes >= 0]).tolist():
         rows = np.flatnonzero(sizes == dim)
         matrix = values[begins[rows][:, None] + np.arange(dim)] if dim else np.zeros((len(rows), 0))
-        with np.errstate(invalid="ignore"):
-            good = (np.abs(matrix) * scale < MOST).all(axis=1)
-        yield names[rows[good]], np.floor(matrix[good] * scale).astype(np.int64)
+        with np.errstate(over="ignore", invalid="ignore"):
+            matrix = np.floor(matrix * scale)
+        good = (np.abs(matrix) < MOST).all(axis=1)
+        yield names[rows[good]], matrix[good].astype(np.int64)
+        large = np.isfinite(matrix).all(axis=1) & ~good
+        if large.any():
+            yield names[rows[large]], np.array([[int(x) for x in row] for row in matrix[large]], object)
 
 
 def _bitmap(flags: np.ndarray) -> np.ndarray:
@@ -62,6 +74,9 @@ def _bitmap(flags: np.ndarray) -> np.ndarray:
 
 
 def _block(ids: np.ndarray, numbers: np.ndarray, drop_bits: int) -> tuple:
+    if numbers.dtype == object:  # floors of doubles, and so doubles; there are no slices
+        exact = numbers.astype(np.float64).tobytes()
+        return (numbers.shape[1], len(ids), ids.tobytes(), exact, b"", 0, b"")
     least = numbers.min(axis=0, initial=MOST)
     above = (numbers - least).T >> drop_bits
     bits = max(int(above.max(initial=0)).bit_length(), 1)
@@ -73,10 +88,10 @@ def build(vectors: DataFrame, scale: int = 1024, drop_bits: int = 2, block_rows:
     """The index of ``vectors`` (vec_id, embedding): every row that takes part, in blocks."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, list] = {}
+        waiting: dict[tuple, list] = {}
         for batch in batches:
             for ids, numbers in integers(batch["embedding"], batch["vec_id"], scale):
-                held = waiting.setdefault(numbers.shape[1], [])
+                held = waiting.setdefault((numbers.shape[1], numbers.dtype), [])
                 held.append((ids, numbers))
                 if sum(len(i) for i, _ in held) >= block_rows:
                     yield from cut(held, last=False)
@@ -160,13 +175,32 @@ class Block:
         self.drop = drop_bits
         rows, dim, bits = row["rows"], row["dim"], row["bits"]
         self.ids = np.frombuffer(row["ids"], np.int64)
+        if not bits:
+            floors = np.frombuffer(row["numbers"], np.float64).reshape(rows, dim)
+            self.numbers = np.array([[int(x) for x in floor] for floor in floors], object)
+            self.largest = LONG
+            return
         self.numbers = np.frombuffer(row["numbers"], np.int64).reshape(rows, dim)
+        self.largest = int(np.abs(self.numbers).max(initial=0))
         self.slices = np.frombuffer(row["slices"], np.uint64).reshape(dim, bits, -(-rows // 64))
         self.flipped = ~self.slices
         self.all = _bitmap(np.ones(rows, bool))
 
+    def within(self, weights: np.ndarray) -> bool:
+        """Whether no score, nor a part of it, can leave the 64-bit range."""
+        total = float(np.abs(weights.astype(np.float64)).sum())
+        return max(self.largest, 1) * total < LONG / 2
+
+    def one_by_one(self, own_id: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of all rows; scores beyond the range of a long are its nearest."""
+        other = self.ids != own_id
+        exact = self.numbers[other].astype(object) @ weights.astype(object)
+        return self.ids[other], np.array([min(max(int(x), -LONG), LONG - 1) for x in exact], np.int64)
+
     def top(self, own_id: int, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact scores of rows that may be among the k best; all the k best are in it."""
+        if not self.within(weights):
+            return self.one_by_one(own_id, weights)
         alive = self.all & ~_bitmap(self.ids == own_id)
         k = min(k, count(alive))
         if not k:
@@ -187,7 +221,7 @@ class Block:
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+    return np.lexsort((ids, ~scores))[:k]  # ~ turns the order round and holds for every long
 
 
 def _answers(group, k: int, drop_bits: int):

@@ -70,6 +70,40 @@ def test_against_brute_force(spark, tmp_path, rows, options):
     assert sorted(map(tuple, found.collect()), key=str) == brute(rows, 10)
 
 
+LARGE = [
+    (100, [200000.0, 1.0, 0.0], 1),
+    (200, [1.0, -0.5, 0.0], 1),
+    (300, [0.0, 3.0e38, -1.0], 1),
+    (400, [2.0**45, -(2.0**45), 2.0**44], 1),
+    (7, [200000.0, 1.0, 0.0], 1),
+    (8, [0.0, 0.0, 2.0**60], 1),
+    (9, [0.0, -3.0e38, 3.0e38], 1),
+    (10, [0.0, 3.0e38, 2.0**30], 1),
+    (11, [2.0**26, 2.0**30, -(2.0**35)], 1),
+]
+
+
+@pytest.mark.parametrize("options", [{}, {"block_rows": 2}, {"group_bytes": 100}])
+def test_large_components(spark, tmp_path, options):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rows = [*LARGE, *((i + 1000, v, n) for i, v, n in rows_of(6, 60, 3))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = topk.search(df, df.filter("vec_id % 100 = 0"), k=5, **options)
+    within = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+    whole = {}
+    for query_id, _, vec_id, score in brute(rows, len(rows)):
+        whole.setdefault(query_id, []).append((-within(score), vec_id))
+    wanted = [(q, r + 1, i, -s) for q, all_ in whole.items() for r, (s, i) in enumerate(sorted(all_)[:5])]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(wanted, key=str)
+    assert 7 in {i for q, _, i, _ in wanted if q == 100}
+
+
+def test_a_component_too_large_for_the_scale_takes_no_part(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    df = spark.createDataFrame([(100, [1.0]), (1, [1.7e308]), (2, [2.0])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in topk.search(df, df.filter("vec_id = 100")).collect()] == [2]
+
+
 def test_slices_add_up():
     rng = np.random.default_rng(0)
     numbers = rng.integers(0, 2, size=(23, 130)).astype(bool)
