@@ -96,7 +96,8 @@ def build(vectors: DataFrame, scale: int = 1024, drop_bits: int = 2, block_rows:
                 if sum(len(i) for i, _ in held) >= block_rows:
                     yield from cut(held, last=False)
         for held in waiting.values():
-            yield from cut(held, last=True)
+            if held:
+                yield from cut(held, last=True)
 
     def cut(held: list, last: bool) -> Iterator[pa.RecordBatch]:
         ids, numbers = np.concatenate([i for i, _ in held]), np.concatenate([n for _, n in held])
