@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,7 @@ from fleetvault.functions.paths import (
     parse_backup_name,
 )
 from fleetvault.functions.sizes import human_bytes
+from fleetvault.storage import run_dir
 
 KEY = ("host", "keyspace", "ts")
 DAY = ("keyspace", "host", "day")
@@ -57,17 +58,41 @@ def explode(manifests: DataFrame, keep: Sequence[str] = KEY) -> DataFrame:
     return rows.select(*keep, "cf", *own)
 
 
-def contents(components: DataFrame, release: str | Column = DEFAULT_RELEASE) -> DataFrame:
-    """What a ``show`` lists: files by column family, then by name, with readable sizes.
+def contents(
+    components: DataFrame, release: str | Column = DEFAULT_RELEASE, ordered: bool = True
+) -> DataFrame:
+    """What a ``show`` lists: backups, their files by column family, then by name, with readable sizes.
+
+    The order is made by ranges, so that a very large backup lies in several tasks.
+    """
+    shown = components.withColumn("backup_file_name", backup_file_name())
+    shown = shown.withColumn("human_size", human_bytes(F.col("size")))
+    return shown.orderBy(*KEY, "cf", file_name(release), "backup_file_name") if ordered else shown
+
+
+def positions(rows: DataFrame, order: Sequence[str], key: Sequence[str] = KEY, at: str = "position") -> DataFrame:
+    """Add the place, from 1, of each row within its ``key`` when sorted by ``order``.
 
-    Each backup is in order; the fleet as a whole is not sorted.
+    Rows are dealt by ranges of (key, order) and written to the shared folder, with the number of
+    their range. Ranges are in order, so a place is the rows of the key's earlier ranges plus the
+    place within the range. No task needs all rows of a key, however many there are. Rows equal in
+    key and order lie in one range; their places are in any order. Null keys are keys.
     """
-    return (
-        components.withColumn("backup_file_name", backup_file_name())
-        .withColumn("human_size", human_bytes(F.col("size")))
-        .repartition("host", "keyspace", "ts")
-        .sortWithinPartitions("host", "keyspace", "ts", "cf", file_name(release))
+    spark, slice_ = rows.sparkSession, "_slice"
+    path = run_dir(spark, "positions")
+    rows.repartitionByRange(*key, *order).withColumn(slice_, F.spark_partition_id()).write.parquet(path)
+    placed = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField(slice_, T.IntegerType())])).parquet(path)
+    held = placed.groupBy(*key, slice_).agg(F.count("*").alias("_rows"))
+    earlier = Window.partitionBy(*key).orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1)
+    before = held.select(
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(key)],
+        F.col(slice_).alias("_range"),
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
     )
+    own = F.row_number().over(Window.partitionBy(*key, slice_).orderBy(*order))
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(key)]
+    found = placed.withColumn("_own", own).join(before, [*same, F.col(slice_) == F.col("_range")])
+    return found.select(*rows.columns, (F.col("_before") + F.col("_own")).cast("long").alias(at))
 
 
 def sizes(components: DataFrame, by: Sequence[str] = KEY) -> DataFrame:

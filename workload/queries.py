@@ -714,12 +714,14 @@ def _(c):
 
 @query(
     "backup_contents",
-    f"SELECT manifest_id, cf, {NAME} AS backup_file_name, size, {human('size')} AS human_size FROM {{manifest_component}}",
+    f"""SELECT manifest_id, cf, {NAME} AS backup_file_name, size, {human('size')} AS human_size,
+               row_number() OVER (PARTITION BY host, keyspace, ts ORDER BY cf, {NAME}, manifest_id, size) AS position
+        FROM {{manifest_component}}""",
 )
 def _(c):
-    return manifests.contents(c.manifest_component).select(
-        "manifest_id", "cf", "backup_file_name", "size", "human_size"
-    )
+    shown = manifests.contents(c.manifest_component, ordered=False)
+    placed = manifests.positions(shown, ["cf", "backup_file_name", "manifest_id", "size"])
+    return placed.select("manifest_id", "cf", "backup_file_name", "size", "human_size", "position")
 
 
 BODY = ["version", "generation", "component", "size"]
