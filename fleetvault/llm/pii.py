@@ -4,15 +4,18 @@ All on DataFrame functions. Each text is scanned once by a project over the docu
 
 * Matches of an expression are ``regexp_extract_all``, the text between them ``split``; running
   lengths of both give the places, in code points.
-* Base matches that pass their kind's test are seeds. Every other token with a digit or an at sign
-  is a candidate, and so is a whole run of digit groups joined by spaces, dots, hyphens or
-  parentheses; of a run that holds seeds, the pieces between them are. The two words of the text
-  before a seed or candidate, whatever they are, are a lexical pattern.
-
-Spark then scores the graph of patterns and instances for ``rounds`` rounds. A pattern's score for a
-kind is the mean confidence of its distinct instances; a candidate's confidence is a noisy-or of its
-patterns' scores; seeds stay at 1. Patterns with ``least_seeds`` distinct seeds and ``least_score``
-add the candidates that follow them. Base spans stay as they are.
+* Base matches that pass their kind's test are seeds. Every other token with an at sign or with
+  ``least_digits`` digits is a candidate, and so is a whole run of digit groups joined by spaces,
+  dots, hyphens or parentheses that has as many; of a run that holds seeds, the pieces between them
+  are. The two words of the text before a seed or candidate, whatever they are, are a lexical pattern.
+
+Spark then scores the graph of patterns and instances for ``rounds`` rounds. An instance is known for a
+kind if it is a seed, or if a pattern trusted in the round before precedes it. Contexts of at least
+``least_seeds`` distinct known instances are patterns, so that what one round discovers induces the
+patterns of the next. A pattern's score for a kind is the mean confidence of its distinct
+instances; a candidate's confidence is a noisy-or of its patterns' scores; seeds stay at 1. A pattern
+is trusted from ``least_score`` on. Those trusted in the last round add the candidates that follow
+them. Base spans stay as they are.
 
 What is kept of a document between the steps (spans and candidates, no text) is checkpointed, so
 that no step scans texts again. Long texts are no special case: places come from running sums in
@@ -48,7 +51,7 @@ TOKEN = rf"(?<!\S)(?:{RUN}|[^\s0-9@]*+[0-9@]\S*+)"
 # An opening parenthesis that closes within the number belongs to it.
 BEFORE = r"^(?:[\"'\[{<]|\((?![0-9]+\)[\x20().-]*[0-9]))+"
 BEHIND = r"[\"')\]}>.,;:!?]+$"
-LEAST_DIGITS = 6
+LEAST_DIGITS = 6  # of a candidate without an at sign, unless find is told otherwise
 BLOCK = 256
 LABELS = {kind: f"[{kind.upper()}]" for kind in KINDS}
 SPAN = "struct<kind:string,start:bigint,end:bigint>"
@@ -164,7 +167,7 @@ def _between(run: Column) -> Column:
     return F.when(F.size(inner) == 0, F.array(run)).when(F.contains(run.value, F.lit(" ")), cut).otherwise(none)
 
 
-def _scan(docs: DataFrame) -> DataFrame:
+def _scan(docs: DataFrame, least_digits: int = LEAST_DIGITS) -> DataFrame:
     """Per row: doc_id, key, the seeds of each kind, and candidates that overlap no seed."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key(docs).alias("key"), text.alias("_text"))
@@ -194,7 +197,7 @@ def _scan(docs: DataFrame) -> DataFrame:
         ),
     )
     wanted = lambda c: (c.context != "") & (
-        F.contains(c.value, F.lit("@")) | (F.length(F.regexp_replace(c.value, "[^0-9]+", "")) >= LEAST_DIGITS)
+        F.contains(c.value, F.lit("@")) | (F.length(F.regexp_replace(c.value, "[^0-9]+", "")) >= least_digits)
     )
     df = df.withColumn("_c", F.filter(trimmed, wanted))
     apart = F.filter("_c", lambda c: ~F.exists("seeds", lambda s: (s.start < c.end) & (c.start < s.end)))
@@ -208,36 +211,45 @@ def key(docs: DataFrame) -> Column:
 
 
 def patterns(scanned: DataFrame, rounds: int, least_score: float, least_seeds: int) -> DataFrame:
-    """Patterns to trust: context, kind. Scores of the graph of patterns and instances, repeated."""
+    """Patterns to trust: context, kind, score. The graph of patterns and instances, scored in rounds."""
     seen = scanned.select(F.explode("seeds").alias("s")).filter("s.context <> ''")
     seeds = seen.select("s.context", F.lower("s.value").alias("value"), "s.kind").distinct()
-    support = seeds.groupBy("context", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= least_seeds)
-    found = scanned.select(F.explode("candidates").alias("c")).select("c.context", "c.value").distinct()
-    known = support.select("context").distinct()
-    edges = seeds.select("context", "value").union(found).distinct().join(known, "context", "left_semi")
-    edges = checkpointed(edges)
-    sizes = edges.groupBy("context").agg(F.count("*").alias("size"))
-    support = checkpointed(support.join(sizes, "context"))
-    fixed = seeds.join(known, "context", "left_semi").select("value", "kind").distinct().withColumn("sure", F.lit(1.0))
-    sure = fixed = checkpointed(fixed)
+    found = scanned.select(F.explode("candidates").alias("c")).select("c.context", "c.value")
+    edges = seeds.select("context", "value").union(found).distinct()
+    # A context of fewer instances can never be a pattern.
+    sizes = edges.groupBy("context").agg(F.count("*").alias("size")).filter(F.col("size") >= least_seeds)
+    edges = checkpointed(edges.join(sizes, "context"))
+    fixed = seeds.select("value", "kind").distinct()
+    fixed = checkpointed(fixed.withColumns({"sure": F.lit(1.0), "known": F.lit(True)}))
+    sure = fixed
     for turn in range(rounds):
-        earned = edges.join(sure, "value").groupBy("context", "kind").agg(F.sum("sure").alias("earned"))
-        share = F.least(F.col("earned") / F.col("size"), F.lit(1.0))
-        scores = support.join(earned, ["context", "kind"]).withColumn("score", share)
+        scores = edges.join(sure, "value").groupBy("context", "kind").agg(
+            F.least(F.sum("sure") / F.first("size"), F.lit(1.0)).alias("score"), F.count_if("known").alias("support")
+        )
+        scores = scores.filter(F.col("support") >= least_seeds).select("context", "kind", "score")
         if turn + 1 < rounds:
             doubt = F.exp(F.sum(F.log(F.lit(1.000001) - F.col("score"))))
-            guessed = edges.join(scores, "context").groupBy("value", "kind").agg((1 - doubt).alias("sure"))
-            sure = guessed.join(fixed, ["value", "kind"], "left_anti").select("value", "kind", "sure").union(fixed)
+            known = F.max("score") >= least_score
+            guessed = edges.join(scores, "context").groupBy("value", "kind").agg(
+                (1 - doubt).alias("sure"), known.alias("known")
+            )
+            sure = guessed.join(fixed, ["value", "kind"], "left_anti").union(fixed)
     order = F.struct("score", *[(F.col("kind") == k).alias(k) for k in KINDS], "kind")
     best = scores.filter(F.col("score") >= least_score).groupBy("context").agg(F.max(order).alias("best"))
-    return best.select("context", "best.kind")
+    return best.select("context", "best.kind", "best.score")
 
 
-def find(docs: DataFrame, rounds: int = 3, least_score: float = 0.8, least_seeds: int = 3) -> DataFrame:
+def find(
+    docs: DataFrame,
+    rounds: int = 6,
+    least_score: float = 0.8,
+    least_seeds: int = 3,
+    least_digits: int = LEAST_DIGITS,
+) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, key, base and added spans (kind, start, end)."""
     if rounds < 1:
         raise ValueError("rounds must be positive")
-    scanned = checkpointed(_scan(docs))
+    scanned = checkpointed(_scan(docs, least_digits))
     trusted = patterns(scanned, rounds, least_score, least_seeds)
     places = scanned.select("key", F.explode("candidates").alias("c")).select("key", "c.start", "c.end", "c.context")
     added = places.join(trusted, "context").groupBy("key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))

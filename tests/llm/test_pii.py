@@ -1,11 +1,13 @@
 """Spans against Python's expressions read literally, learned patterns, redaction, odd rows."""
 
 import hashlib
+import math
 import random
 import re
 
 from fleetvault.llm import pii
 from fleetvault.llm.queries import QUERIES
+from fleetvault.llm.state import checkpointed
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -96,6 +98,97 @@ def test_patterns_find_unseen_identifiers(spark):
     assert not any(r.added for r in few)
 
 
+def bootstrapped(texts, rounds, least_score=0.8, least_seeds=3, least_digits=6):
+    """Patterns with scores, and added spans, of texts of plain words and e-mail addresses or numbers."""
+    mail = re.compile(PATTERNS["email"])
+    edges, sure, places = set(), {}, []
+    for doc, text in enumerate(texts):
+        words = [(m.start(), m[0]) for m in re.finditer(r"\S+", text)]
+        for i, (at, word) in enumerate(words):
+            seed = mail.fullmatch(word)
+            if not (seed or "@" in word or len(re.sub("[^0-9]", "", word)) >= least_digits):
+                continue
+            context = f"{words[i - 2][1]} {words[i - 1][1]}".lower() if i > 1 else ""
+            if seed:
+                sure[word.lower()] = (1.0, True)
+            elif context:
+                places.append((doc, at, at + len(word), context))
+            if context:
+                edges.add((context, word.lower()))
+    # Only seeds with a context take part.
+    sure = {v: s for v, s in sure.items() if any(e[1] == v for e in edges)}
+    fixed = dict(sure)
+    of = {}
+    for context, value in edges:
+        of.setdefault(context, set()).add(value)
+    for _ in range(rounds):
+        scores = {}
+        for context, values in of.items():
+            if sum(sure.get(v, (0, False))[1] for v in values) >= least_seeds:
+                scores[context] = min(sum(sure.get(v, (0, False))[0] for v in values) / len(values), 1.0)
+        guessed = {}
+        for context, score in scores.items():
+            for value in of[context]:
+                guessed.setdefault(value, []).append(score)
+        sure = {v: (1 - math.prod(1.000001 - x for x in found), max(found) >= least_score) for v, found in guessed.items()}
+        sure |= fixed
+    trusted = {c: x for c, x in scores.items() if x >= least_score}
+    return trusted, {(d, b, e) for d, b, e, c in places if c in trusted}
+
+
+def generations():
+    """Addresses after "write to"; numbers found there also follow "ping mister", and one more does."""
+    texts = [f"please write to user{i}@mail.example now" for i in range(9)]
+    texts += [f"please write to 77000{i}11 now" for i in range(4)]
+    texts += [f"then ping mister 77000{i}11 today" for i in range(4)]
+    return [*texts, "then ping mister 99123456 today", "order number 55512345 shipped", "order number 55512346 shipped"]
+
+
+def matches_brute_force(scanned, texts, rounds):
+    """Patterns and scores, and the candidates behind trusted patterns, are those of plain Python."""
+    found = {r.context: r for r in pii.patterns(scanned, rounds, 0.8, 3).collect()}
+    trusted, spans = bootstrapped(texts, rounds)
+    assert set(found) == set(trusted)
+    assert all(r.kind == "email" and abs(r.score - trusted[c]) < 1e-9 for c, r in found.items())
+    rows = scanned.select("doc_id", "candidates").collect()
+    assert {(r.doc_id, c.start, c.end) for r in rows for c in r.candidates if c.context in found} == spans
+    return trusted, spans
+
+
+def scan_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return df, checkpointed(pii._scan(df))
+
+
+def test_discovered_instances_induce_patterns(spark):
+    texts = generations()
+    last = len(texts) - 3
+    df, scanned = scan_of(spark, texts)
+    early, few = matches_brute_force(scanned, texts, 2)
+    assert "ping mister" not in early and all(d != last for d, _, _ in few)
+    late, more = matches_brute_force(scanned, texts, 6)
+    assert {"write to", "ping mister"} == set(late) and any(d == last for d, _, _ in more)
+    assert all(d < last + 1 for d, _, _ in more)
+    assert {(r.doc_id, s.start, s.end) for r in pii.find(df).collect() for s in r.added} == more
+
+
+def test_patterns_of_random_graphs(spark):
+    draw = random.Random(5)
+    contexts = [f"{a} {b}" for a in ("mail", "ring", "see") for b in ("me", "him", "box")]
+    values = [f"u{i}@x.example" for i in range(12)] + [f"{i}00200{i}" for i in range(10)] + ["ab@cd", "q@r"]
+    texts = [f"so {draw.choice(contexts[: 3 + i % 7])} {draw.choice(values[: 14 + i % 10])} ok" for i in range(160)]
+    _, scanned = scan_of(spark, texts)
+    for rounds in (1, 4):
+        matches_brute_force(scanned, texts, rounds)
+
+
+def test_how_many_digits_a_candidate_needs(spark):
+    rows = [(i, f"my badge is u{i}@x.example") for i in range(9)] + [(20, "so badge is 4711 ok")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    added = lambda n: [r.doc_id for r in pii.find(df, least_digits=n).collect() if r.added]
+    assert added(4) == [20] and added(5) == []
+
+
 def spaced():
     """Seeds of phones, cards and e-mails after fixed words, then identifiers that only those words tell."""
     rows = [(i, f"Please call me +1 (213) 555-640{i} today.") for i in range(9)]
