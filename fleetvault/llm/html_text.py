@@ -4,7 +4,7 @@ A page is read as the sequence of its leaf blocks: runs of text that no block-le
 Scripts, styles and other content that is no text are left out when blocks are cut; character
 references are decoded and white space becomes one space. Each block is a vector of its tag
 path (tags, roles, and words of class and id of all open elements; known words have a place of
-their own, others are hashed), of its innermost element, of its hashed words, and of a few
+their own, others are hashed), of its innermost element, of all its words, hashed, and of a few
 measures such as its share of link text. A bidirectional LSTM in numpy reads the whole sequence, so
 a block is judged in the context of its document, and the blocks judged as main text are joined by
 line breaks in page order.
@@ -195,9 +195,8 @@ def vectors(blocks: list[tuple[str, int, str, int]]) -> np.ndarray:
         row = out[i]
         row[PATH + (LEAVES.index(leaf) if leaf in LEAVES else len(LEAVES))] = 1
         words = text.split(" ")
-        chosen = words if len(words) <= 64 else words[:: len(words) // 64 + 1]
-        for word in chosen:
-            row[PATH + LEAF + zlib.crc32(word.lower().encode()) % WORDS] += 1 / len(chosen)
+        places = [zlib.crc32(word.lower().encode()) % WORDS for word in words]
+        row[PATH + LEAF : PATH + LEAF + WORDS] = np.bincount(places, minlength=WORDS) / len(words)
         size = len(text)
         ends = sum(text.count(c) for c in ".!?")
         row[-MEASURES:] = (

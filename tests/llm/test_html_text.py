@@ -51,6 +51,17 @@ def test_paths_and_links():
     assert (leaf, linked, last, none) == ("li", 3, "p", 0)
 
 
+def test_every_word_of_a_long_block_counts():
+    """Two blocks of 500 words that differ in a single one, wherever it stands, are told apart."""
+    first = html_text.PATH + html_text.LEAF
+    plain = html_text.vectors([(" ".join(["word"] * 500), 0, "p", 0)])[0, first : first + html_text.WORDS]
+    for at in range(500):
+        words = ["word"] * 500
+        words[at] = "other"
+        found = html_text.vectors([(" ".join(words), 0, "p", 0)])[0, first : first + html_text.WORDS]
+        assert np.abs(found - plain).sum() == pytest.approx(2 / 500, rel=1e-3)
+
+
 def test_gradients():
     rng = np.random.default_rng(1)
     pages = [rng.normal(size=(n, html_text.WIDTH)) for n in (3, 1, 5)]
