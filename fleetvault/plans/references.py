@@ -35,10 +35,19 @@ def bucket_of() -> Column:
     return F.pmod(F.xxhash64(*FILE), F.lit(BUCKETS)).cast("int")
 
 
+def named(components: DataFrame, sign: int = 1) -> DataFrame:
+    """Each file once for each backup (host, keyspace, ts) that names it, with a sign.
+
+    Few backups name a file twice, so rows are made distinct where they arrive only.
+    """
+    rows = components.select(*SCOPE, "ts", backup_file_name().alias("file_name"))
+    rows = rows.repartition(*rows.columns).distinct()
+    return rows.select(*FILE, F.lit(sign).cast("long").alias("backups"))
+
+
 def changes(components: DataFrame, sign: int = 1) -> DataFrame:
-    """Per file the number of backups (host, keyspace, ts) among these components, with a sign."""
-    named = components.select(*SCOPE, "ts", backup_file_name().alias("file_name")).distinct()
-    return named.groupBy(*FILE).agg((F.count("*") * sign).alias("backups")).withColumn("bucket", bucket_of())
+    """Per file the number of backups among these components, with a sign."""
+    return _sum(named(components, sign).withColumn("bucket", bucket_of()))
 
 
 def _read(spark: SparkSession, store: str, places: list[tuple[int, int]]) -> DataFrame:
@@ -51,15 +60,16 @@ def _sum(rows: DataFrame) -> DataFrame:
 
 
 def _write(rows: DataFrame, store: str, level: int, run: int) -> None:
-    rows.write.mode("overwrite").partitionBy("bucket").parquet(lifetimes.run_folder(store, "counts", level, run))
+    """A bucket lies in one file, and a task sorts no more than a few buckets."""
+    rows.repartition(BUCKETS, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(lifetimes.run_folder(store, "counts", level, run))
 
 
 def apply(spark: SparkSession, store: str, version: int, added: DataFrame | None = None, removed: DataFrame | None = None) -> None:
     """Write one version: components of manifests that were added, and of manifests that were removed."""
-    parts = [changes(c, sign) for c, sign in ((added, 1), (removed, -1)) if c is not None]
+    parts = [named(c, sign) for c, sign in ((added, 1), (removed, -1)) if c is not None]
     if not parts:
         raise ValueError("nothing to add and nothing to remove")
-    told = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    told = (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).withColumn("bucket", bucket_of())
     _write(_sum(told).filter("backups <> 0"), store, 0, version)
     level = 1
     while (version + 1) % lifetimes.MERGE**level == 0:
@@ -72,7 +82,8 @@ def apply(spark: SparkSession, store: str, version: int, added: DataFrame | None
 
 def counts(spark: SparkSession, store: str, version: int) -> DataFrame:
     """Files that backups name after a version, with their number."""
-    return _sum(_read(spark, store, lifetimes.runs(version + 1))).filter("backups > 0")
+    told = _read(spark, store, lifetimes.runs(version + 1)).repartition(*FILE)  # a file comes once in a run
+    return _sum(told).filter("backups > 0")
 
 
 def released(spark: SparkSession, store: str, version: int, removed: DataFrame) -> DataFrame:
