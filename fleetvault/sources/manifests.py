@@ -39,7 +39,7 @@ def read_tree(
 ) -> DataFrame:
     """Documents below ``root/cluster/<keyspace>/<year>/<month>/<day>/<host>``.
 
-    Given parts narrow the folders that are listed at all. A document that cannot be read has
+    Documents may be compressed (``.json.gz``). Given parts narrow the folders that are listed at all. A document that cannot be read has
     its text in ``_corrupt_record`` and nulls elsewhere. A folder that does not exist raises
     Spark's path-not-found error.
     """
@@ -51,7 +51,7 @@ def read_tree(
     raw = (
         spark.read.schema(_STORED)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json")
+        .option("pathGlobFilter", "*.{json,json.gz}")
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .json(path)
@@ -70,15 +70,14 @@ def read_table(
     return _typed(raw, tuple(folders))
 
 
-def documents(manifests: DataFrame) -> DataFrame:
-    """Nested manifests (host, keyspace, ts, components) in stored form."""
-    typed = manifests.withColumn("name", backup_name(F.col("ts"))).withColumnRenamed("ts", "timestamp")
-    fields = [
-        records.to_stored(F.col(f.name), f.dataType, f.name).alias(f.name) for f in MANIFEST.fields
-    ]
-    ts = F.col("timestamp")
-    return typed.select(
-        *fields,
+def placed(manifests: DataFrame) -> DataFrame:
+    """Typed manifests with the folders they lie in."""
+    ts = F.col("ts")
+    return manifests.select(
+        "host",
+        "keyspace",
+        "ts",
+        "components",
         F.col("keyspace").alias("in_keyspace"),
         F.year(ts).alias("year"),
         F.month(ts).alias("month"),
@@ -87,17 +86,30 @@ def documents(manifests: DataFrame) -> DataFrame:
     )
 
 
+def documents(manifests: DataFrame) -> DataFrame:
+    """Nested manifests (host, keyspace, ts, components) in stored form."""
+    return _documents(placed(manifests))
+
+
+def _documents(rows: DataFrame) -> DataFrame:
+    typed = rows.withColumn("name", backup_name(F.col("ts"))).withColumnRenamed("ts", "timestamp")
+    fields = [
+        records.to_stored(F.col(f.name), f.dataType, f.name).alias(f.name) for f in MANIFEST.fields
+    ]
+    return typed.select(*fields, *FOLDERS)
+
+
 def write_table(
     manifests: DataFrame, root: str, mode: str = "append", folders: Sequence[str] = FOLDERS
 ) -> None:
-    """One JSON document per line, in keyspace / year / month / day / host folders.
+    """One JSON document per line, compressed, in keyspace / year / month / day / host folders.
 
     Fewer folders suit small fleets. The rebalance hint gathers the rows of a folder and lets
-    Spark split a large one.
+    Spark split a large one; rows move typed, before they are written out as text.
     """
-    docs = documents(manifests)
+    docs = _documents(placed(manifests).hint("rebalance", *folders))
     unused = [name for name in FOLDERS if name not in folders]
-    docs.drop(*unused).hint("rebalance", *folders).write.mode(mode).partitionBy(*folders).json(root)
+    docs.drop(*unused).write.mode(mode).partitionBy(*folders).json(root, compression="gzip")
 
 
 def write_catalogue(

@@ -28,6 +28,36 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def component_rows(spark):
+    rows = [("h", "k", f"cf{n % 2}", n) for n in range(30)] + [(None, "k", "cf", n) for n in range(3)] + [("i", "k", "cf", 1)]
+    typed = spark.createDataFrame(rows, "host string, keyspace string, cf string, generation long")
+    return typed.withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def test_manifest_rows_move_once(spark, no_broadcast, monkeypatch):
+    assert "SortMergeJoin" not in plan(manifests.build(component_rows(spark), ["generation"]))
+    monkeypatch.setattr(manifests, "SENT_FROM", 10)
+    nested = manifests.build(component_rows(spark), ["generation"], part_files=10)
+    assert "SortMergeJoin" not in plan(nested)
+    assert {(r.host, r.parts) for r in nested.collect()} == {("h", 3), (None, 1), ("i", 1)}
+    files = manifests.explode(nested).groupBy("host").agg(F.count("*"), F.countDistinct("generation")).collect()
+    assert {tuple(r) for r in files} == {("h", 30, 30), (None, 3, 3), ("i", 1, 1)}
+
+
+def test_manifests_are_written_compressed(spark, tmp_path):
+    flat = component_rows(spark).withColumns({c: F.lit(None).cast("string") for c in ("file_path", "version", "component", "user", "group")})
+    flat = flat.withColumns({"uid": F.lit(1), "gid": F.lit(1), "mode": F.lit(1), "size": F.lit(1).cast("long"), "temporary": F.lit(True), "is_deleted": F.lit(False)})
+    record = flat.filter("host IS NOT NULL").select("host", "keyspace", "ts", "cf", source.component_struct().alias("file"))
+    nested = manifests.build(record, ["file"])
+    whole = nested.withColumn("components", F.transform_values("components", lambda _, fs: F.transform(fs, lambda f: f["file"])))
+    table, tree = str(tmp_path / "table"), str(tmp_path / "tree")
+    source.write_table(whole, table, folders=("in_keyspace", "year"))
+    assert glob.glob(f"{table}/*/*/*.json.gz") and not glob.glob(f"{table}/*/*/*.json")
+    source.documents(whole).drop(*source.FOLDERS).write.json(f"{tree}/cluster", compression="gzip")
+    for back in (source.read_table(spark, table, ("in_keyspace", "year")), source.read_tree(spark, tree)):
+        assert manifests.explode(back).count() == 31
+
+
 def test_a_version_has_one_file_per_bucket(spark, tmp_path):
     rows = spark.range(3000).select(
         F.lit("h").alias("host"), F.lit("k").alias("keyspace"), F.lit("cf").alias("cf"), F.lit("hd").alias("version"),
