@@ -11,6 +11,8 @@ from fleetvault.operators.listing import SIDECAR
 from fleetvault.schemas import FILE_META, stored_form
 
 CORRUPT = "_corrupt_record"
+# A compressed file is read by one task, so it holds a bounded number of documents.
+FILE_ROWS = 1_000_000
 _STORED = T.StructType([*stored_form(FILE_META).fields, T.StructField(CORRUPT, T.StringType())])
 
 
@@ -23,11 +25,11 @@ def _typed(raw: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 
 
 def read(spark: SparkSession, root: str, pattern: str = f"*{SIDECAR}") -> DataFrame:
-    """Metadata documents below ``root``; use pattern ``*.json`` for a table of this library."""
+    """Metadata documents below ``root``, plain or compressed; use pattern ``*.json`` for a table of this library."""
     raw = (
         spark.read.schema(_STORED)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
+        .option("pathGlobFilter", f"{{{pattern},{pattern}.gz}}")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .json(root)
     )
@@ -42,7 +44,9 @@ def stored(meta: DataFrame) -> DataFrame:
 
 
 def write(meta: DataFrame, root: str, mode: str = "append") -> None:
-    stored(meta).write.mode(mode).json(root)
+    """One JSON document per line, compressed."""
+    writer = stored(meta).write.mode(mode).option("maxRecordsPerFile", FILE_ROWS)
+    writer.json(root, compression="gzip")
 
 
 def to_object_metadata(meta: DataFrame) -> Column:

@@ -44,6 +44,21 @@ def test_manifest_rows_move_once(spark, no_broadcast, monkeypatch):
     assert {tuple(r) for r in files} == {("h", 30, 30), (None, 3, 3), ("i", 1, 1)}
 
 
+def meta_rows(spark):
+    text = '{"host": "h", "md5": "m", "component": {"keyspace": "k", "stat": {"size": "9"}}}'
+    rows = spark.createDataFrame([(text,)] * 5, "json string")
+    return rows.select(records.from_json(F.col("json"), FILE_META).alias("r")).select("r.*")
+
+
+def test_metadata_is_written_compressed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(file_meta, "FILE_ROWS", 2)
+    root = str(tmp_path / "meta")
+    file_meta.write(meta_rows(spark).coalesce(1), root)
+    assert len(glob.glob(f"{root}/*.json.gz")) == 3 and not glob.glob(f"{root}/*.json")
+    back = file_meta.read(spark, root, "*.json")
+    assert back.count() == 5 and back.filter("component.stat.size = 9 AND _corrupt_record IS NULL").count() == 5
+
+
 def test_manifests_are_written_compressed(spark, tmp_path):
     flat = component_rows(spark).withColumns({c: F.lit(None).cast("string") for c in ("file_path", "version", "component", "user", "group")})
     flat = flat.withColumns({"uid": F.lit(1), "gid": F.lit(1), "mode": F.lit(1), "size": F.lit(1).cast("long"), "temporary": F.lit(True), "is_deleted": F.lit(False)})
