@@ -62,7 +62,10 @@ def to_json(col: Column, dtype: T.DataType) -> Column:
 
 
 def from_json(text: Column, dtype: T.DataType) -> Column:
-    return from_stored(F.from_json(text, stored_form(dtype)), dtype)
+    """Typed value of a JSON text. The text is parsed once: as the argument of a function it is not
+    copied into every leaf, where Spark would parse it anew for each."""
+    parsed = F.array(F.from_json(text, stored_form(dtype)))
+    return F.get(F.transform(parsed, lambda record: from_stored(record, dtype)), F.lit(0))
 
 
 def _flat_leaves(col: Column, dtype: T.DataType, key: str) -> list[tuple[str, Column]]:

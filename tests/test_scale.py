@@ -28,6 +28,15 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_json_text_is_parsed_once(spark):
+    text = '{"host": "h", "component": {"generation": "7", "stat": {"size": "9"}}}'
+    rows = spark.createDataFrame([(text,), (None,), ('{"host": ',)], "json string")
+    back = rows.select(records.from_json(F.col("json"), FILE_META).alias("r"))
+    found = back.select("r.host", "r.component.generation", "r.component.stat.size")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert [tuple(r) for r in found.collect()] == [("h", 7, 9), (None, None, None), (None, None, None)]
+
+
 def component_rows(spark):
     rows = [("h", "k", f"cf{n % 2}", n) for n in range(30)] + [(None, "k", "cf", n) for n in range(3)] + [("i", "k", "cf", 1)]
     typed = spark.createDataFrame(rows, "host string, keyspace string, cf string, generation long")
