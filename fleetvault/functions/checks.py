@@ -47,3 +47,20 @@ def restored_message(
 ) -> Column:
     skipped = F.concat(source, F.lit(" -> Skipped: "), F.coalesce(reason, F.lit("")))
     return F.when(was_restored, F.concat(source, F.lit(" -> "), target)).otherwise(skipped)
+
+
+def packed(digest: Column) -> Column:
+    """A digest as bytes, so that half of it moves in a shuffle: equal bytes mean equal texts.
+
+    32 lower-case hexadecimal digits become 16 bytes; any other text has 17 zero bytes put before it.
+    """
+    raw = F.unhex(digest)
+    plain = (F.length(digest) == 32) & (F.lower(F.hex(raw)) == digest)
+    other = F.concat(F.lit(b"\0" * 17), F.encode(digest, "utf-8"))
+    return F.when(F.coalesce(plain, F.lit(False)), raw).otherwise(other)
+
+
+def unpacked(digest: Column) -> Column:
+    """Inverse of ``packed``."""
+    text = F.decode(F.substring(digest, 18, 2**31 - 1), "utf-8")
+    return F.when(F.length(digest) == 16, F.lower(F.hex(digest))).otherwise(text)

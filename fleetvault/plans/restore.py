@@ -39,11 +39,12 @@ def restore_plan(
         "restore_path", F.concat_ws("/", F.lit(data_dir), paths.restore_path(release))
     )
     there = targets.select(
-        "host", "restore_path", F.col("md5").alias("_target"), F.lit(True).alias("_exists")
+        "host", "restore_path", checks.packed(F.col("md5")).alias("_target"), F.lit(True).alias("_exists")
     )
-    joined = planned.join(there, ["host", "restore_path"], "left")
-    absent = F.col("_exists").isNull()
+    found = planned.withColumn("md5", checks.packed(F.col("md5"))).join(there, ["host", "restore_path"], "left")
     same = F.coalesce(F.col("_target") == F.col("md5"), F.lit(False))
+    joined = found.withColumns({"_same": same, "md5": checks.unpacked(F.col("md5"))})
+    absent, same = F.col("_exists").isNull(), F.col("_same")
     why = F.when(absent, NO_FILE)
     if checksum:
         why = why.when(same, CHECKED).otherwise(EXISTING_CORRUPT)
@@ -57,7 +58,7 @@ def restore_plan(
         joined.withColumn("restore_reason", why)
         .withColumn("should_restore", F.col("restore_reason") != CHECKED)
         .withColumn("corrupt_path", F.when(replaced, moved))
-        .drop("_target", "_exists")
+        .drop("_target", "_exists", "_same")
     )
 
 
@@ -67,15 +68,16 @@ def restore_outcome(plan: DataFrame, stored: DataFrame, checksum: bool = True) -
     A backup file without metadata (null md5) counts as a missing source.
     """
     source = stored.select(
-        F.col("path").alias("source_path"), F.col("md5").alias("_stored"), F.lit(True).alias("_exists")
+        F.col("path").alias("source_path"), checks.packed(F.col("md5")).alias("_stored"), F.lit(True).alias("_exists")
     )
-    joined = plan.join(source, "source_path", "left")
+    joined = plan.withColumn("md5", checks.packed(F.col("md5"))).join(source, "source_path", "left")
     differs = (F.col("_stored") != F.col("md5")) if checksum else F.lit(False)
     gone = F.col("_exists").isNull() | F.col("md5").isNull()
     failed = F.when(
         F.col("should_restore"), F.when(gone, SOURCE_MISSING).when(differs, RESTORED_CORRUPT)
     )
-    return joined.withColumn("failed_reason", failed).drop("_stored", "_exists")
+    judged = joined.withColumn("failed_reason", failed).drop("_stored", "_exists")
+    return judged.withColumn("md5", checks.unpacked(F.col("md5")))
 
 
 def stop_if_corrupt(outcome: DataFrame) -> None:

@@ -82,6 +82,14 @@ def test_manifests_are_written_compressed(spark, tmp_path):
         assert manifests.explode(back).count() == 31
 
 
+def test_packed_digests(spark):
+    texts = ["0123456789abcdef" * 2, "0123456789ABCDEF" * 2, "", "abc", "g" * 32, "é" * 16, "\0" * 16, "ab" * 17, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = rows.select("t", checks.packed(F.col("t")).alias("p")).withColumn("back", checks.unpacked(F.col("p"))).collect()
+    assert [r.back for r in found] == texts and len({bytes(r.p) for r in found if r.p is not None}) == len(texts) - 1
+    assert len(found[0].p) == 16
+
+
 def test_a_version_has_one_file_per_bucket(spark, tmp_path):
     rows = spark.range(3000).select(
         F.lit("h").alias("host"), F.lit("k").alias("keyspace"), F.lit("cf").alias("cf"), F.lit("hd").alias("version"),
@@ -94,3 +102,12 @@ def test_a_version_has_one_file_per_bucket(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(glob.glob(f"{tmp_path}/counts/level=0/run=0/bucket=*/*.parquet")) == references.BUCKETS
     assert references.counts(spark, str(tmp_path), 0).filter("backups = 1").count() == 3000
+
+
+def test_files_are_kept_once(spark, sf_dir):
+    plain, kept = Catalogue(spark, sf_dir), Catalogue(spark, sf_dir)
+    kept.keep_files()
+    assert "Join" not in plan(kept.stored_file) and "Join" in plan(plain.stored_file)
+    for name in ("backup_file", "file_meta_log", "stored_file", "target_file"):
+        a, b = getattr(plain, name), getattr(kept, name)
+        assert a.columns == b.columns and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
