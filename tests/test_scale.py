@@ -90,6 +90,18 @@ def test_packed_digests(spark):
     assert len(found[0].p) == 16
 
 
+def test_a_verdict_moves_what_it_needs(spark):
+    meta = spark.createDataFrame(
+        [("a", "old", 1, "x"), ("a", "new", 2, "y"), ("b", "m", 1, "z"), ("c", "m", 1, "z"), (None, "m", 1, "z")],
+        "path string, md5 string, written int, note string",
+    )
+    stored = spark.createDataFrame([("a", "new"), ("b", "other"), (None, "m")], "path string, md5 string")
+    found = validate.file_status(meta, stored, True)
+    assert "note" not in found._jdf.queryExecution().optimizedPlan().toString().replace("LogicalRDD [path", "").split("Aggregate")[1].split("\n")[0]
+    want = {("a", "present"), ("b", "corrupt"), ("c", "missing"), (None, "missing")}
+    assert {(r.path, r.status) for r in found.collect()} == want
+
+
 def test_a_version_has_one_file_per_bucket(spark, tmp_path):
     rows = spark.range(3000).select(
         F.lit("h").alias("host"), F.lit("k").alias("keyspace"), F.lit("cf").alias("cf"), F.lit("hd").alias("version"),
