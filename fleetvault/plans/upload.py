@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetvault.functions.checks import packed, unpacked
 from fleetvault.functions.times import iso_text
 
 UPLOAD = "upload"
@@ -20,9 +21,12 @@ def upload_plan(files: DataFrame, stored: DataFrame) -> DataFrame:
     valid or as possibly corrupt, and skipping writes no manifest. A file that was both created
     and moved is there twice with the same content; it goes up once.
     """
-    files = files.dropDuplicates(["path", "md5", "is_deleted"])
-    known = stored.select("path", F.col("md5").alias("_stored"), F.lit(True).alias("_exists"))
-    joined = files.join(known, "path", "left")
+    # Files move once, by their path, and are sorted once: so they are made distinct and meet the store.
+    moved = files.withColumn("md5", packed(F.col("md5"))).repartition("path")
+    first = F.row_number().over(Window.partitionBy("path", "md5", "is_deleted").orderBy("path"))
+    once = moved.withColumn("_row", first).filter("_row = 1").drop("_row")
+    known = stored.select("path", packed(F.col("md5")).alias("_stored"), F.lit(True).alias("_exists"))
+    joined = once.join(known, "path", "left")
     same = F.coalesce(F.col("_stored") == F.col("md5"), F.lit(False))
     action = (
         F.when(F.col("is_deleted"), MANIFEST_ONLY)
@@ -30,7 +34,8 @@ def upload_plan(files: DataFrame, stored: DataFrame) -> DataFrame:
         .when(same, SKIP_VALID)
         .otherwise(SKIP_CORRUPT)
     )
-    planned = joined.withColumn("action", action).drop("_stored", "_exists")
+    judged = joined.withColumn("action", action).drop("_stored", "_exists")
+    planned = judged.withColumn("md5", unpacked(F.col("md5")))
     return planned.withColumn("writes_manifest", F.col("action").isin(UPLOAD, MANIFEST_ONLY))
 
 

@@ -90,6 +90,17 @@ def test_packed_digests(spark):
     assert len(found[0].p) == 16
 
 
+def test_uploads_move_once(spark, no_broadcast):
+    files = [("a", "m", False, 1), ("a", "m", False, 2), ("a", "n", False, 3), (None, "m", False, 4), (None, "m", False, 5), ("b", None, True, 6)]
+    rows = spark.createDataFrame(files, "path string, md5 string, is_deleted boolean, size long").repartition(3)
+    stored = spark.createDataFrame([("a", "m"), (None, "m")], "path string, md5 string")
+    found = upload.upload_plan(rows, stored)
+    assert plan(found).count("Exchange hashpartitioning(path") == 2 and "Exchange hashpartitioning(path#" in plan(found)
+    assert "is_deleted" not in "".join(x for x in plan(found).splitlines() if "Exchange hashpartitioning" in x)
+    got = sorted(((r.path, r.md5, r.action) for r in found.collect()), key=str)
+    assert got == sorted([("a", "m", "skip_valid"), ("a", "n", "skip_corrupt"), (None, "m", "upload"), ("b", None, "manifest_only")], key=str)
+
+
 def test_a_verdict_moves_what_it_needs(spark):
     meta = spark.createDataFrame(
         [("a", "old", 1, "x"), ("a", "new", 2, "y"), ("b", "m", 1, "z"), ("c", "m", 1, "z"), (None, "m", 1, "z")],
