@@ -37,6 +37,16 @@ BUCKETS = 64
 MERGE = 16
 
 HEAD = "bucket int, whole int, since array<int>"
+# A run of a batch that added nothing has no file to take the columns from.
+LIFE = T.StructType(
+    [
+        *[T.StructField(c, T.LongType() if c == "generation" else T.StringType()) for c in (*TABLE_KEY, "component")],
+        *[T.StructField(c, T.LongType()) for c in ("size", "added_seq")],
+        T.StructField("added_ts", T.TimestampNTZType()),
+        T.StructField("removed_seq", T.LongType()),
+        *[T.StructField(c, T.IntegerType()) for c in ("batch", "bucket")],
+    ]
+)
 
 
 def bucket_of() -> Column:
@@ -218,7 +228,7 @@ def last_batch(spark: SparkSession, store: str) -> int:
 def read(spark: SparkSession, store: str, batch_id: int | None = None) -> DataFrame:
     """All lifetimes as of a batch, the last one unless told."""
     after = (last_batch(spark, store) if batch_id is None else batch_id) + 1
-    reader = spark.read.option("basePath", f"{store}/lifetimes")
+    reader = spark.read.schema(LIFE).option("basePath", f"{store}/lifetimes")
     told = reader.parquet(*[run_folder(store, "lifetimes", *place) for place in runs(after)])
     return _newest(told).drop("batch", "bucket")
 
@@ -227,8 +237,5 @@ def live(spark: SparkSession, store: str, batch_id: int | None = None) -> DataFr
     """The files live after a batch, from the buckets' own state; ended lifetimes are not read."""
     at = last_batch(spark, store) if batch_id is None else batch_id
     heads = _heads(spark, store, at)
-    one = next((w, s) for w, s in heads.values())
-    table, run = ("live", one[0]) if one[0] >= 0 else ("lifetimes", one[1][0])
-    schema = spark.read.parquet(run_folder(store, table, 0, run)).schema
-    state = _state(spark, _fields([*schema.names], schema), store, heads)
+    state = _state(spark, LIFE, store, heads)
     return live_now(_newest(state)).drop("batch", "bucket")

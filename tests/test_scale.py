@@ -134,3 +134,15 @@ def test_files_are_kept_once(spark, sf_dir):
     for name in ("backup_file", "file_meta_log", "stored_file", "target_file"):
         a, b = getattr(plain, name), getattr(kept, name)
         assert a.columns == b.columns and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_live_files_when_a_run_is_empty(spark, tmp_path):
+    """The first batch only deletes, so its run of lifetimes has no file."""
+    from fleetvault.schemas import CHANGE_EVENT
+
+    path = "/var/lib/data/ks/cf/ks-cf-hd-1-Data.db"
+    ts = spark.sql("SELECT timestamp_ntz'2024-01-01 00:00:00' t").first().t
+    for n, kind in enumerate(("deleted", "created")):
+        batch = spark.createDataFrame([(n, ts, "h", kind, path, None, 5, False)], CHANGE_EVENT)
+        lifetimes.apply_batch(batch, n, str(tmp_path))
+    assert [r.generation for r in lifetimes.live(spark, str(tmp_path)).collect()] == [1]
