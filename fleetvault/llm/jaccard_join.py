@@ -2,9 +2,10 @@
 
 A grouped prefix join, exact at any size:
 
-* **Order.** A sketch of fixed size counts shingles over all documents. Shingles are ordered by the
-  sketch's power of two, rare ones first, then by hash. Any order gives the same links; this one
-  keeps shared passages out of prefixes.
+* **Order.** Sketches of fixed size count shingles and words over all documents. Shingles are ordered by
+  the power of two of what a slot counts beyond the usual slot, then by how common their words are, rare
+  ones first, then by hash. Any order gives the same links; this one keeps shared passages out of
+  prefixes, and words still tell rare shingles when every slot of the shingles is full.
 * **Classes.** Documents of equal sets are one class.
 * **Groups.** Classes of the same prefix and set size are one group, and only groups are posted
   under their prefix's shingles. Of lists that hold the very same groups one is kept.
@@ -42,6 +43,7 @@ from fleetvault.llm.state import checkpointed
 SLICE_BYTES = 2 << 20
 SKETCH_BITS = 20
 SKETCH_PARTS = 16
+WORD_STEPS = 4  # a word's level is its count's logarithm in quarters of a power of two
 TOKEN_BITS = 48
 MOST_BROADCAST = 1_000_000
 LOOK_BACK = 4
@@ -52,8 +54,15 @@ MIX_A, MIX_B, MIX_C = (np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98
 def sets(texts, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of all texts, text by text and sorted, and where each text's begin."""
     words = tokens.cut(texts, tokens.WHITE, lower=True)
-    hashed, counts = tokens.hashes(words), words.counts
-    owner, values = [], []
+    hashed = tokens.hashes(words)
+    return _shingles(words, hashed, np.zeros(len(hashed), np.int64), width)[:2]
+
+
+def _shingles(words: tokens.Words, hashed: np.ndarray, levels: np.ndarray, width: int):
+    """Of words with these hashes and levels: what ``sets`` returns, and each shingle's sum of levels."""
+    counts = words.counts
+    total = np.concatenate([[0], np.cumsum(levels, dtype=np.int64)])
+    owner, values, sums = [], [], []
     for size in range(1, width + 1):
         # Texts of fewer words than a shingle are one whole sequence.
         of = (counts >= width) if size == width else (counts == size)
@@ -61,17 +70,19 @@ def sets(texts, width: int) -> tuple[np.ndarray, np.ndarray]:
         text = np.repeat(np.arange(len(counts)), np.maximum(counts - size + 1, 0))
         chosen = of[text]
         if chosen.any():
+            begin = starts[chosen]
             owner.append(text[chosen])
-            values.append(tokens.rolling(hashed, size)[starts[chosen]])
+            values.append(tokens.rolling(hashed, size)[begin])
+            sums.append(total[begin + size] - total[begin])
     if not owner:
-        return np.zeros(0, np.uint64), np.zeros(len(counts) + 1, np.int64)
-    text, value = np.concatenate(owner), np.concatenate(values)
+        return np.zeros(0, np.uint64), np.zeros(len(counts) + 1, np.int64), np.zeros(0, np.int64)
+    text, value, common = np.concatenate(owner), np.concatenate(values), np.concatenate(sums)
     order = np.lexsort((value, text))
     text, value = text[order], value[order]
     new = np.ones(len(text), bool)
     new[1:] = (np.diff(text) != 0) | (value[1:] != value[:-1])
-    text, value = text[new], value[new]
-    return value, np.searchsorted(text, np.arange(len(counts) + 1))
+    text, value, common = text[new], value[new], common[order[new]]
+    return value, np.searchsorted(text, np.arange(len(counts) + 1)), common
 
 
 def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
@@ -108,44 +119,69 @@ def _signatures(value: np.ndarray, first: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(edges // 64, pa.int32()), pa.array(packed))
 
 
-def _parts(batches: Iterator[pa.RecordBatch], width: int):
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator:
     for batch in batches:
-        for part in tokens.slices(batch, "text", SLICE_BYTES):
-            yield part, *sets(part["text"], width)
+        yield from tokens.slices(batch, "text", SLICE_BYTES)
+
+
+def _parts(batches: Iterator[pa.RecordBatch], width: int):
+    for part in _slices(batches):
+        yield part, *sets(part["text"], width)
 
 
-def sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
-    """For each of 2**bits slots the power of two of its shingles' count, over all documents."""
+def _slots(value: np.ndarray, slots: int) -> np.ndarray:
+    return (value % np.uint64(slots)).astype(np.int64)
+
+
+def sketch(docs: DataFrame, width: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Levels of the 2**bits slots of shingles and of words, counted over all documents.
+
+    A shingle's is the power of two of its slot's count beyond the median, of which chance gives no
+    more than three deviations; a word's is the logarithm of its slot's count.
+    """
     slots = 1 << bits
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(slots, np.uint64)
-        for _, value, _ in _parts(batches, width):
-            counts += np.bincount((value % np.uint64(slots)).astype(np.int64), minlength=slots).astype(np.uint64)
-        parts = [tokens.pack(p) for p in counts.reshape(SKETCH_PARTS, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts)], ["part", "counts"])
+        counts = np.zeros((2, slots), np.uint64)
+        for part in _slices(batches):
+            words = tokens.cut(part["text"], tokens.WHITE, lower=True)
+            hashed = tokens.hashes(words)
+            value = _shingles(words, hashed, np.zeros(len(hashed), np.int64), width)[0]
+            for own, seen in zip(counts, (value, hashed)):
+                own += np.bincount(_slots(seen, slots), minlength=slots).astype(np.uint64)
+        packed = [[tokens.pack(p) for p in own.reshape(SKETCH_PARTS, -1)] for own in counts]
+        columns = [pa.array(range(SKETCH_PARTS), pa.int32()), *map(pa.array, packed)]
+        yield pa.RecordBatch.from_arrays(columns, ["part", "shingles", "words"])
 
     def total(table: pa.Table) -> pa.Table:
-        counts = sum(tokens.unpack(p, np.uint64) for p in table["counts"].to_pylist())
-        level = np.floor(np.log2(counts.astype(np.float64) + 1)).astype(np.uint8)
-        return pa.table({"part": table["part"].slice(0, 1), "levels": pa.array([level.tobytes()], pa.binary())})
+        shingles, words = (
+            sum(tokens.unpack(p, np.uint64) for p in table[c].to_pylist()).astype(np.float64) for c in ("shingles", "words")
+        )
+        usual = np.median(shingles)
+        beyond = np.maximum(shingles - usual - 3 * np.sqrt(usual), 0)
+        levels = np.floor(np.log2(beyond + 1)), np.rint(WORD_STEPS * np.log2(words + 1))
+        packed = [pa.array([level.astype(np.uint8).tobytes()], pa.binary()) for level in levels]
+        return pa.table({"part": table["part"].slice(0, 1), "shingles": packed[0], "words": packed[1]})
 
-    tallied = docs.select("text").mapInArrow(tally, "part int, counts binary")
-    rows = tallied.groupBy("part").applyInArrow(total, "part int, levels binary").toArrow().sort_by("part")
-    found = b"".join(rows["levels"].to_pylist())
-    return np.frombuffer(found, np.uint8) if found else np.zeros(slots, np.uint8)
+    tallied = docs.select("text").mapInArrow(tally, "part int, shingles binary, words binary")
+    rows = tallied.groupBy("part").applyInArrow(total, "part int, shingles binary, words binary").toArrow().sort_by("part")
+    found = [b"".join(rows[c].to_pylist()) for c in ("shingles", "words")]
+    return tuple(np.frombuffer(f, np.uint8) if f else np.zeros(slots, np.uint8) for f in found)
 
 
 def describe(docs: DataFrame, width: int, percent: int, levels) -> DataFrame:
     """Per row with an id: set size, class, group, prefix in the common order, signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level_of = levels.value
-        for part, value, first in _parts(batches, width):
+        level_of, word_level = levels.value
+        for part in _slices(batches):
+            words = tokens.cut(part["text"], tokens.WHITE, lower=True)
+            hashed = tokens.hashes(words)
+            value, first, common = _shingles(words, hashed, word_level[_slots(hashed, len(word_level))], width)
             n = np.diff(first)
             text = np.repeat(np.arange(len(n)), n)
-            level = level_of[(value % np.uint64(len(level_of))).astype(np.int64)]
-            ordered = value[np.lexsort((value, level, text))]
+            level = level_of[_slots(value, len(level_of))]
+            ordered = value[np.lexsort((value, common, level, text))]
             sizes = prefix_sizes(n, percent)
             edges = np.concatenate([[0], np.cumsum(sizes)])
             at = np.repeat(first[:-1] - edges[:-1], sizes) + np.arange(edges[-1])

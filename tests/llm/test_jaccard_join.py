@@ -131,6 +131,21 @@ def test_keep_first(spark):
     assert sorted(map(tuple, kept.collect()), key=str) == [(1, "a b c d", "y"), (2, "e f g h", None), (None, "a b c d", "z")]
 
 
+def test_prefixes_are_rare_when_every_slot_is_full(spark):
+    """Shingles of rare words come first, though chance fills each slot of the shingles with some 35."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(150):
+        words = rng.choices([f"w{k}" for k in range(12)], k=60)
+        words[5::20] = [f"rare{i}x{k}" for k in range(3)]
+        rows.append((i, i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, key long, text string").repartition(2)
+    levels = spark.sparkContext.broadcast(join.sketch(docs, 3, 8))
+    prefixes = [set(r.prefix) for r in join.describe(docs, 3, 90, levels).collect()]
+    found = [t for p in prefixes for t in p]
+    assert sum(found.count(t) > 1 for t in found) < 0.1 * len(found)
+
+
 def test_signatures_bound_the_difference():
     rng = np.random.default_rng(2)
     for _ in range(50):
