@@ -27,6 +27,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ WORD_PENALTY = 24
 WORD_STEP = 64
 STRETCH = 1 << 20
 MOST_WORDS = 1 << 20
+KEPT_WORDS = 1 << 18
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "padding long"
@@ -64,8 +66,8 @@ class Encoder:
 
     A text of Latin letters, digits and signs is split at white space. Each distinct word is parted as
     the vocabulary's tokenizer parts it, each distinct part is encoded once, and both are looked up
-    afterwards; at most ``MOST_WORDS`` of each are remembered. Any other text goes to the tokenizer
-    as it is.
+    afterwards; at most ``MOST_WORDS`` of each are remembered, and ``KEPT_WORDS`` from task to task. Any
+    other text goes to the tokenizer as it is.
     """
 
     def __init__(self, path: str):
@@ -117,6 +119,12 @@ class Encoder:
             self.words |= self._learn(new)
         return self.words
 
+    def trim(self) -> None:
+        """Keeps the words learned first, which are mostly the common ones."""
+        self.words = dict(islice(self.words.items(), KEPT_WORDS))
+        self.parts = dict(islice(self.parts.items(), KEPT_WORDS))
+        self.missed = 0
+
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and the places after which a sentence ends."""
         return self.batch([text])[0]
@@ -143,7 +151,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """This worker's encoder; it outlives a task, and so does what it has learned."""
+    """This worker's encoder; it outlives a task, and so does what ``trim`` leaves of what it has learned."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -252,14 +260,18 @@ def _packer(vocabulary: str, length: int):
         encode = encoder(vocabulary)
         stretch = Stretch(length, TaskContext.get().partitionId() << 33)
         end = np.array([END_TOKEN], "<u4")
-        for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
-                texts = [text or "" for text in part["text"].to_pylist()]
-                for doc_id, (ids, sentences) in zip(part["doc_id"].to_pylist(), encode.batch(texts)):
-                    stretch.add(doc_id, np.concatenate([ids, end]), sentences)
-                    if stretch.size >= STRETCH:
-                        yield from _rows(stretch.close(last=False))
-        yield from _rows(stretch.close(last=True))
+        try:
+            for batch in batches:
+                for part in slices(batch, "text", SLICE_BYTES):
+                    texts = [text or "" for text in part["text"].to_pylist()]
+                    for doc_id, (ids, sentences) in zip(part["doc_id"].to_pylist(), encode.batch(texts)):
+                        stretch.add(doc_id, np.concatenate([ids, end]), sentences)
+                        if stretch.size >= STRETCH:
+                            yield from _rows(stretch.close(last=False))
+            yield from _rows(stretch.close(last=True))
+        finally:
+            # The worker goes on to other queries' tasks, beside an executor that may need the memory.
+            encode.trim()
 
     return run
 

@@ -4,6 +4,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -115,6 +116,19 @@ def test_words_and_parts_are_those_of_the_tokenizer(monkeypatch, most):
             assert ids.tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_a_task_leaves_few_words_in_its_worker(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 50)
+    monkeypatch.setattr(packing.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 0})()))
+    monkeypatch.setattr(packing, "_encoders", {})
+    texts = [" ".join(f"w{i}x{j} the" for j in range(40)) for i in range(20)]
+    run = packing._packer(vocabulary(), 2048)
+    rows = [list(run(iter([pa.RecordBatch.from_pydict({"doc_id": range(20), "text": texts})]))) for _ in range(2)]
+    encode = packing.encoder(vocabulary())
+    assert 0 < len(encode.words) <= 50 and 0 < len(encode.parts) <= 50
+    assert rows[0] == rows[1]
+    assert encode(texts[7])[0].tolist() == encode.tokenizer.encode(texts[7], add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_cuts_are_the_cheapest(seed):
     rng = np.random.default_rng(seed)
