@@ -104,7 +104,7 @@ def write_table(
 ) -> None:
     """One JSON document per line, compressed, in keyspace / year / month / day / host folders.
 
-    Fewer folders suit small fleets. The rebalance hint gathers the rows of a folder and lets
+    Fewer folders suit small fleets: on a local disk a folder costs far more than its documents. The rebalance hint gathers the rows of a folder and lets
     Spark split a large one; rows move typed, before they are written out as text.
     """
     docs = _documents(placed(manifests).hint("rebalance", *folders))

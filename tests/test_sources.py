@@ -1,5 +1,6 @@
 """Files on disk: inventories, manifests, metadata, logs and content."""
 
+import gzip
 import hashlib
 import json
 import os
@@ -227,3 +228,28 @@ def test_catalogue_lookups_skip_folders(spark, tmp_path):
         if what not in ("by_name", "for_days"):
             plan = df._jdf.queryExecution().executedPlan().toString()
             assert "PartitionFilters: [isnotnull" in plan, what
+
+
+def test_manifests_are_written_below_their_day_and_host(spark, tmp_path, monkeypatch):
+    """The query itself: a document per manifest, in the folders of its keyspace, day and host."""
+    from workload import queries
+
+    orders = [(n, c, datetime(2001, m, d)) for n, (c, m, d) in enumerate([(1, 1, 2), (1, 1, 3), (2, 1, 2), (5, 7, 2), (16, 1, 2)])]
+    lines = [(n, 10 + n, k) for n in range(5) for k in (1, 2)]
+    put_table = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    put_table(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz", "orders")
+    put_table(lines, "l_orderkey long, l_partkey long, l_linenumber int", "lineitem")
+    root = tmp_path / "manifests"
+    monkeypatch.setattr(queries, "run_dir", lambda spark, label: str(root))
+    assert queries.QUERIES["write_manifests"](spark, str(tmp_path)).filter("named AND file_path_ok").count() == 10
+    found = []
+    for path in root.rglob("*.json.gz"):
+        places = [p.split("=") for p in path.relative_to(root).parts[:-1]]
+        assert [p[0] for p in places] == list(source.FOLDERS)
+        for text in gzip.open(path, "rt"):
+            doc = json.loads(text)
+            ts = datetime.fromisoformat(doc["timestamp"])
+            assert [p[1] for p in places] == [doc["keyspace"], str(ts.year), str(ts.month), str(ts.day), doc["host"]]
+            assert sum(map(len, doc["components"].values())) == 2
+            found.append(doc["name"])
+    assert len(found) == len(set(found)) == 5
